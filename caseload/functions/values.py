@@ -135,14 +135,19 @@ def response_verdict(hours: Column) -> Column:
     )
 
 
+def decimals(number: Column, pattern: str = "0.0") -> Column:
+    """Fixed decimals as text. ``format_number`` rounds the exact binary value half to even, while
+    ``format_string`` rounds its shortest decimal form half up."""
+    return F.call_function("format_number", number, F.lit(pattern))
+
+
 def readable_ms(ms: Column) -> Column:
     """``250ms``, ``1.5s``, ``2.0m``; zero or missing is ``N/A``."""
-    one_decimal = lambda c: F.format_string("%.1f", c)
     return (
         F.when(ms.isNull() | (ms == 0), "N/A")
         .when(ms < 1000, F.concat(ms.cast("bigint").cast("string"), F.lit("ms")))
-        .when(ms < 60000, F.concat(one_decimal(ms / F.lit(1000.0)), F.lit("s")))
-        .otherwise(F.concat(one_decimal(ms / F.lit(60000.0)), F.lit("m")))
+        .when(ms < 60000, F.concat(decimals(ms / F.lit(1000.0)), F.lit("s")))
+        .otherwise(F.concat(decimals(ms / F.lit(60000.0)), F.lit("m")))
     )
 
 
@@ -151,6 +156,12 @@ def truncate_text(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
+def rounded(number: Column, digits: int) -> Column:
+    """Round half up. The detour over a decimal removes the binary noise below the twelfth digit, so
+    that a value such as 35.4 / 24 = 1.475 is a tie and not just below one."""
+    return F.round(number.try_cast("decimal(38,12)"), digits).cast("double")
+
+
 def percent(part: Column, whole: Column, empty: float | None = 0.0) -> Column:
     """``part / whole * 100`` with a value for an empty whole."""
     share = part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0)) * 100

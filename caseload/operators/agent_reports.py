@@ -35,7 +35,7 @@ def agent_stats(df: DataFrame, agents: list[str] = dims.REPORT_AGENTS) -> DataFr
         "non_live_chat_tickets", F.col("mean").alias("mean_hours"), F.col("median").alias("median_hours"),
         F.col("std").alias("std_hours"), F.col("min").alias("min_hours"), F.col("max").alias("max_hours"),
         F.col("q25").alias("q25_hours"), F.col("q75").alias("q75_hours"),
-        F.round(values.percent(F.col("tickets"), whole), 1).alias("share_pct"), "pipeline_breakdown")
+        values.rounded(values.percent(F.col("tickets"), whole), 1).alias("share_pct"), "pipeline_breakdown")
 
 
 def weekly_agent_volume(df: DataFrame, agents: list[str] = dims.REPORT_AGENTS) -> DataFrame:
@@ -167,7 +167,7 @@ def team_breakdown(df: DataFrame) -> DataFrame:
     """Responses, mean, median and spread per owner, three decimals, 0 where there is none."""
     rows = _response_rows(filters.drop_spam(df)).where(F.col("case_owner").isNotNull())
     stats = summarize(rows.select("case_owner", HOURS), ["case_owner"], HOURS)
-    tidy = lambda c: F.coalesce(F.round(c, 3), F.lit(0.0))
+    tidy = lambda c: F.coalesce(values.rounded(F.col(c), 3), F.lit(0.0))
     return stats.select(
         F.col("case_owner").alias("agent"), F.col("n").alias("responses"),
         tidy("mean").alias("mean_hours"), tidy("median").alias("median_hours"),

@@ -147,7 +147,7 @@ def satisfaction(df: DataFrame, agents: dims.AgentRegistry = dims.AGENTS) -> Dat
     level = lambda kind, name: F.struct(F.lit(kind).alias("level"), name.alias("name"))
     groups = F.concat(
         F.array(level("overall", F.lit("all")),
-                level("rating", F.format_string("%.1f", F.col("rating_value")))),
+                level("rating", values.decimals(F.col("rating_value")))),
         F.transform(humans, lambda a: level("human", a)),
         F.when(_is("bot"), F.array(level("bot", F.col("primary_agent")))).otherwise(
             F.array().cast("array<struct<level:string,name:string>>")))

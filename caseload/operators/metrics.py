@@ -31,12 +31,12 @@ def response_metrics(df: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("is_weekend").eqNullSafe(flag), F.col(HOURS)))).scalar()
     some = F.col("n") > 0
     return stats.select(
-        F.round("mean", 2).alias("avg_response_time_hours"),
-        F.round("median", 2).alias("median_response_time_hours"),
-        F.round("min", 3).alias("min_response_time_hours"),
-        F.round("max", 2).alias("max_response_time_hours"),
-        F.when(some, F.round(mean_of(True), 2)).alias("weekend_avg_response_hours"),
-        F.when(some, F.round(mean_of(False), 2)).alias("weekday_avg_response_hours"))
+        values.rounded(F.col("mean"), 2).alias("avg_response_time_hours"),
+        values.rounded(F.col("median"), 2).alias("median_response_time_hours"),
+        values.rounded(F.col("min"), 3).alias("min_response_time_hours"),
+        values.rounded(F.col("max"), 2).alias("max_response_time_hours"),
+        F.when(some, values.rounded(mean_of(True), 2)).alias("weekend_avg_response_hours"),
+        F.when(some, values.rounded(mean_of(False), 2)).alias("weekday_avg_response_hours"))
 
 
 def agent_metrics(df: DataFrame, agents: list[str] = dims.REPORT_AGENTS) -> DataFrame:
@@ -51,7 +51,7 @@ def agent_metrics(df: DataFrame, agents: list[str] = dims.REPORT_AGENTS) -> Data
         F.min_by("case_owner", most).alias("top_volume_agent"),
         F.coalesce(F.max("n_rows"), F.lit(0)).alias("top_volume_count"),
         F.min_by("case_owner", fast).alias("fastest_agent"),
-        F.round(F.min("median"), 2).alias("fastest_response_hours"),
+        values.rounded(F.min("median"), 2).alias("fastest_response_hours"),
         F.count(ROWS).alias("agent_count"),
         F.array_join(names, ", ").alias("agents_list"))
 
@@ -59,11 +59,11 @@ def agent_metrics(df: DataFrame, agents: list[str] = dims.REPORT_AGENTS) -> Data
 def sla_metrics(df: DataFrame) -> DataFrame:
     """M4: share created in business hours and shares answered within 1 and 4 hours."""
     valid = F.col(HOURS) > 0
-    within = lambda h: F.round(values.percent(
+    within = lambda h: values.rounded(values.percent(
         F.count_if(valid & (F.col(HOURS) <= h)), F.count_if(valid), None), 1)
     open_ = times.business_hours(F.col("create_ts_local"))
     return df.agg(
-        F.round(values.percent(F.count_if(open_), F.count(ROWS), None), 1).alias("business_hours_percentage"),
+        values.rounded(values.percent(F.count_if(open_), F.count(ROWS), None), 1).alias("business_hours_percentage"),
         within(1).alias("response_under_1hour_percentage"),
         within(4).alias("response_under_4hour_percentage"))
 
@@ -73,7 +73,7 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(HOURS).alias("records_with_response_time"),
         (F.count(ROWS) - F.count(HOURS)).alias("records_missing_data"),
-        F.round(values.percent(F.count(HOURS), F.count(ROWS)), 1).alias("data_quality_score"))
+        values.rounded(values.percent(F.count(HOURS), F.count(ROWS)), 1).alias("data_quality_score"))
 
 
 def chat_metrics(df: DataFrame, agent: str = "display_agent") -> DataFrame:
@@ -98,11 +98,11 @@ def chat_metrics(df: DataFrame, agent: str = "display_agent") -> DataFrame:
         F.count(ROWS).alias("total_chats"),
         F.count_if(~weekend).alias("weekday_records"), F.count_if(weekend).alias("weekend_records"),
         bots.alias("total_bot_chats"), humans.alias("total_human_chats"),
-        F.round(F.avg("rating_value"), 1).alias("bot_satisfaction_rate"),
-        F.round(F.avg("duration_minutes"), 1).alias("avg_chat_duration_minutes"))
+        values.rounded(F.avg("rating_value"), 1).alias("bot_satisfaction_rate"),
+        values.rounded(F.avg("duration_minutes"), 1).alias("avg_chat_duration_minutes"))
     country, hour = leader("country"), leader("hour")
     total = F.col("total_records")
-    share = lambda c: F.round(values.percent(F.col(c), total), 1)
+    share = lambda c: values.rounded(values.percent(F.col(c), total), 1)
     return one.withColumns({"_c": country, "_h": hour}).select(
         "*",
         F.when(total > 0, share("total_human_chats")).alias("bot_transfer_rate"),
@@ -199,21 +199,21 @@ def insights(df: DataFrame) -> DataFrame:
         if "response" in low and "time" in low:
             if c in numeric:
                 aggs.append(F.avg(col).alias(f"m{i}"))
-                picks.append((F.lit(True), F.format_string(
-                    "Average response time: %.1f hours", F.col(f"m{i}"))))
+                picks.append((F.lit(True), F.concat(
+                    F.lit("Average response time: "), values.decimals(F.col(f"m{i}")), F.lit(" hours"))))
         elif "count" in low:
             aggs += [F.sum(col).alias(f"s{i}"), F.max(col).alias(f"x{i}")]
             picks.append((F.lit(True), F.format_string(
                 f"Total {c}: %,d (highest single: %,d)", F.col(f"s{i}").cast("bigint"),
                 F.col(f"x{i}").cast("bigint"))))
         elif "agent" in low or "owner" in low:
+            first = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "k")))
+            text = F.array_join(F.transform(
+                first, lambda t: F.concat(t["k"], F.lit(": "), (-t["r"]).cast("string"))), ", ")
             tops = (df.where(col.isNotNull()).groupBy(col.cast("string").alias("k"))
                     .agg(F.count(ROWS).alias("n")).orderBy(F.desc("n"), "k").limit(3)
-                    .agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "k"))).alias("t"))
-                    .scalar())
-            text = F.array_join(F.transform(
-                tops, lambda t: F.concat(t["k"], F.lit(": "), (-t["r"]).cast("string"))), ", ")
-            picks.append((F.col("n") <= SMALL_RESULT, F.concat(F.lit("Top agents: "), text)))
+                    .agg(text.alias("t")).scalar())
+            picks.append((F.col("n") <= SMALL_RESULT, F.concat(F.lit("Top agents: "), tops)))
     picks.append((F.lit(True), F.format_string("Dataset: %,d records analyzed", F.col("n"))))
     found = F.array_compact(F.array(*[F.when(cond, text) for cond, text in picks]))
     first = F.slice(found, 1, MAX_INSIGHTS)

@@ -125,11 +125,11 @@ def agent_table(df: DataFrame) -> DataFrame:
     total = filters.view(df, "weekday").agg(F.count(F.lit(1))).scalar()
     return stats.join(pipeline_breakdown(weekday), "case_owner").select(
         F.col("case_owner").alias("agent"), "tickets",
-        F.round(F.col("tickets") / total * 100, 1).alias("share_pct"),
-        F.round(F.col("tickets") / span, 1).alias("daily_average"),
-        F.round("mean", 2).alias("mean_response"),
-        F.round("median", 2).alias("median_response"),
-        F.round("std", 2).alias("std_response"),
+        values.rounded(F.col("tickets") / total * 100, 1).alias("share_pct"),
+        values.rounded(F.col("tickets") / span, 1).alias("daily_average"),
+        values.rounded(F.col("mean"), 2).alias("mean_response"),
+        values.rounded(F.col("median"), 2).alias("median_response"),
+        values.rounded(F.col("std"), 2).alias("std_response"),
         "pipeline_breakdown", "top_pipeline",
     )
 

@@ -181,8 +181,8 @@ def response_bins(df: DataFrame) -> DataFrame:
     """Category plus hours and days to two decimals."""
     hours = F.col("first_response_hours")
     return df.withColumns({
-        "response_hours_clean": F.round(hours, 2),
-        "response_days": F.round(hours / 24, 2),
+        "response_hours_clean": values.rounded(hours, 2),
+        "response_days": values.rounded(hours / 24, 2),
         "response_category": values.response_bin(hours),
     })
 
@@ -195,7 +195,7 @@ def business_hours(df: DataFrame) -> DataFrame:
 def ticket_age(df: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Days since creation, one decimal."""
     days = times.hours_between(F.col("create_ts_utc"), F.lit(as_of).cast("timestamp_ntz")) / 24
-    return df.withColumn("ticket_age_days", F.round(days, 1))
+    return df.withColumn("ticket_age_days", values.rounded(days, 1))
 
 
 def normalize_tickets(df: DataFrame) -> DataFrame:

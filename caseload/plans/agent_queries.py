@@ -17,7 +17,7 @@ _HOURS = "mean_hours median_hours std_hours"
 
 _G1 = f"""
 SELECT agent, total_tickets, non_live_chat_tickets, mean_hours, median_hours, std_hours, min_hours, max_hours,
-  q25_hours, q75_hours, round(total_tickets * 100.0 / sum(total_tickets) OVER (), 1) AS share_pct, pipelines
+  q25_hours, q75_hours, CAST(round(CAST(total_tickets * 100.0 / sum(total_tickets) OVER () AS DECIMAL(38,12)), 1) AS DOUBLE) AS share_pct, pipelines
 FROM (SELECT case_owner AS agent, count(*) AS total_tickets, count(*) FILTER (WHERE NOT ({_LIVE})) AS non_live_chat_tickets,
     avg(v) AS mean_hours, median(v) AS median_hours, stddev_samp(v) AS std_hours, min(v) AS min_hours,
     max(v) AS max_hours, quantile_cont(v, 0.25) AS q25_hours, quantile_cont(v, 0.75) AS q75_hours, count(v) AS n
@@ -151,9 +151,9 @@ def _(spark, sf):
 
 @query("g10_team_breakdown", f"""
 SELECT case_owner AS agent, count(first_response_hours) AS responses,
-  coalesce(round(avg(first_response_hours), 3), 0) AS mean_hours,
-  coalesce(round(median(first_response_hours), 3), 0) AS median_hours,
-  coalesce(round(stddev_samp(first_response_hours), 3), 0) AS std_hours
+  coalesce(CAST(round(CAST(avg(first_response_hours) AS DECIMAL(38,12)), 3) AS DOUBLE), 0) AS mean_hours,
+  coalesce(CAST(round(CAST(median(first_response_hours) AS DECIMAL(38,12)), 3) AS DOUBLE), 0) AS median_hours,
+  coalesce(CAST(round(CAST(stddev_samp(first_response_hours) AS DECIMAL(38,12)), 3) AS DOUBLE), 0) AS std_hours
 FROM comparison WHERE NOT is_weekend AND NOT ({_LIVE}) AND case_owner IS NOT NULL GROUP BY 1""", _HOURS)
 def _(spark, sf):
     return reports.team_breakdown(fx.comparison(spark, sf))

@@ -26,6 +26,7 @@ SCHEMAS = {
               "o_orderdate timestamp_ntz, o_orderpriority string",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
               "props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }

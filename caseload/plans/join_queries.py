@@ -1 +1,85 @@
+"""Lookups, deduplication, review merge and reconciliation over the derived tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caseload.operators import joins
+from caseload.plans import fixtures as fx
+from caseload.plans.catalog import query
+
+
+@query("j1_lookup_owner", """
+SELECT o_orderkey AS ticket_id, coalesce(c_name, CAST(o_custkey + 7 AS VARCHAR)) AS ticket_owner
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey + 7""")
+def _(spark, sf):
+    owners = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    # Seven customer numbers lie beyond the directory and pass through.
+    tickets = fx.table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS ticket_id", "CAST(o_custkey + 7 AS STRING) AS ticket_owner")
+    return joins.lookup_owner(tickets, owners)
+
+
+@query("j2_lookup_pipeline", """
+SELECT o_orderkey AS ticket_id, coalesce(n_name, CAST(o_custkey % 30 AS VARCHAR)) AS pipeline
+FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 30""")
+def _(spark, sf):
+    dim = fx.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"))
+    tickets = fx.table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS ticket_id", "CAST(o_custkey % 30 AS STRING) AS pipeline")
+    return joins.lookup_pipeline(tickets, dim)
+
+
+@query("j3_lookup_agent", """
+SELECT event_id AS chat_id, agent_id,
+  CASE WHEN n_name IS NOT NULL THEN n_name WHEN agent_id = '5626186ef1d50006d82a02372509ec3e' THEN 'Agent Scrape'
+    WHEN agent_id IS NOT NULL THEN 'Unknown' END AS agent_name,
+  coalesce(n_regionkey = 0, coalesce(agent_id = '5626186ef1d50006d82a02372509ec3e', false)) AS is_bot
+FROM (SELECT event_id, CASE WHEN user_id % 30 < 27 THEN CAST(user_id % 30 AS VARCHAR)
+    WHEN user_id % 30 = 27 THEN '5626186ef1d50006d82a02372509ec3e' END AS agent_id FROM events)
+LEFT JOIN nation ON agent_id = CAST(n_nationkey AS VARCHAR)""")
+def _(spark, sf):
+    directory = fx.table(spark, sf, "nation").selectExpr(
+        "n_nationkey AS id", "n_name AS name", "if(n_regionkey = 0, 'bot', 'agent') AS type")
+    chats = fx.table(spark, sf, "events").selectExpr(
+        "event_id AS chat_id",
+        "CASE WHEN user_id % 30 < 27 THEN CAST(user_id % 30 AS STRING) "
+        "WHEN user_id % 30 = 27 THEN '5626186ef1d50006d82a02372509ec3e' END AS agent_id")
+    return joins.lookup_agent(chats, directory)
+
+
+_QA_SQL = """
+SELECT t.ticket_id, t.subject, coalesce(q.overall, '') AS "QA - Overall Performance Rating",
+  coalesce(q.systemic, '') AS "QA - 14. Tag for Systemic Review?"
+FROM raw_tickets t LEFT JOIN qa q ON q.ticket_id = t.ticket_id AND q.qa_seq = 1"""
+
+
+@query("j8_integrate_qa", _QA_SQL)
+def _(spark, sf):
+    main = fx.raw_tickets(spark, sf).select("ticket_id", "subject")
+    return joins.integrate_qa(main, fx.qa(spark, sf), "ticket_id", order=["qa_seq"])
+
+
+@query("j9_dedup", """
+SELECT chat_id, load_seq, duration_seconds, display_agent FROM chats WHERE load_seq = 0""", "duration_seconds")
+def _(spark, sf):
+    return joins.dedup(fx.chats(spark, sf), "chat_id", ["load_seq"]).select(
+        "chat_id", "load_seq", "duration_seconds", "display_agent")
+
+
+@query("j10_explode_agents", """
+SELECT chat_id, load_seq, CASE WHEN a = 'gillie' THEN 'Girly' WHEN a = 'nora n' THEN 'Nova'
+  WHEN a = 'shan' THEN 'Bhushan' ELSE 'Francis' END AS human_agent
+FROM (SELECT chat_id, load_seq, trim(lower(unnest(string_split(human_agents, ',')))) AS a FROM chats
+  WHERE human_agents <> '') WHERE a IN ('gillie', 'nora n', 'shan', 'chris')""")
+def _(spark, sf):
+    return joins.explode_agents(fx.chats(spark, sf)).select("chat_id", "load_seq", "human_agent")
+
+
+@query("j11_reconcile", """
+SELECT (SELECT count(*) FROM store) AS left_rows, (SELECT count(*) FROM delta) AS right_rows,
+  (SELECT count(*) FROM store s WHERE s.ticket_id NOT IN (SELECT ticket_id FROM delta)) AS left_only_keys,
+  (SELECT count(*) FROM delta d WHERE d.ticket_id NOT IN (SELECT ticket_id FROM store)) AS right_only_keys,
+  (SELECT count(*) FROM store) = (SELECT count(*) FROM delta) AS counts_match""")
+def _(spark, sf):
+    return joins.reconcile(fx.ticket_store(spark, sf), fx.ticket_delta(spark, sf), "ticket_id")

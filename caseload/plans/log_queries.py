@@ -1 +1,139 @@
+"""Logs, runs and conversations over the derived tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caseload.functions import values
+from caseload.operators import conversations as conv
+from caseload.operators import logs as ops
+from caseload.plans import fixtures as fx
+from caseload.plans.catalog import query
+
+_AS_OF = fx.CHATS_AS_OF
+
+
+@query("l1_recent_logs", """
+SELECT log_id, ts_utc, level, stage, message FROM logs WHERE ts_utc >= TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR
+  AND level = 'ERROR' ORDER BY ts_utc DESC, log_id DESC LIMIT 100""")
+def _(spark, sf):
+    return ops.recent_logs(fx.logs(spark, sf), _AS_OF, 72, "ERROR", 100).select(
+        "log_id", "ts_utc", "level", "stage", "message")
+
+
+@query("l2_log_stats", """
+SELECT level, count(*) AS logs, (SELECT count(*) FROM logs) AS total_logs,
+  (SELECT min(ts_utc) FROM logs) AS oldest_log, (SELECT max(ts_utc) FROM logs) AS newest_log FROM logs GROUP BY 1""")
+def _(spark, sf):
+    return ops.log_stats(fx.logs(spark, sf))
+
+
+@query("l3_log_retain", "SELECT log_id, ts_utc FROM logs WHERE ts_utc >= TIMESTAMP '2024-01-24'")
+def _(spark, sf):
+    return ops.log_retain(fx.logs(spark, sf), _AS_OF).select("log_id", "ts_utc")
+
+
+_READABLE = """CASE WHEN coalesce({0}, 0) = 0 THEN 'N/A' WHEN {0} < 1000 THEN {0} || 'ms'
+  WHEN {0} < 60000 THEN printf('%.1fs', {0} / 1000) ELSE printf('%.1fm', {0} / 60000) END"""
+
+
+@query("l4_run_summary", f"""
+SELECT run_id, start_time, end_time, ms AS duration_ms, {_READABLE.format('ms')} AS duration_readable,
+  entries, error_count, warning_count, details
+FROM (SELECT run_id, min(ts_utc) AS start_time, max(ts_utc) AS end_time,
+    CAST(floor(epoch_us(max(ts_utc)) / 1000 - epoch_us(min(ts_utc)) / 1000) AS BIGINT) AS ms0,
+    (epoch_us(max(ts_utc)) - epoch_us(min(ts_utc))) // 1000 AS ms,
+    count(*) AS entries, count(*) FILTER (WHERE level = 'ERROR') AS error_count,
+    count(*) FILTER (WHERE level = 'WARNING') AS warning_count FROM logs GROUP BY 1) r
+JOIN (SELECT run_id, string_agg('[' || stage || '] ' || message, ' | ' ORDER BY ts_utc, log_id) AS details
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts_utc DESC, log_id DESC) AS rn FROM logs)
+  WHERE rn <= 10 GROUP BY 1) d USING (run_id)""".replace(
+    "    CAST(floor(epoch_us(max(ts_utc)) / 1000 - epoch_us(min(ts_utc)) / 1000) AS BIGINT) AS ms0,\n", ""))
+def _(spark, sf):
+    return ops.run_summary(fx.logs(spark, sf))
+
+
+@query("l5_recent_runs", """
+SELECT run_id, start_time, end_time, log_id, ts_utc, level, stage, message
+FROM (SELECT l.*, min(ts_utc) OVER (PARTITION BY run_id) AS start_time, max(ts_utc) OVER (PARTITION BY run_id) AS end_time,
+  row_number() OVER (PARTITION BY run_id ORDER BY ts_utc DESC, log_id DESC) AS rn FROM logs l)
+WHERE rn <= 20 AND run_id IN (SELECT run_id FROM logs GROUP BY 1 ORDER BY max(ts_utc) DESC, run_id DESC LIMIT 20)""")
+def _(spark, sf):
+    return ops.recent_runs(fx.logs(spark, sf))
+
+
+@query("l5_entries_since", "SELECT log_id, ts_utc, level FROM logs WHERE ts_utc > TIMESTAMP '2024-01-20 12:00'")
+def _(spark, sf):
+    import datetime as dt
+
+    return ops.entries_since(fx.logs(spark, sf), dt.datetime(2024, 1, 20, 12)).select("log_id", "ts_utc", "level")
+
+
+@query("n30_format_duration", f"""
+SELECT event_id, ms, {_READABLE.format('ms')} AS readable FROM (
+  SELECT event_id, (event_id * 7919) % 200000 AS ms FROM events)""")
+def _(spark, sf):
+    rows = fx.table(spark, sf, "events").selectExpr("event_id", "(event_id * 7919) % 200000 AS ms")
+    return rows.withColumn("readable", values.readable_ms(F.col("ms")))
+
+
+def _convs(spark, sf):
+    """Conversations with an owner and a deletion mark."""
+    return conv.conversations_from_messages(fx.messages(spark, sf)).withColumns({
+        "user_id": F.expr("conv_id % 3"), "deleted": F.expr("conv_id % 4 = 0")})
+
+
+_CONVS = """
+WITH convs AS (SELECT conv_id, min(msg_ts_utc) AS created_at, max(msg_ts_utc) AS last_updated,
+  count(*) FILTER (WHERE author_type = 'customer') AS query_count,
+  arg_min(text, turn) FILTER (WHERE author_type = 'customer') AS first_question,
+  conv_id % 3 AS user_id, conv_id % 4 = 0 AS deleted FROM messages GROUP BY conv_id)"""
+# The stated moment lies after the first four days of conversations.
+_CONV_SQL, _CONV_NOW = "TIMESTAMP '2024-01-10 06:00'", "2024-01-10 06:00"
+
+
+def _now():
+    import datetime as dt
+
+    return dt.datetime.fromisoformat(_CONV_NOW)
+
+
+@query("v1_conversation_stats", _CONVS + f"""
+SELECT count(*) AS total_conversations, count(*) FILTER (WHERE NOT deleted) AS active_conversations,
+  CAST(sum(query_count) AS BIGINT) AS total_queries,
+  count(*) FILTER (WHERE floor(epoch({_CONV_SQL} - last_updated) / 86400) <= 7) AS recent_conversations FROM convs""")
+def _(spark, sf):
+    return conv.conversation_stats(_convs(spark, sf), _now())
+
+
+@query("v2_recent_conversations", _CONVS + """
+SELECT conv_id, created_at, last_updated, query_count, left(first_question, 100) || '...' AS preview
+FROM convs WHERE user_id = 1 ORDER BY last_updated DESC, conv_id DESC LIMIT 10""")
+def _(spark, sf):
+    return conv.recent_conversations(_convs(spark, sf), user_id=1)
+
+
+_PAIRS = """
+WITH pairs AS (SELECT q.conv_id, q.turn, q.msg_ts_utc AS asked_at, q.text AS question, coalesce(a.text, '') AS answer,
+  row_number() OVER (PARTITION BY q.conv_id ORDER BY q.turn DESC) AS rn
+FROM messages q LEFT JOIN messages a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.author_type IN ('agent', 'bot')
+WHERE q.author_type = 'customer')"""
+
+
+@query("v3_conversation_context", _PAIRS + """
+SELECT conv_id, turn, question, left(answer, 200) AS summary, asked_at FROM pairs WHERE rn <= 2""")
+def _(spark, sf):
+    return conv.conversation_context(conv.exchanges(fx.messages(spark, sf)), 2)
+
+
+@query("v3_context_digest", _PAIRS + """
+SELECT conv_id, string_agg('Q: ' || left(question, 100) || '...' || chr(10) || 'A: ' || left(answer, 100) || '...',
+  chr(10) ORDER BY turn) AS context_summary FROM pairs WHERE rn <= 3 GROUP BY 1""")
+def _(spark, sf):
+    return conv.context_digest(conv.exchanges(fx.messages(spark, sf)))
+
+
+@query("v4_conversation_retain", _CONVS + """
+SELECT conv_id, last_updated FROM convs WHERE NOT deleted AND last_updated > TIMESTAMP '2024-01-02 06:00'""")
+def _(spark, sf):
+    return conv.conversation_retain(_convs(spark, sf), _now(), 8).select("conv_id", "last_updated")

@@ -6,7 +6,7 @@ It is used only to check results; nothing here runs on Spark.
 from __future__ import annotations
 
 _CHAT = """
-SELECT event_id AS chat_id, {seq} AS load_seq, ts AS created_ts_utc,
+SELECT event_id AS chat_id, CAST({seq} AS BIGINT) AS load_seq, ts AS created_ts_utc,
   CASE user_id % 10 WHEN 0 THEN 'Wynn AI' WHEN 1 THEN 'Sales Agent' WHEN 2 THEN 'Agent Scrape'
     WHEN 3 THEN 'ChatBot' WHEN 4 THEN 'Shan' WHEN 5 THEN 'Chris' WHEN 6 THEN 'Nora' WHEN 7 THEN 'Gillie'
     WHEN 8 THEN 'Spencer' END AS primary_agent_raw,

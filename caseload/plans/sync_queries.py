@@ -1 +1,158 @@
+"""Upserts, retention, incremental slices, sync state and streaming feeds over the derived tables."""
 
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from caseload.operators import sync
+from caseload.plans import fixtures as fx
+from caseload.plans.catalog import query
+from caseload.session import scratch_path
+from caseload.sources.snapshots import SnapshotTable
+from caseload.streaming import feeds
+
+_MERGED = """
+SELECT coalesce(s.ticket_id, d.ticket_id) AS ticket_id, coalesce(d.subject, s.subject) AS subject,
+  coalesce(d.priority, s.priority) AS priority,
+  coalesce(d.last_modified_ts_utc, s.last_modified_ts_utc) AS last_modified_ts_utc
+FROM store s FULL JOIN delta d ON d.ticket_id = s.ticket_id"""
+
+
+@query("u1_upsert_merge", _MERGED)
+def _(spark, sf):
+    return sync.upsert_merge(fx.ticket_store(spark, sf), fx.ticket_delta(spark, sf), "ticket_id")
+
+
+@query("u1_upsert_merge_repeated", """
+SELECT ticket_id, subject, CASE WHEN subject LIKE '%F' THEN 'late' ELSE lower(priority) END AS priority,
+  last_modified_ts_utc + INTERVAL 1 DAY AS last_modified_ts_utc FROM store""")
+def _(spark, sf):
+    """Two delta rows for each ticket; the later one leaves some fields out."""
+    base = fx.ticket_store(spark, sf)
+    delta = base.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).selectExpr(
+        "ticket_id", "seq", "CAST(NULL AS STRING) AS subject",
+        "CASE WHEN seq = 1 THEN lower(priority) WHEN subject LIKE '%F' THEN 'late' END AS priority",
+        "last_modified_ts_utc + make_dt_interval(if(seq = 2, 1, 0)) AS last_modified_ts_utc")
+    return sync.upsert_merge(base, delta, "ticket_id", "seq")
+
+
+_REPLACED = """
+SELECT * FROM delta UNION ALL SELECT * FROM store s WHERE s.ticket_id NOT IN (SELECT ticket_id FROM delta)"""
+
+
+@query("u2_upsert_replace", _REPLACED)
+def _(spark, sf):
+    return sync.upsert_replace(fx.ticket_store(spark, sf), fx.ticket_delta(spark, sf), "ticket_id")
+
+
+@query("u3_retain", """
+SELECT ticket_id, create_ts_utc FROM tickets WHERE create_ts_utc >= TIMESTAMP '2001-08-02' - INTERVAL 365 DAY""")
+def _(spark, sf):
+    return sync.retain(fx.tickets(spark, sf), "create_ts_utc", 365, fx.TICKETS_AS_OF).select(
+        "ticket_id", "create_ts_utc")
+
+
+@query("u4_incremental", """
+SELECT ticket_id, last_modified_ts_utc FROM tickets WHERE last_modified_ts_utc >= TIMESTAMP '2001-06-01'""")
+def _(spark, sf):
+    return sync.incremental(fx.tickets(spark, sf), dt.datetime(2001, 6, 1), fx.TICKETS_AS_OF).select(
+        "ticket_id", "last_modified_ts_utc")
+
+
+@query("u4_incremental_full", """
+SELECT ticket_id, last_modified_ts_utc FROM tickets
+WHERE last_modified_ts_utc >= TIMESTAMP '2001-08-02' - INTERVAL 365 DAY""")
+def _(spark, sf):
+    return sync.incremental(
+        fx.tickets(spark, sf), dt.datetime(2001, 6, 1), fx.TICKETS_AS_OF, full=True).select(
+        "ticket_id", "last_modified_ts_utc")
+
+
+@query("u5_sync_state", """
+SELECT 'chats' AS feed, max(created_ts_utc) AS last_sync, count(*) AS records, 'success' AS status,
+  TIMESTAMP '2024-01-31' AS updated_at FROM chats
+UNION ALL SELECT 'tickets', max(last_modified_ts_utc), count(*), 'success', TIMESTAMP '2001-08-02' FROM tickets""")
+def _(spark, sf):
+    tickets = sync.feed_state(fx.tickets(spark, sf), "tickets", "last_modified_ts_utc", fx.TICKETS_AS_OF)
+    chats = sync.feed_state(fx.chats(spark, sf), "chats", "created_ts_utc", fx.CHATS_AS_OF)
+    old = sync.state_row(spark, "tickets", dt.datetime(1999, 1, 1), 1, "failed", dt.datetime(1999, 1, 1))
+    return sync.save_state(sync.save_state(old, tickets), chats)
+
+
+@query("u6_full_refresh", """
+SELECT 'tickets' AS table_name, count(*) AS records, TIMESTAMP '2024-01-31' AS last_updated FROM tickets
+UNION ALL SELECT 'chats', count(*), TIMESTAMP '2024-01-31' FROM chats""")
+def _(spark, sf):
+    """Both tables written as new snapshots; the counts come from what was stored."""
+    tickets = SnapshotTable(spark, scratch_path(spark, "tickets"))
+    chats = SnapshotTable(spark, scratch_path(spark, "chats"))
+    for table, df in ((tickets, fx.ticket_store(spark, sf)), (chats, fx.raw_chats(spark, sf).drop("tag2"))):
+        table.write(df.where("false"))
+        table.write(df)
+    return sync.refresh_metadata(tickets.read(), chats.read(), fx.CHATS_AS_OF)
+
+
+@query("st1_stream_files", """
+SELECT file_date, count(*) AS rows, count(nullif(reply_hms, '')) AS replies, min(ticket_id) AS first_id, max(ticket_id) AS last_id
+FROM (SELECT *, CAST('2025-09-0' || (1 + ascii(priority) - 49) AS DATE) AS file_date FROM raw_tickets) GROUP BY 1""")
+def _(spark, sf):
+    """Dated ticket files arrive in a folder, are read once each and appended to a table."""
+    inbox, target = scratch_path(spark, "inbox"), scratch_path(spark, "tickets")
+    columns = ["ticket_id", "subject", "ticket_owner", "reply_hms"]
+    day = F.concat(F.lit("2025-09-0"), F.substring("priority", 1, 1))
+    (fx.raw_tickets(spark, sf).withColumn("export", F.concat(F.lit("ticket-export-"), day)).select(*columns, "export")
+     .write.partitionBy("export").csv(f"{inbox}/raw", header=True, emptyValue="", escape='"'))
+    stream = feeds.stream_files(spark, f"{inbox}/raw", columns)
+    # Spark names the files itself, so the date is taken from the folder of the export.
+    folder = F.element_at(F.split("source_file", "/"), -2)
+    feeds.run_available(
+        stream.withColumn("file_date", feeds.file_date(folder)), target, scratch_path(spark, "checkpoint"))
+    return spark.read.parquet(target).groupBy("file_date").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("reply_hms").alias("replies"),
+        F.min(F.col("ticket_id").cast("bigint")).alias("first_id"),
+        F.max(F.col("ticket_id").cast("bigint")).alias("last_id"))
+
+
+@query("st2_file_date", """
+SELECT ticket_id, path, CAST(CASE WHEN digits LIKE '20%' THEN try_strptime(digits, '%Y%m%d')
+  ELSE try_strptime(digits, '%d%m%Y') END AS DATE) AS file_date
+FROM (SELECT *, regexp_replace(path, '[^0-9]', '', 'g') AS digits FROM (SELECT o_orderkey AS ticket_id,
+  '/inbox/' || CASE o_orderpriority WHEN '1-URGENT' THEN 'ticket-export-' || strftime(o_orderdate, '%d%m%Y')
+    WHEN '2-HIGH' THEN 'chats_' || strftime(o_orderdate, '%d-%m-%Y') WHEN '3-MEDIUM' THEN strftime(o_orderdate, '%Y-%m-%d')
+    WHEN '5-LOW' THEN strftime(o_orderdate + INTERVAL 25 YEAR, '%Y%m%d') ELSE 'undated' END || '.csv' AS path
+  FROM orders))""")
+def _(spark, sf):
+    name = """'/inbox/' || CASE o_orderpriority
+        WHEN '1-URGENT' THEN 'ticket-export-' || date_format(o_orderdate, 'ddMMyyyy')
+        WHEN '2-HIGH' THEN 'chats_' || date_format(o_orderdate, 'dd-MM-yyyy')
+        WHEN '3-MEDIUM' THEN date_format(o_orderdate, 'yyyy-MM-dd')
+        WHEN '5-LOW' THEN date_format(add_months(CAST(o_orderdate AS DATE), 300), 'yyyyMMdd')
+        ELSE 'undated' END || '.csv' AS path"""
+    files = fx.table(spark, sf, "orders").selectExpr("o_orderkey AS ticket_id", name)
+    return files.withColumn("file_date", feeds.file_date(F.col("path")))
+
+
+@query("st3_stream_upsert", _MERGED)
+def _(spark, sf):
+    """The change feed is merged into the stored table micro-batch by micro-batch."""
+    changes = scratch_path(spark, "changes")
+    delta = fx.ticket_delta(spark, sf)
+    delta.repartitionByRange(3, "ticket_id").write.parquet(changes)
+    table = SnapshotTable(spark, scratch_path(spark, "store"))
+    table.write(fx.ticket_store(spark, sf))
+    stream = spark.readStream.schema(delta.schema).option("maxFilesPerTrigger", 1).parquet(changes)
+    feeds.stream_upsert(stream, table, "ticket_id", scratch_path(spark, "checkpoint"))
+    return table.read()
+
+
+@query("st4_stream_dedup", "SELECT chat_id, created_ts_utc FROM first_chats")
+def _(spark, sf):
+    """Every chat arrives once although error chats are delivered twice."""
+    source, target = scratch_path(spark, "chats"), scratch_path(spark, "unique")
+    rows = fx.raw_chats(spark, sf).select("chat_id", "load_seq", "created_ts_utc")
+    rows.repartitionByRange(4, "created_ts_utc").write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    feeds.run_available(feeds.stream_dedup(stream, delay="40 days"), target, scratch_path(spark, "checkpoint"))
+    return spark.read.parquet(target).select("chat_id", "created_ts_utc")

@@ -75,9 +75,9 @@ span AS (SELECT CAST(floor(epoch(max(create_ts_local) - min(create_ts_local)) /
 stats AS (SELECT case_owner, count(*) AS tickets, avg(v) AS m, median(v) AS md, stddev_samp(v) AS sd
   FROM (SELECT case_owner, CASE WHEN rtrim(pipeline) <> 'Live Chat' THEN first_response_hours END AS v FROM weekday)
   GROUP BY 1)
-SELECT s.case_owner AS agent, tickets, round(tickets / (SELECT n FROM span) * 100, 1) AS share_pct,
-  round(tickets / (SELECT d FROM span), 1) AS daily_average, round(m, 2) AS mean_response,
-  round(md, 2) AS median_response, round(sd, 2) AS std_response,
+SELECT s.case_owner AS agent, tickets, CAST(round(CAST(tickets / (SELECT n FROM span) * 100 AS DECIMAL(38,12)), 1) AS DOUBLE) AS share_pct,
+  CAST(round(CAST(tickets / (SELECT d FROM span) AS DECIMAL(38,12)), 1) AS DOUBLE) AS daily_average, CAST(round(CAST(m AS DECIMAL(38,12)), 2) AS DOUBLE) AS mean_response,
+  CAST(round(CAST(md AS DECIMAL(38,12)), 2) AS DOUBLE) AS median_response, CAST(round(CAST(sd AS DECIMAL(38,12)), 2) AS DOUBLE) AS std_response,
   (SELECT string_agg(pipeline || '=' || n, '; ' ORDER BY n DESC, pipeline) FROM by_pipe p
     WHERE p.case_owner = s.case_owner) AS pipelines,
   (SELECT pipeline || ' (' || n || ')' || CASE WHEN kinds > 1 THEN ' +' || (kinds - 1) || ' more' ELSE '' END

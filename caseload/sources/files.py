@@ -94,18 +94,30 @@ def discover(spark: SparkSession, base: str) -> DataFrame:
     return classify_files(list_files(spark, base))
 
 
-def latest_file(spark: SparkSession, base: str) -> str | None:
-    """Path of the newest CSV; ties go to the greater path."""
-    newest = F.max_by("path", F.struct("modificationTime", "path")).alias("path")
-    return list_files(spark, base, "*.csv").agg(newest).first()["path"]
+def csv_paths(spark: SparkSession, base: str) -> list[str]:
+    """Paths of the CSV files below a folder; only the listing comes to the driver."""
+    return [row["path"] for row in list_files(spark, base, "*.csv").select("path").orderBy("path").collect()]
+
+
+def latest_export(files: DataFrame, base: str) -> DataFrame:
+    """Name of the newest entry below ``base``: a file, or a folder of part files written by Spark.
+
+    Ties go to the greater name.
+    """
+    rest = F.regexp_extract("path", r"(?:^|/)" + base.strip("/").split("/")[-1] + r"/([^/]+)", 1)
+    entries = files.groupBy(rest.alias("entry")).agg(F.max("modificationTime").alias("changed"))
+    newest = F.max_by("entry", F.struct("changed", "entry"))
+    return entries.where("entry <> ''").agg(newest.alias("entry"))
 
 
 def latest_table(spark: SparkSession, base: str) -> DataFrame:
-    """The newest CSV as a table of text columns."""
-    path = latest_file(spark, base)
-    if path is None:
+    """The newest CSV export as a table of text columns."""
+    entry = latest_export(list_files(spark, base, "*.csv"), base).first()["entry"]
+    if entry is None:
         raise FileNotFoundError(f"no CSV file below {base}")
-    return _read_by_header(spark, [path])
+    path = f"{base.rstrip('/')}/{entry}"
+    paths = csv_paths(spark, path)
+    return _read_by_header(spark, paths or [path])
 
 
 def read_ragged(lines: DataFrame, header: list[str], sep: str = ",", col: str = "value") -> DataFrame:
@@ -120,8 +132,9 @@ def read_ragged(lines: DataFrame, header: list[str], sep: str = ",", col: str =
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header. Nested columns are written as JSON text."""
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
-    df.withColumns({c: F.to_json(c) for c in nested}).write.mode(mode).csv(
-        path, header=True, escape='"', emptyValue="", timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
+    (df.withColumns({c: F.to_json(c) for c in nested}).write.mode(mode)
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+     .csv(path, header=True, escape='"', emptyValue=""))
 
 
 # Fixed values. Dates in file names, tried in this order.

@@ -29,7 +29,7 @@ def flatten_tickets(df: DataFrame, properties: list[str]) -> DataFrame:
 
 def _seconds(start: Column, end: Column) -> Column:
     span = times.hours_between(times.parse_utc(start), times.parse_utc(end)) * 3600
-    return F.greatest(span, F.lit(0.0))
+    return F.when(span < 0, F.lit(0.0)).otherwise(span)
 
 
 def parse_chat_payload(df: DataFrame, directory: dict[str, tuple[str, str]],
