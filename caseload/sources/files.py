@@ -134,7 +134,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
     (df.withColumns({c: F.to_json(c) for c in nested}).write.mode(mode)
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-     .csv(path, header=True, escape='"', emptyValue=""))
+     .csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+          ignoreTrailingWhiteSpace=False))
 
 
 # Fixed values. Dates in file names, tried in this order.
