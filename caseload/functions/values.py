@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,7 +25,8 @@ def lookup_or_same(col: Column, table: dict[str, str]) -> Column:
 
 
 def contains_any(col: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [col.contains(w) for w in words])
+    """One pattern and not a chain of tests, so that a derived ``col`` is evaluated once."""
+    return col.rlike("|".join(re.escape(w) for w in words))
 
 
 def staff_name(owner: Column) -> Column:

@@ -20,12 +20,24 @@ def ntz(moment: dt.datetime | None) -> Column:
     return F.lit(moment).cast("timestamp_ntz")
 
 
+# Partition column of the stored tables -> the timestamp whose month it holds.
+MONTH_COLUMNS = {"create_ts_utc": "create_month", "created_ts_utc": "created_month"}
+
+
 def between(df: DataFrame, ts: str, start: dt.datetime | None, end: dt.datetime | None) -> DataFrame:
-    """Inclusive on both ends; a missing bound is open."""
+    """Inclusive on both ends; a missing bound is open.
+
+    On a table stored by month the bounds also select the month folders.
+    """
+    month = MONTH_COLUMNS.get(ts)
+    stored = month in df.columns
+    first_day = lambda m: F.lit(m.date().replace(day=1))
     if start is not None:
         df = df.where(F.col(ts) >= ntz(start))
+        df = df.where(F.col(month) >= first_day(start)) if stored else df
     if end is not None:
         df = df.where(F.col(ts) <= ntz(end))
+        df = df.where(F.col(month) <= first_day(end)) if stored else df
     return df
 
 

@@ -87,10 +87,11 @@ def integrate_qa(main: DataFrame, qa: DataFrame, key: str = "ticket_id",
 
 def reconcile(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows on each side, keys on one side only, and whether the row counts match."""
+    # One shuffle for both sides; repeated keys are added up before it.
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     both = (
-        a.groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(key, "n", F.lit(0).alias("m"))
-        .unionByName(b.groupBy(key).agg(F.count(F.lit(1)).alias("m")).select(
-            key, F.lit(0).cast("bigint").alias("n"), "m"))
+        a.select(key, one.alias("n"), none.alias("m"))
+        .unionByName(b.select(key, none.alias("n"), one.alias("m")))
         .groupBy(key).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     )
     return both.agg(

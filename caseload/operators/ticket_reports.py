@@ -151,20 +151,16 @@ def weekly_response(df: DataFrame, stat: str = "median") -> DataFrame:
     keyed = keyed.where(F.col("overall") | F.col("week").isNotNull()).withColumn(
         "week", F.when(~F.col("overall"), F.col("week")))
     stats = summarize(keyed, ["overall", "week", "view"], "v", MEDIAN, weight="w")
-    pick = lambda name, col: F.max(F.when(F.col("view") == name, F.col(col)))
     views = ["all", "weekday", "weekend"]
-    wide = stats.groupBy("overall", "week").agg(
-        *[pick(v, stat).alias(f"{v}_{stat}") for v in views],
-        *[F.coalesce(pick(v, "n"), F.lit(0)).alias(f"{v}_count") for v in views],
-    )
-    whole = Window.partitionBy()
-    for v in views:
-        wide = wide.withColumn(
-            f"overall_{v}", F.max(F.when(F.col("overall"), F.col(f"{v}_{stat}"))).over(whole))
-    weekly = wide.where(~F.col("overall")).drop("overall")
+    pick = lambda v, col: f"max(if(view = '{v}', {col}, NULL))"
+    wide = stats.groupBy("overall", "week").agg(*map(F.expr, [
+        *[f"{pick(v, stat)} AS {v}_{stat}" for v in views],
+        *[f"coalesce({pick(v, 'n')}, 0) AS {v}_count" for v in views]]))
+    weekly = wide.selectExpr("*", *[
+        f"max(if(overall, {v}_{stat}, NULL)) OVER () AS overall_{v}" for v in views]).where("NOT overall")
     return with_trend(
-        weekly, "week", {f"{v}_{stat}": f"trend_{v}" for v in views},
-        fallback={f"{v}_{stat}": F.col(f"overall_{v}") for v in views})
+        weekly.drop("overall"), "week", {f"{v}_{stat}": f"trend_{v}" for v in views},
+        fallback={f"{v}_{stat}": f"overall_{v}" for v in views})
 
 
 def weekend_response(df: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseload.plans.oracle_views import with_views
@@ -22,13 +21,13 @@ def comparable(df: DataFrame) -> DataFrame:
     """Whole numbers as bigint, fractions as double rounded to six digits, no negative zero."""
     out = []
     for f in df.schema.fields:
-        col = F.col(f"`{f.name}`")
+        col = f"`{f.name}`"
         if isinstance(f.dataType, T.IntegralType):
-            col = col.cast("bigint")
+            col = f"CAST({col} AS BIGINT)"
         elif isinstance(f.dataType, (T.FractionalType, T.DecimalType)):
-            col = F.round(col.cast("double") + F.lit(float(NUDGE)), DIGITS) + F.lit(0.0)
-        out.append(col.alias(f.name))
-    return df.select(*out)
+            col = f"round(CAST({col} AS DOUBLE) + {NUDGE}D, {DIGITS}) + 0D"
+        out.append(f"{col} AS `{f.name}`")
+    return df.selectExpr(*out)
 
 
 def query(name: str, sql: str | None = None, doubles: str = ""):

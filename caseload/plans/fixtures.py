@@ -40,6 +40,18 @@ def _minutes(expr: str) -> str:
     return f"make_dt_interval(0, 0, CAST({expr} AS INT), 0)"
 
 
+TICKET_OWNERS = ["Gillie", "Girly E", "Nora", "Nova", "Chris S", "Francis", "Shan D", "Bhushan", "Richie", None]
+PIPELINES = ["0", "147307289", "648529801", "667370066", "724973238", "76337708", "77634704", "803109779",
+             "Live Chat ", "95256452", "95947431"]
+PRIMARY_AGENTS = ["Wynn AI", "Sales Agent", "Agent Scrape", "ChatBot", "Shan", "Chris", "Nora", "Gillie", "Spencer", None]
+
+
+def _pick(key: str, names: list[str | None]) -> str:
+    """The name at position ``key`` modulo the length of the list."""
+    items = ", ".join("NULL" if n is None else f"'{n}'" for n in names)
+    return f"get(array({items}), CAST({key} % {len(names)} AS INT))"
+
+
 def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     created = f"o_orderdate + {_minutes('(o_orderkey * 37) % 1440')}"
     return table(spark, sf_dir, "orders").selectExpr(
@@ -50,13 +62,8 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate + "
         f"{_minutes('(o_orderkey * 37) % 1440 + (o_orderkey * 7919) % 4001 - 200')} END AS first_response_ts_utc",
         f"{created} + {_minutes('(o_orderkey * 101) % 20000')} AS last_modified_ts_utc",
-        "CASE o_custkey % 10 WHEN 0 THEN 'Gillie' WHEN 1 THEN 'Girly E' WHEN 2 THEN 'Nora' "
-        "WHEN 3 THEN 'Nova' WHEN 4 THEN 'Chris S' WHEN 5 THEN 'Francis' WHEN 6 THEN 'Shan D' "
-        "WHEN 7 THEN 'Bhushan' WHEN 8 THEN 'Richie' ELSE NULL END AS ticket_owner",
-        "CASE o_custkey % 11 WHEN 0 THEN '0' WHEN 1 THEN '147307289' WHEN 2 THEN '648529801' "
-        "WHEN 3 THEN '667370066' WHEN 4 THEN '724973238' WHEN 5 THEN '76337708' WHEN 6 THEN '77634704' "
-        "WHEN 7 THEN '803109779' WHEN 8 THEN 'Live Chat ' WHEN 9 THEN '95256452' ELSE '95947431' END "
-        "AS pipeline_raw",
+        _pick("o_custkey", TICKET_OWNERS) + " AS ticket_owner",
+        _pick("o_custkey", PIPELINES) + " AS pipeline_raw",
         "CASE WHEN o_orderkey % 17 = 0 THEN '' WHEN o_orderkey % 19 = 0 THEN 'n/a' ELSE concat("
         "lpad(CAST(((o_orderkey * 7919) % 4001) div 60 AS STRING), 2, '0'), ':', "
         "lpad(CAST(((o_orderkey * 7919) % 4001) % 60 AS STRING), 2, '0'), ':', "
@@ -85,20 +92,16 @@ def raw_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "load_seq", F.explode(F.expr("CASE WHEN event_type = 'error' THEN array(0, 1) ELSE array(0) END")))
     return events.selectExpr(
         "event_id AS chat_id", "load_seq", "ts AS created_ts_utc",
-        "CASE user_id % 10 WHEN 0 THEN 'Wynn AI' WHEN 1 THEN 'Sales Agent' WHEN 2 THEN 'Agent Scrape' "
-        "WHEN 3 THEN 'ChatBot' WHEN 4 THEN 'Shan' WHEN 5 THEN 'Chris' WHEN 6 THEN 'Nora' "
-        "WHEN 7 THEN 'Gillie' WHEN 8 THEN 'Spencer' ELSE NULL END AS primary_agent_raw",
-        "CASE event_id % 6 WHEN 0 THEN 'Chris' WHEN 1 THEN 'Nora' ELSE NULL END AS secondary_agent_raw",
-        "CASE event_id % 6 WHEN 0 THEN 'Chris,Gillie' WHEN 1 THEN ' nora n ' WHEN 2 THEN 'Shan' ELSE '' END "
-        "AS human_agents",
+        _pick("user_id", PRIMARY_AGENTS) + " AS primary_agent_raw",
+        _pick("event_id", ["Chris", "Nora", None, None, None, None]) + " AS secondary_agent_raw",
+        _pick("event_id", ["Chris,Gillie", " nora n ", "Shan", "", "", ""]) + " AS human_agents",
         "CASE event_type WHEN 'signup' THEN 'rated good' WHEN 'error' THEN 'rated bad' WHEN 'view' THEN '4' "
         "WHEN 'click' THEN '9' ELSE 'not rated' END AS rate_raw",
         "CASE WHEN event_id % 97 = 0 THEN 'n/a' ELSE CAST((event_id * 53) % 3600 + load_seq AS STRING) END "
         "AS duration_raw",
         "CAST((event_id * 7) % 600 AS STRING) AS first_response_raw",
         "CAST((event_id * 11) % 900 AS STRING) AS avg_response_raw",
-        "CASE user_id % 7 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' WHEN 2 THEN 'GB' WHEN 3 THEN 'IN' WHEN 4 THEN 'PH' "
-        "WHEN 5 THEN 'US' ELSE NULL END AS country",
+        _pick("user_id", ["US", "CA", "GB", "IN", "PH", "US", None]) + " AS country",
         "CASE WHEN event_id % 5 = 0 THEN 'chatbot-transfer' END AS tag1",
         "CAST(NULL AS STRING) AS tag2",
     )

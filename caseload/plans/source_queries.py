@@ -141,6 +141,18 @@ def _(spark, sf):
         "ticket_id", "create_ts_utc", "case_owner", "pipeline")
 
 
+@query("s7_stored_tickets", """
+SELECT case_owner, count(*) AS tickets, max(create_ts_local) AS newest FROM tickets
+WHERE create_ts_utc BETWEEN TIMESTAMP '1998-02-10' AND TIMESTAMP '1998-11-20' GROUP BY 1""")
+def _(spark, sf):
+    """The normalised table stored in month folders; the range reads ten of them."""
+    path = scratch_path(spark, "stored")
+    tables.store_by_month(fx.tickets(spark, sf), path, "create_ts_utc")
+    stored = spark.read.parquet(path)
+    return tables.get_tickets(stored, dt.datetime(1998, 2, 10), dt.datetime(1998, 11, 20)).groupBy("case_owner").agg(
+        F.count(F.lit(1)).alias("tickets"), F.max("create_ts_local").alias("newest"))
+
+
 @query("s8_get_chats", """
 SELECT chat_id, created_ts_utc, agent_type, display_agent FROM first_chats
 WHERE created_ts_utc BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND agent_type = 'bot'

@@ -13,6 +13,17 @@ from caseload.operators import filters
 CELL_LIMIT = 49_000
 
 
+def store_by_month(df: DataFrame, path: str, ts: str, mode: str = "errorifexists") -> None:
+    """Write a normalised table as Parquet in month folders, so that ranges prune folders.
+
+    The rebalance hint gives every month files of about the advisory size: large months are split
+    over several tasks, small ones share one.
+    """
+    month = filters.MONTH_COLUMNS[ts]
+    keyed = df.withColumn(month, F.trunc(F.to_date(ts), "month"))
+    keyed.hint("rebalance", month).write.mode(mode).partitionBy(month).parquet(path)
+
+
 def get_tickets(df: DataFrame, start=None, end=None, pipeline: str | None = None,
                 owner: str | None = None, limit: int | None = None) -> DataFrame:
     """Newest first; ties by id."""
