@@ -68,14 +68,14 @@ def agent_trends(grid: DataFrame, agents: list[str] = dims.REPORT_AGENTS) -> Dat
 def top_pipelines(df: DataFrame, k: int = 6) -> DataFrame:
     """The ``k`` pipelines with most tickets; ties by name."""
     counts = df.where(F.col("pipeline").isNotNull()).groupBy("pipeline").agg(
-        F.count(F.lit(1)).alias("pipeline_tickets"))
+        F.count("*").alias("pipeline_tickets"))
     return counts.orderBy(F.desc("pipeline_tickets"), "pipeline").limit(k)
 
 
 def _grid(df: DataFrame, agents: list[str], k: int) -> DataFrame:
     """Every agent with tickets next to every top pipeline, at most ``k`` times the agents."""
     present = df.where(F.col("case_owner").isin(agents)).groupBy("case_owner").agg(
-        F.count(F.lit(1)).alias("agent_tickets"))
+        F.count("*").alias("agent_tickets"))
     cells = top_pipelines(df, k).withColumn(
         "case_owner", F.explode(F.array(*[F.lit(a) for a in agents])))
     return cells.join(present, "case_owner")
@@ -85,7 +85,7 @@ def pipeline_distribution(df: DataFrame, agents: list[str] = dims.REPORT_AGENTS,
     """Tickets and share of the agent's tickets in each top pipeline."""
     df = filters.drop_spam(df)
     counts = df.where(F.col("case_owner").isin(agents)).groupBy("case_owner", "pipeline").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count("*").alias("n"))
     joined = _grid(df, agents, k).join(counts, ["case_owner", "pipeline"], "left")
     tickets = F.coalesce("n", F.lit(0))
     return joined.select(

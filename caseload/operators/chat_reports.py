@@ -12,11 +12,10 @@ from caseload.functions import times, values
 from caseload.operators import filters
 from caseload.operators.trends import last_rows, with_trend
 
-ROWS = F.lit(1)
 
 
 def _n(cond: Column | None = None) -> Column:
-    return F.count(ROWS) if cond is None else F.count_if(cond)
+    return F.count("*") if cond is None else F.count_if(cond)
 
 
 def _is(kind: str) -> Column:
@@ -40,7 +39,7 @@ def chat_volume(df: DataFrame) -> DataFrame:
     whole = Window.partitionBy()
     peak = F.struct(-F.col("chats"), F.col("date"))
     daily = daily.withColumns({
-        "total_days": F.count(ROWS).over(whole),
+        "total_days": F.count("*").over(whole),
         "mean_daily": F.avg("chats").over(whole),
         "peak_day": F.min_by("date", peak).over(whole),
         "peak_chats": F.max("chats").over(whole),
@@ -192,7 +191,7 @@ def geography(df: DataFrame, n: int = 10) -> DataFrame:
     counts = df.where(F.col("country").isNotNull()).groupBy("country").agg(_n().alias("chats"))
     whole = Window.partitionBy()
     return counts.withColumns({
-        "total_countries": F.count(ROWS).over(whole),
+        "total_countries": F.count("*").over(whole),
         "top_country": F.min_by("country", F.struct(-F.col("chats"), F.col("country"))).over(whole),
     }).orderBy(F.desc("chats"), "country").limit(n)
 

@@ -19,7 +19,7 @@ def conversation_stats(convs: DataFrame, as_of: dt.datetime) -> DataFrame:
     """V1: conversations, those not deleted, queries, and those updated in the last 7 whole days."""
     age = F.timestamp_diff("DAY", F.col("last_updated"), ntz(as_of))
     return convs.agg(
-        F.count(F.lit(1)).alias("total_conversations"),
+        F.count("*").alias("total_conversations"),
         F.count_if(~F.coalesce("deleted", F.lit(False))).alias("active_conversations"),
         F.coalesce(F.sum("query_count"), F.lit(0)).alias("total_queries"),
         F.count_if(age <= ACTIVE_DAYS).alias("recent_conversations"))

@@ -18,7 +18,7 @@ def cross_channel(tickets: DataFrame, chats: DataFrame) -> DataFrame:
     """Interactions, share of each channel and the agents of both channels."""
     weekday = ~F.col("is_weekend")
     t = tickets.agg(
-        F.lit("tickets").alias("channel"), F.count(F.lit(1)).alias("interactions"),
+        F.lit("tickets").alias("channel"), F.count("*").alias("interactions"),
         F.count_distinct(F.when(weekday, F.col("case_owner"))).alias("agents"))
     c = chat_overview(chats).select(
         F.lit("chats").alias("channel"), F.col("total_chats").alias("interactions"),

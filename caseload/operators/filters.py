@@ -53,7 +53,7 @@ def range_counts(df: DataFrame, start, end, ts: str = "create_ts_utc") -> DataFr
         inside = inside & (F.col(ts) >= ntz(start))
     if end is not None:
         inside = inside & (F.col(ts) <= ntz(end))
-    return df.agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(inside).alias("rows_after"))
+    return df.agg(F.count("*").alias("rows_before"), F.count_if(inside).alias("rows_after"))
 
 
 def drop_spam(df: DataFrame) -> DataFrame:

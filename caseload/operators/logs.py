@@ -28,7 +28,7 @@ def recent_logs(df: DataFrame, as_of: dt.datetime, hours: int = 24, level: str |
 def log_stats(df: DataFrame) -> DataFrame:
     """L2: rows per level next to the total and the oldest and newest time."""
     counts = df.groupBy(F.coalesce("level", F.lit("UNKNOWN")).alias("level")).agg(
-        F.count(F.lit(1)).alias("logs"), F.min("ts_utc").alias("lo"), F.max("ts_utc").alias("hi"))
+        F.count("*").alias("logs"), F.min("ts_utc").alias("lo"), F.max("ts_utc").alias("hi"))
     whole = Window.partitionBy()
     return counts.select(
         "level", "logs", F.sum("logs").over(whole).alias("total_logs"),
@@ -52,7 +52,7 @@ def run_summary(df: DataFrame, n: int = 10) -> DataFrame:
     span = F.timestamp_diff("MILLISECOND", F.min("ts_utc"), F.max("ts_utc"))
     runs = df.groupBy("run_id").agg(
         F.min("ts_utc").alias("start_time"), F.max("ts_utc").alias("end_time"), span.alias("duration_ms"),
-        F.count(F.lit(1)).alias("entries"), is_level("ERROR").alias("error_count"),
+        F.count("*").alias("entries"), is_level("ERROR").alias("error_count"),
         is_level("WARNING").alias("warning_count"))
     line = F.concat(F.lit("["), F.coalesce("stage", F.lit("UNKNOWN")), F.lit("] "),
                     F.coalesce("message", F.lit("")))

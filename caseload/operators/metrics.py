@@ -11,13 +11,12 @@ from caseload.functions import times, values
 from caseload.operators.distribution import summarize
 from caseload.operators.ticket_reports import HOURS
 
-ROWS = F.lit(1)
 
 
 def ticket_volume_metrics(df: DataFrame) -> DataFrame:
     """M1."""
     return df.agg(
-        F.count(ROWS).alias("total_records"), F.count(ROWS).alias("total_tickets"),
+        F.count("*").alias("total_records"), F.count("*").alias("total_tickets"),
         F.lit(0).cast("bigint").alias("total_chats"),
         F.count_if(F.col("is_weekend").eqNullSafe(False)).alias("weekday_records"),
         F.count_if(F.col("is_weekend").eqNullSafe(True)).alias("weekend_records"))
@@ -52,7 +51,7 @@ def agent_metrics(df: DataFrame, agents: list[str] = dims.REPORT_AGENTS) -> Data
         F.coalesce(F.max("n_rows"), F.lit(0)).alias("top_volume_count"),
         F.min_by("case_owner", fast).alias("fastest_agent"),
         values.rounded(F.min("median"), 2).alias("fastest_response_hours"),
-        F.count(ROWS).alias("agent_count"),
+        F.count("*").alias("agent_count"),
         F.array_join(names, ", ").alias("agents_list"))
 
 
@@ -63,7 +62,7 @@ def sla_metrics(df: DataFrame) -> DataFrame:
         F.count_if(valid & (F.col(HOURS) <= h)), F.count_if(valid), None), 1)
     open_ = times.business_hours(F.col("create_ts_local"))
     return df.agg(
-        values.rounded(values.percent(F.count_if(open_), F.count(ROWS), None), 1).alias("business_hours_percentage"),
+        values.rounded(values.percent(F.count_if(open_), F.count("*"), None), 1).alias("business_hours_percentage"),
         within(1).alias("response_under_1hour_percentage"),
         within(4).alias("response_under_4hour_percentage"))
 
@@ -72,8 +71,8 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     """M5."""
     return df.agg(
         F.count(HOURS).alias("records_with_response_time"),
-        (F.count(ROWS) - F.count(HOURS)).alias("records_missing_data"),
-        values.rounded(values.percent(F.count(HOURS), F.count(ROWS)), 1).alias("data_quality_score"))
+        (F.count("*") - F.count(HOURS)).alias("records_missing_data"),
+        values.rounded(values.percent(F.count(HOURS), F.count("*")), 1).alias("data_quality_score"))
 
 
 def chat_metrics(df: DataFrame, agent: str = "display_agent") -> DataFrame:
@@ -89,13 +88,13 @@ def chat_metrics(df: DataFrame, agent: str = "display_agent") -> DataFrame:
     bots, humans = hits(dims.METRIC_BOT_NAMES), hits(dims.REPORT_AGENTS)
 
     def leader(col: str):
-        counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("k")).agg(F.count(ROWS).alias("n"))
+        counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("k")).agg(F.count("*").alias("n"))
         first = F.min(F.struct((-F.col("n")).alias("neg"), F.col("k")))
         return counts.agg(first.alias("m")).scalar()
 
     one = df.agg(
-        F.count(ROWS).alias("total_records"), F.lit(0).cast("bigint").alias("total_tickets"),
-        F.count(ROWS).alias("total_chats"),
+        F.count("*").alias("total_records"), F.lit(0).cast("bigint").alias("total_tickets"),
+        F.count("*").alias("total_chats"),
         F.count_if(~weekend).alias("weekday_records"), F.count_if(weekend).alias("weekend_records"),
         bots.alias("total_bot_chats"), humans.alias("total_human_chats"),
         values.rounded(F.avg("rating_value"), 1).alias("bot_satisfaction_rate"),
@@ -168,7 +167,7 @@ def diagnose(df: DataFrame, requirements: dict[str, list[str]], key: str) -> Dat
     needed = sorted({c for cols in requirements.values() for c in cols})
     present = [c for c in needed if c in df.columns]
     # Rows are counted per id first, so that duplicates need no distinct over the whole table.
-    per_id = df.groupBy(key).agg(F.count(ROWS).alias("n"), *[F.count(c).alias(f"c_{c}") for c in present])
+    per_id = df.groupBy(key).agg(F.count("*").alias("n"), *[F.count(c).alias(f"c_{c}") for c in present])
     one = per_id.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_ids"),
@@ -193,7 +192,7 @@ def insights(df: DataFrame) -> DataFrame:
     columns their three most frequent values when the result is small; the row count comes last.
     """
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
-    picks, aggs = [], [F.count(ROWS).alias("n")]
+    picks, aggs = [], [F.count("*").alias("n")]
     for i, c in enumerate(df.columns):
         low, col = c.lower(), F.col(f"`{c}`")
         if "response" in low and "time" in low:
@@ -211,7 +210,7 @@ def insights(df: DataFrame) -> DataFrame:
             text = F.array_join(F.transform(
                 first, lambda t: F.concat(t["k"], F.lit(": "), (-t["r"]).cast("string"))), ", ")
             tops = (df.where(col.isNotNull()).groupBy(col.cast("string").alias("k"))
-                    .agg(F.count(ROWS).alias("n")).orderBy(F.desc("n"), "k").limit(3)
+                    .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(3)
                     .agg(text.alias("t")).scalar())
             picks.append((F.col("n") <= SMALL_RESULT, F.concat(F.lit("Top agents: "), tops)))
     picks.append((F.lit(True), F.format_string("Dataset: %,d records analyzed", F.col("n"))))

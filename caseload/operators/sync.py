@@ -80,8 +80,9 @@ def state_row(spark: SparkSession, feed: str, last_sync: dt.datetime, records: i
 
 
 def save_state(state: DataFrame, row: DataFrame) -> DataFrame:
-    """Field-merge of one feed's state into the state table."""
-    return upsert_merge(state, row, "feed")
+    """Field-merge of one feed's state into the state table, by one aggregation and no join."""
+    both = state.withColumn("_seq", F.lit(0)).unionByName(row.withColumn("_seq", F.lit(1)))
+    return collapse_delta(both, "feed", "_seq", always=()).select(*state.columns)
 
 
 def load_state(state: DataFrame, feed: str, as_of: dt.datetime) -> dt.datetime:
@@ -93,12 +94,12 @@ def load_state(state: DataFrame, feed: str, as_of: dt.datetime) -> dt.datetime:
 def feed_state(df: DataFrame, feed: str, ts: str, as_of: dt.datetime, status: str = "success") -> DataFrame:
     """The state a sync leaves behind, taken from the synced rows themselves."""
     return df.agg(
-        F.lit(feed).alias("feed"), F.max(ts).alias("last_sync"), F.count(F.lit(1)).alias("records"),
+        F.lit(feed).alias("feed"), F.max(ts).alias("last_sync"), F.count("*").alias("records"),
         F.lit(status).alias("status"), ntz(as_of).alias("updated_at"))
 
 
 def refresh_metadata(tickets: DataFrame, chats: DataFrame, as_of: dt.datetime) -> DataFrame:
     """The counts written next to a full refresh."""
-    rows = lambda df, name: df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("records"))
+    rows = lambda df, name: df.agg(F.lit(name).alias("table_name"), F.count("*").alias("records"))
     both = rows(tickets, "tickets").unionByName(rows(chats, "chats"))
     return both.withColumn("last_updated", ntz(as_of))

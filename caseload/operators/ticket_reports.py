@@ -23,14 +23,14 @@ def _not_live_chat() -> Column:
 def tickets_by_pipeline(df: DataFrame) -> DataFrame:
     """A1."""
     return df.where(F.col("pipeline").isNotNull()).groupBy("pipeline").agg(
-        F.count(F.lit(1)).alias("tickets"))
+        F.count("*").alias("tickets"))
 
 
 def weekend_distribution(df: DataFrame) -> DataFrame:
     """A2: counts and shares of weekday and weekend tickets."""
     counts = df.groupBy(
         F.when(F.col("is_weekend"), "Weekend").otherwise("Weekday").alias("category")
-    ).agg(F.count(F.lit(1)).alias("tickets"))
+    ).agg(F.count("*").alias("tickets"))
     whole = F.sum("tickets").over(Window.partitionBy())
     return counts.withColumn("share_pct", values.percent(F.col("tickets"), whole))
 
@@ -38,7 +38,7 @@ def weekend_distribution(df: DataFrame) -> DataFrame:
 def daily_volume_trend(df: DataFrame, ts: str = "create_ts_local") -> DataFrame:
     """A3: tickets per day with the fitted line."""
     daily = df.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(
-        F.count(F.lit(1)).alias("tickets"))
+        F.count("*").alias("tickets"))
     return with_trend(daily, "day", {"tickets": "trend"})
 
 
@@ -47,7 +47,7 @@ def ticket_summary(df: DataFrame) -> DataFrame:
     weekday = ~F.col("is_weekend")
     typical = summarize(
         df.select(F.when(weekday & _not_live_chat(), F.col(HOURS)).alias("v")), [], "v")
-    total, weekend = F.count(F.lit(1)), F.count_if(F.col("is_weekend"))
+    total, weekend = F.count("*"), F.count_if(F.col("is_weekend"))
     owner = F.when(weekday, F.col("case_owner"))
     one = df.agg(
         total.alias("total_tickets"),
@@ -74,7 +74,7 @@ def ticket_cards(df: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
         filters.between(df, "create_ts_utc", as_of - dt.timedelta(days=days), as_of))
     weekday = ~F.col("is_weekend") & _not_live_chat()
     typical = summarize(window.select(F.when(weekday, F.col(HOURS)).alias("v")), [], "v")
-    total, weekend = F.count(F.lit(1)), F.count_if(F.col("is_weekend"))
+    total, weekend = F.count("*"), F.count_if(F.col("is_weekend"))
     rate = lambda c: c / F.lit(float(days))
     return window.agg(
         total.alias("total_tickets"),
@@ -91,7 +91,7 @@ def pipeline_breakdown(df: DataFrame, owner: str = "case_owner") -> DataFrame:
 
     The map has one entry per pipeline, and pipelines are counted before the map is built.
     """
-    counts = df.groupBy(owner, "pipeline").agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(owner, "pipeline").agg(F.count("*").alias("n"))
     entry = F.when(F.col("pipeline").isNotNull(), F.struct("pipeline", "n"))
     # Greatest count first, then the first name.
     ranked = F.array_sort(
@@ -122,7 +122,7 @@ def agent_table(df: DataFrame) -> DataFrame:
     stats = summarize(
         weekday.select("case_owner", F.when(_not_live_chat(), F.col(HOURS)).alias("v")),
         ["case_owner"], "v")
-    total = filters.view(df, "weekday").agg(F.count(F.lit(1))).scalar()
+    total = filters.view(df, "weekday").agg(F.count("*")).scalar()
     return stats.join(pipeline_breakdown(weekday), "case_owner").select(
         F.col("case_owner").alias("agent"), "tickets",
         values.rounded(F.col("tickets") / total * 100, 1).alias("share_pct"),
@@ -144,7 +144,7 @@ def weekly_response(df: DataFrame, stat: str = "median") -> DataFrame:
     _check_stat(stat)
     week = times.bucket(F.col("create_ts_local"), "week_mon")
     counted = df.groupBy(week.alias("week"), "is_weekend", F.col(HOURS).alias("v")).agg(
-        F.count(F.lit(1)).alias("w"))
+        F.count("*").alias("w"))
     views = F.array(F.lit("all"), F.when(F.col("is_weekend"), "weekend").otherwise("weekday"))
     keyed = counted.withColumn("view", F.explode(views)).withColumn(
         "overall", F.explode(F.array(F.lit(False), F.lit(True))))
@@ -197,7 +197,7 @@ def volume_by_grain(df: DataFrame, grain: str = "monthly", n: int = 10,
         raise ValueError(f"unknown grain {grain!r}, expected one of {sorted(VOLUME_GRAINS)}")
     counts = df.where(F.col(ts).isNotNull()).groupBy(
         times.bucket(F.col(ts), VOLUME_GRAINS[grain]).alias("period")).agg(
-        F.count(F.lit(1)).alias("tickets"))
+        F.count("*").alias("tickets"))
     whole = Window.partitionBy()
     counts = counts.withColumns({
         "mean_tickets": F.avg("tickets").over(whole),
@@ -211,7 +211,7 @@ def owner_performance(df: DataFrame, n: int = 10, owner: str = "ticket_owner",
                       hours: str = HOURS) -> DataFrame:
     """Owners with most tickets: count, share of all tickets, mean response."""
     counts = df.groupBy(F.col(owner).alias("owner")).agg(
-        F.count(F.lit(1)).alias("tickets"), F.avg(hours).alias("mean_response"))
+        F.count("*").alias("tickets"), F.avg(hours).alias("mean_response"))
     share = values.percent(F.col("tickets"), F.sum("tickets").over(Window.partitionBy()))
     ranked = counts.withColumn("share_pct", share).where(F.col("owner").isNotNull())
     return ranked.orderBy(F.desc("tickets"), "owner").limit(n)
@@ -237,7 +237,7 @@ def hms_agent_means(df: DataFrame, col: str, n: int = 5, owner: str = "ticket_ow
     """Mean hours of the ``n`` owners with most tickets, from ``:`` texts only."""
     hours = F.when(F.col(col).contains(":"), values.hms_hours(F.col(col)))
     top = df.where(F.col(owner).isNotNull()).groupBy(F.col(owner).alias("agent")).agg(
-        F.count(F.lit(1)).alias("all_tickets"), F.avg(hours).alias("mean_hours"),
+        F.count("*").alias("all_tickets"), F.avg(hours).alias("mean_hours"),
         F.count(hours).alias("tickets")).orderBy(F.desc("all_tickets"), "agent").limit(n)
     return top.where("tickets > 0").select("agent", "mean_hours", "tickets")
 
@@ -247,7 +247,7 @@ def period_analysis(df: DataFrame, start: dt.date, end: dt.date, n: int = 5,
     """Total and daily average of [start, end] (midnights), with the top owners as rows."""
     midnight = lambda d: dt.datetime.combine(d, dt.time())
     inside = filters.between(df, ts, midnight(start), midnight(end))
-    counts = inside.groupBy(F.col(owner).alias("owner")).agg(F.count(F.lit(1)).alias("tickets"))
+    counts = inside.groupBy(F.col(owner).alias("owner")).agg(F.count("*").alias("tickets"))
     total = F.sum("tickets").over(Window.partitionBy())
     days = (end - start).days
     return counts.withColumns({
@@ -260,8 +260,8 @@ def date_weekend_breakdown(df: DataFrame, ts: str = "create_ts_local") -> DataFr
     """Total, weekend and weekday tickets per day."""
     weekend = F.count_if(F.col("is_weekend"))
     return df.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("date")).agg(
-        F.count(F.lit(1)).alias("total"), weekend.alias("weekend"),
-        (F.count(F.lit(1)) - weekend).alias("weekday"))
+        F.count("*").alias("total"), weekend.alias("weekend"),
+        (F.count("*") - weekend).alias("weekday"))
 
 
 def _check_stat(stat: str) -> None:
@@ -289,5 +289,5 @@ def volume_with_response(df: DataFrame) -> DataFrame:
     eligible = F.when(_not_live_chat(), F.col(HOURS))
     return filters.view(df, "weekday").where(F.col("case_owner").isNotNull()).groupBy(
         F.col("case_owner").alias("agent")).agg(
-        F.count(F.lit(1)).alias("tickets"), F.avg(eligible).alias("mean_response"),
+        F.count("*").alias("tickets"), F.avg(eligible).alias("mean_response"),
         F.stddev_samp(eligible).alias("std_response"))

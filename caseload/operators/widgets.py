@@ -103,7 +103,7 @@ def volume_daily_historic(df: DataFrame, as_of: dt.datetime, range_: str = DEFAU
     rows = rows.where(F.col(ts).isNotNull())
     if not include_weekends:
         rows = rows.where(F.weekday(ts) < 5)
-    return rows.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    return rows.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("rows"))
 
 
 @report("all", "52w", "26w", "12w", "8w", "4w")
@@ -111,7 +111,7 @@ def tickets_by_pipeline(df: DataFrame, as_of: dt.datetime, range_: str = DEFAULT
                         pipelines: list[str] | None = None) -> DataFrame:
     """W2."""
     rows = filters.in_list(_tickets(df, range_, as_of), "pipeline", pipelines)
-    return rows.groupBy("pipeline").agg(F.count(F.lit(1)).alias("tickets"))
+    return rows.groupBy("pipeline").agg(F.count("*").alias("tickets"))
 
 
 @report(*WIDE)
@@ -148,7 +148,7 @@ def agent_ticket_volume_distribution(df: DataFrame, as_of: dt.datetime, range_:
 
 
 def _agent_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(F.col("case_owner").alias("agent")).agg(F.count(F.lit(1)).alias("tickets"))
+    return rows.groupBy(F.col("case_owner").alias("agent")).agg(F.count("*").alias("tickets"))
 
 
 @report(*WIDE)
@@ -176,7 +176,7 @@ def chat_weekly_volume_breakdown(df: DataFrame, as_of: dt.datetime, range_: str
     rows, quarterly = _period(_chats(df, range_, as_of), "created_ts_local", range_)
     human = F.coalesce(F.col("bot_transfer"), F.lit(False))
     counts = rows.groupBy("period").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(~human).alias("bot"), F.count_if(human).alias("human"))
+        F.count("*").alias("total"), F.count_if(~human).alias("bot"), F.count_if(human).alias("human"))
     out = with_trend(_labelled(counts, quarterly), "period", {"total": "trend"})
     keep = [s for s in SERIES if s in series and (s != "trend" or "total" in series)]
     return out.select("period", "label", *keep)
@@ -209,7 +209,7 @@ def bot_volume_duration(df: DataFrame, as_of: dt.datetime, range_: str = DEFAULT
     rows = filters.in_list(
         _chats(df, range_, as_of).where(F.col("agent_type") == "bot"), "display_agent", bots)
     return rows.groupBy(F.col("display_agent").alias("bot")).agg(
-        F.count(F.lit(1)).alias("chats"), F.avg("duration_minutes").alias("mean_duration"))
+        F.count("*").alias("chats"), F.avg("duration_minutes").alias("mean_duration"))
 
 
 @report(*CHAT_WIDE)
@@ -238,7 +238,7 @@ def agent_weekly_ticket_volume_by_agent(df: DataFrame, as_of: dt.datetime, range
                                         agents: list[str] | None = None) -> DataFrame:
     """Tickets per week (or per each of the last four quarters) and team member."""
     rows, quarterly = _period(_team(_tickets(df, range_, as_of), agents), "create_ts_local", range_)
-    counts = rows.groupBy("period", F.col("case_owner").alias("agent")).agg(F.count(F.lit(1)).alias("tickets"))
+    counts = rows.groupBy("period", F.col("case_owner").alias("agent")).agg(F.count("*").alias("tickets"))
     if quarterly:
         recent = F.dense_rank().over(Window.orderBy(F.desc("period")))
         counts = counts.withColumn("_r", recent).where(F.col("_r") <= 4).drop("_r")
@@ -263,8 +263,8 @@ def daily_chat_trends_performance(df: DataFrame, ratings: DataFrame, as_of: dt.d
     rows = dedup(filters.between(df, "created_ts_utc", start, end), key, order)
     moved = F.count_if(F.col("bot_transfer"))
     daily = rows.where(F.col("date").isNotNull()).groupBy("date").agg(
-        F.count(F.lit(1)).alias("chats"), moved.alias("transfers"),
-        values.percent(moved, F.count(F.lit(1))).alias("transfer_rate"))
+        F.count("*").alias("chats"), moved.alias("transfers"),
+        values.percent(moved, F.count("*")).alias("transfer_rate"))
     scores = ratings.where(F.col("date").between(F.lit(start.date()), F.lit(end.date()))).select(
         "date", "satisfaction_pct")
     return join_daily_satisfaction(daily, scores)
@@ -293,7 +293,7 @@ def pipeline_distribution_by_agent(df: DataFrame, as_of: dt.datetime, range_: st
     ``wide`` pivots over the known labels (or ``pipelines``); the long form has every label.
     """
     rows = filters.in_list(_team(_tickets(df, range_, as_of), agents), "pipeline", pipelines)
-    counts = rows.groupBy(F.col("case_owner").alias("agent"), "pipeline").agg(F.count(F.lit(1)).alias("tickets"))
+    counts = rows.groupBy(F.col("case_owner").alias("agent"), "pipeline").agg(F.count("*").alias("tickets"))
     if not wide:
         return counts
     cell = lambda p: F.sum(F.when(F.col("pipeline") == p, F.col("tickets")).otherwise(0)).alias(p)
@@ -323,7 +323,7 @@ def historic_weekly_volume(df: DataFrame, as_of: dt.datetime, range_: str = DEFA
     rows = filters.in_list(_tickets(df, range_, as_of), "case_owner", agents)
     rows = filters.in_list(rows, "pipeline", pipelines)
     rows, quarterly = _period(rows, "create_ts_local", range_, week="week_mon")
-    counts = rows.groupBy("period").agg(F.count(F.lit(1)).alias("tickets"))
+    counts = rows.groupBy("period").agg(F.count("*").alias("tickets"))
     return _labelled(counts, quarterly)
 
 

@@ -58,7 +58,7 @@ def _(spark, sf):
     tickets, out = _tickets(spark, sf), None
     for name in _NAMED:
         part = filters.filter_named_range(tickets, name, "tickets", fx.TICKETS_AS_OF).agg(
-            F.lit(name).alias("range_name"), F.count(F.lit(1)).alias("rows"),
+            F.lit(name).alias("range_name"), F.count("*").alias("rows"),
             F.min("create_ts_utc").alias("first_ts"), F.max("create_ts_utc").alias("last_ts"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -112,7 +112,7 @@ def _(spark, sf):
     tickets, out = _tickets(spark, sf), None
     for name in _REL:
         part = filters.filter_relative(tickets, name, fx.TICKETS_AS_OF.date()).agg(
-            F.lit(name).alias("period"), F.count(F.lit(1)).alias("rows"), F.max("ticket_id").alias("last_id"))
+            F.lit(name).alias("period"), F.count("*").alias("rows"), F.max("ticket_id").alias("last_id"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -154,7 +154,7 @@ def _(spark, sf):
     out = _tickets(spark, sf)
     for grain in ("day", "week_mon", "week_tue", "month", "quarter"):
         out = filters.bucketed(out, "create_ts_local", grain, grain)
-    return out.groupBy("day", "week_mon", "week_tue", "month", "quarter").agg(F.count(F.lit(1)).alias("tickets"))
+    return out.groupBy("day", "week_mon", "week_tue", "month", "quarter").agg(F.count("*").alias("tickets"))
 
 
 @query("f14_search", """

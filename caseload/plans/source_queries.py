@@ -105,7 +105,7 @@ def _(spark, sf):
     files.write_csv(fx.ticket_store(spark, sf), f"{base}/a-first.csv")
     files.write_csv(fx.ticket_delta(spark, sf), f"{base}/b-second.csv")
     return files.latest_table(spark, base).agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.col("ticket_id").cast("bigint")).alias("last_id"),
+        F.count("*").alias("rows"), F.max(F.col("ticket_id").cast("bigint")).alias("last_id"),
         F.count_distinct(F.nullif("subject", F.lit(""))).alias("subjects"))
 
 
@@ -150,7 +150,7 @@ def _(spark, sf):
     tables.store_by_month(fx.tickets(spark, sf), path, "create_ts_utc")
     stored = spark.read.parquet(path)
     return tables.get_tickets(stored, dt.datetime(1998, 2, 10), dt.datetime(1998, 11, 20)).groupBy("case_owner").agg(
-        F.count(F.lit(1)).alias("tickets"), F.max("create_ts_local").alias("newest"))
+        F.count("*").alias("tickets"), F.max("create_ts_local").alias("newest"))
 
 
 @query("s8_get_chats", """

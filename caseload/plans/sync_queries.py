@@ -110,7 +110,7 @@ def _(spark, sf):
     feeds.run_available(
         stream.withColumn("file_date", feeds.file_date(folder)), target, scratch_path(spark, "checkpoint"))
     return spark.read.parquet(target).groupBy("file_date").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("reply_hms").alias("replies"),
+        F.count("*").alias("rows"), F.count("reply_hms").alias("replies"),
         F.min(F.col("ticket_id").cast("bigint")).alias("first_id"),
         F.max(F.col("ticket_id").cast("bigint")).alias("last_id"))
 

@@ -281,5 +281,5 @@ def _(spark, sf):
 
     from caseload.operators import joins
 
-    daily = joins.dedup(_c(spark, sf), "chat_id", ["load_seq"]).groupBy("date").agg(F.count(F.lit(1)).alias("chats"))
+    daily = joins.dedup(_c(spark, sf), "chat_id", ["load_seq"]).groupBy("date").agg(F.count("*").alias("chats"))
     return w.join_daily_satisfaction(daily, _ratings(spark, sf).select("date", "satisfaction_pct"))
