@@ -27,6 +27,11 @@ def parse_utc(col: Column) -> Column:
     return F.coalesce(col.try_cast("timestamp"), *parsed).cast("timestamp_ntz")
 
 
+def parse_iso(col: Column) -> Column:
+    """ISO-8601 text to UTC wall clock; bad text is NULL."""
+    return col.try_cast("timestamp").cast("timestamp_ntz")
+
+
 def to_zone(ts_utc: Column, zone: str) -> Column:
     """Wall clock of a zone. ``from_utc_timestamp`` resolves a literal zone once per task, while
     ``convert_timezone`` parses both zone names for every row."""

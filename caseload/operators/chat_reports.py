@@ -303,7 +303,8 @@ def chat_cards(df: DataFrame, as_of: dt.datetime, days: int, ratings: DataFrame
         values.percent(_n(_good()), _n(F.col("has_rating"))).alias("satisfaction_pct"))
     if ratings is None:
         return one
-    inside = ratings.where(F.col("date").between(F.lit(start.date()), F.lit(as_of.date())))
+    first, last = filters.local_days((start, as_of), "chats")
+    inside = ratings.where(F.col("date").between(F.lit(first), F.lit(last)))
     rate = inside.agg(values.percent(F.sum("good"), F.sum("good") + F.sum("bad"))).scalar()
     return one.withColumn("satisfaction_pct", rate)
 

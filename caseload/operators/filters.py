@@ -42,13 +42,17 @@ def between(df: DataFrame, ts: str, start: dt.datetime | None, end: dt.datetime
 
 
 def filter_range(df: DataFrame, start, end, ts: str = "create_ts_utc") -> DataFrame:
-    """rows whose UTC time lies in [start, end]. Tickets need both bounds, else all rows stay."""
+    """rows whose UTC time lies in [start, end]; tickets need both bounds, else all rows stay."""
+    if ts == "create_ts_utc" and (start is None or end is None):
+        return df
     return between(df, ts, start, end)
 
 
 def range_counts(df: DataFrame, start, end, ts: str = "create_ts_utc") -> DataFrame:
     """rows before and after the range filter, in one pass."""
     inside = F.lit(True)
+    if ts == "create_ts_utc" and (start is None or end is None):
+        start = end = None
     if start is not None:
         inside = inside & (F.col(ts) >= ntz(start))
     if end is not None:
@@ -103,6 +107,13 @@ def named_range(name: str, source: str, as_of: dt.datetime) -> tuple[dt.datetime
     return day.replace(hour=0, minute=0, second=0, microsecond=0) - offset, as_of
 
 
+def local_days(bounds: tuple[dt.datetime, dt.datetime], source: str) -> tuple[dt.date, dt.date]:
+    """The days in the source's zone on which UTC bounds fall."""
+    zone = ZoneInfo(SOURCE_ZONE[source])
+    day = lambda m: m.replace(tzinfo=dt.timezone.utc).astimezone(zone).date()
+    return day(bounds[0]), day(bounds[1])
+
+
 def filter_named_range(df: DataFrame, name: str, source: str, as_of: dt.datetime,
                        ts: str | None = None) -> DataFrame:
     ts = ts or ("create_ts_utc" if source == "tickets" else "created_ts_utc")

@@ -71,6 +71,17 @@ def _chats(df: DataFrame, range_: str, as_of: dt.datetime) -> DataFrame:
     return dedup(inside, key, order)
 
 
+def _chat_bounds(range_: str, as_of: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
+    """Bounds of reports that read the ratings feed: ``all`` means its last 12 weeks."""
+    start, end = filters.named_range(range_, "chats", as_of)
+    return start or as_of - dt.timedelta(weeks=12), end or as_of
+
+
+def _rating_days(ratings: DataFrame, bounds: tuple[dt.datetime, dt.datetime]) -> DataFrame:
+    first, last = filters.local_days(bounds, "chats")
+    return ratings.where(F.col("date").between(F.lit(first), F.lit(last)))
+
+
 def _period(df: DataFrame, ts: str, range_: str, week: str = "week_tue") -> tuple[DataFrame, bool]:
     """Add ``period`` (a date) by the grain rule; the flag tells whether it is quarterly.
 
@@ -189,9 +200,7 @@ def weekly_bot_satisfaction(ratings: DataFrame, as_of: dt.datetime, range_: str
     ``ratings`` is the output of ``explode_ratings``. ``all`` means the last 12 weeks here, ``7d``
     the last seven days that have ratings.
     """
-    start, end = filters.named_range(range_, "chats", as_of)
-    start = start or as_of - dt.timedelta(weeks=12)
-    days = ratings.where(F.col("date").between(F.lit(start.date()), F.lit((end or as_of).date())))
+    days = _rating_days(ratings, _chat_bounds(range_, as_of))
     if range_ == "7d":
         rows, quarterly = last_rows(days, ["date"], 7).withColumn("period", F.col("date")), False
     else:
@@ -257,17 +266,14 @@ def performance_vs_volume(df: DataFrame, as_of: dt.datetime, range_: str = DEFAU
 def daily_chat_trends_performance(df: DataFrame, ratings: DataFrame, as_of: dt.datetime,
                                   range_: str = DEFAULT_RANGE) -> DataFrame:
     """W14 with J7: chats, transfers and transfer rate per day joined with that day's satisfaction."""
-    start, end = filters.named_range(range_, "chats", as_of)
-    start, end = start or as_of - dt.timedelta(weeks=12), end or as_of
+    bounds = _chat_bounds(range_, as_of)
     key, order = CHAT_DEDUP
-    rows = dedup(filters.between(df, "created_ts_utc", start, end), key, order)
+    rows = dedup(filters.between(df, "created_ts_utc", *bounds), key, order)
     moved = F.count_if(F.col("bot_transfer"))
     daily = rows.where(F.col("date").isNotNull()).groupBy("date").agg(
         F.count("*").alias("chats"), moved.alias("transfers"),
         values.percent(moved, F.count("*")).alias("transfer_rate"))
-    scores = ratings.where(F.col("date").between(F.lit(start.date()), F.lit(end.date()))).select(
-        "date", "satisfaction_pct")
-    return join_daily_satisfaction(daily, scores)
+    return join_daily_satisfaction(daily, _rating_days(ratings, bounds).select("date", "satisfaction_pct"))
 
 
 def join_daily_satisfaction(daily: DataFrame, scores: DataFrame) -> DataFrame:

@@ -226,7 +226,7 @@ SELECT count(*) AS total_chats, count(*) / 14 AS chats_per_day, count(*) FILTER
   count(*) FILTER (WHERE bot_transfer) * 100.0 / count(*) AS transfer_rate,
   count(*) FILTER (WHERE NOT bot_transfer) * 100.0 / count(*) AS bot_resolution_pct,
   (SELECT sum(good) * 100.0 / sum(total) FROM ratings
-    WHERE date BETWEEN DATE '2024-01-17' AND DATE '2024-01-31') AS satisfaction_pct
+    WHERE date BETWEEN DATE '2024-01-16' AND DATE '2024-01-30') AS satisfaction_pct
 FROM chats WHERE {_RANGE}""", "chats_per_day transfer_rate bot_resolution_pct satisfaction_pct")
 def _(spark, sf):
     scores = payloads.explode_ratings(fx.ratings_map(spark, sf))

@@ -211,6 +211,29 @@ def _(spark, sf):
     return tables.export_strings(fx.tickets(spark, sf), "tickets", fx.TICKETS_AS_OF, 365, cols)
 
 
+@query("s13_export_tickets", """
+SELECT CAST(ticket_id AS VARCHAR) AS ticket_id, strftime(create_ts_local, '%Y-%m (%B)') AS month_year,
+  year(create_ts_local) || '-Q' || quarter(create_ts_local) AS fy_quarter_full,
+  coalesce(CAST(round(CAST(first_response_hours AS DECIMAL(38,12)), 2)::DOUBLE AS VARCHAR), '') AS response_hours_clean,
+  CAST(round(CAST(epoch(TIMESTAMP '2001-08-02' - create_ts_utc) / 86400 AS DECIMAL(38,12)), 1)::DOUBLE AS VARCHAR) AS ticket_age_days,
+  '' AS "QA - Channel"
+FROM tickets WHERE create_ts_utc >= TIMESTAMP '2001-08-02' - INTERVAL 365 DAY""")
+def _(spark, sf):
+    return tables.export_tickets(fx.tickets(spark, sf), fx.TICKETS_AS_OF).select(
+        "ticket_id", "month_year", "fy_quarter_full", "response_hours_clean", "ticket_age_days", "`QA - Channel`")
+
+
+@query("s13_export_chats", """
+SELECT CAST(chat_id AS VARCHAR) AS chat_id, CAST(load_seq AS VARCHAR) AS load_seq, dayname(created_ts_local) AS day_name,
+  CASE WHEN hour <= 6 THEN 'Night (0-6)' WHEN hour <= 12 THEN 'Morning (6-12)' WHEN hour <= 18 THEN 'Afternoon (12-18)'
+    ELSE 'Evening (18-24)' END AS time_period,
+  CAST(round(CAST(duration_seconds / 60 AS DECIMAL(38,12)), 2)::DOUBLE AS VARCHAR) AS duration_minutes
+FROM chats WHERE created_ts_utc >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY""")
+def _(spark, sf):
+    return tables.export_chats(fx.chats(spark, sf), fx.CHATS_AS_OF, 20).select(
+        "chat_id", "load_seq", "day_name", "time_period", "duration_minutes")
+
+
 @query("s13_export_long_text", """
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN length(text) > 49000 THEN left(text, 49000) || '...[TRUNCATED]'
   WHEN text IN ('NaT', 'nan', 'NaN', 'None', '<NA>') THEN '' ELSE text END AS text,

@@ -144,7 +144,7 @@ SELECT period, {label} AS label, CAST(sum(total) AS BIGINT) AS total_ratings,
 FROM (SELECT *, {period} AS period FROM ({source})) GROUP BY period"""
 
 
-_RANGE_DAYS = "SELECT * FROM ratings WHERE date BETWEEN DATE '2023-11-07' AND DATE '2024-01-31'"
+_RANGE_DAYS = "SELECT * FROM ratings WHERE date BETWEEN DATE '2023-11-07' AND DATE '2024-01-30'"
 
 
 @query("w8_weekly_bot_satisfaction", _w8(_RANGE_DAYS, TUE.format("CAST(date AS TIMESTAMP)"), _ISO), "satisfaction_pct")
@@ -153,14 +153,14 @@ def _(spark, sf):
 
 
 @query("w8_weekly_bot_satisfaction_quarterly",
-       _w8("SELECT * FROM ratings WHERE date BETWEEN DATE '2023-04-01' AND DATE '2024-01-31'",
+       _w8("SELECT * FROM ratings WHERE date BETWEEN DATE '2023-04-01' AND DATE '2024-01-30'",
            "CAST(date_trunc('quarter', date) AS DATE)", _Q), "satisfaction_pct")
 def _(spark, sf):
     return w.weekly_bot_satisfaction(_ratings(spark, sf), fx.CHATS_AS_OF, range_="13w")
 
 
 @query("w8_weekly_bot_satisfaction_daily",
-       _w8("SELECT * FROM ratings WHERE date BETWEEN DATE '2024-01-19' AND DATE '2024-01-31' "
+       _w8("SELECT * FROM ratings WHERE date BETWEEN DATE '2024-01-19' AND DATE '2024-01-30' "
            "ORDER BY date DESC LIMIT 7", "date", _ISO), "satisfaction_pct")
 def _(spark, sf):
     return w.weekly_bot_satisfaction(_ratings(spark, sf), fx.CHATS_AS_OF, range_="7d")
@@ -216,7 +216,7 @@ SELECT d.*, coalesce(r.satisfaction_pct, 0) AS satisfaction_pct FROM (
   SELECT date, count(*) AS chats, count(*) FILTER (WHERE bot_transfer) AS transfers,
     count(*) FILTER (WHERE bot_transfer) * 100.0 / count(*) AS transfer_rate
   FROM first_chats WHERE {_C['ytd']} GROUP BY 1) d
-LEFT JOIN ratings r ON r.date = d.date AND r.date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'""",
+LEFT JOIN ratings r ON r.date = d.date AND r.date BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'""",
        "transfer_rate satisfaction_pct")
 def _(spark, sf):
     return w.daily_chat_trends_performance(

@@ -28,7 +28,7 @@ def flatten_tickets(df: DataFrame, properties: list[str]) -> DataFrame:
 
 
 def _seconds(start: Column, end: Column) -> Column:
-    span = times.hours_between(times.parse_utc(start), times.parse_utc(end)) * 3600
+    span = times.hours_between(times.parse_iso(start), times.parse_iso(end)) * 3600
     return F.when(span < 0, F.lit(0.0)).otherwise(span)
 
 
@@ -74,7 +74,7 @@ def parse_chat_payload(df: DataFrame, directory: dict[str, tuple[str, str]],
     created = F.coalesce("created_at", "thread.started_at", "thread.created_at")
     return base.select(
         F.col("id").alias("chat_id"),
-        times.parse_utc(created).alias("created_ts_utc"),
+        times.parse_iso(created).alias("created_ts_utc"),
         primary.alias("primary_agent"),
         F.when(kind == "bot", bot).otherwise(primary).alias("display_agent"),
         kind.alias("agent_type"),

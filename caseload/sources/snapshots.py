@@ -44,39 +44,45 @@ class SnapshotTable:
         return not commits.where((F.col("feed") == feed) & (F.col("batch_id") == number)).isEmpty()
 
     def read(self) -> DataFrame | None:
-        now = self.current()
-        return self.spark.read.parquet(now["path"]) if now else None
+        return self._at(self.current())
+
+    def _at(self, commit: dict | None) -> DataFrame | None:
+        return self.spark.read.parquet(commit["path"]) if commit else None
 
     def write(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Replace the whole table; returns the number of rows written."""
-        now = self.current()
-        version = max(time.time_ns() // 1000, (now["version"] + 1) if now else 0)
+        return self._commit(df, self.current(), batch)
+
+    def _commit(self, df: DataFrame, last: dict | None, batch: tuple[str, int] | None) -> int:
+        version = max(time.time_ns() // 1000, (last["version"] + 1) if last else 0)
         path = f"{self.base}/data-{version}"
         writer = df.write.partitionBy(*self.partition_by) if self.partition_by else df.write
         writer.parquet(path)
-        records = self.spark.read.parquet(path).count()  # Parquet footers only
+        records = self.spark.read.schema(df.schema).parquet(path).count()  # Parquet footers only
         commit = self.spark.createDataFrame([(version, path, records, *(batch or (None, None)))], COMMIT_SCHEMA)
-        commit.write.mode("append").parquet(f"{self.base}/commits")
+        commit.coalesce(1).write.mode("append").parquet(f"{self.base}/commits")
         return records
 
     def merge(self, delta: DataFrame, key: str, seq: str | None = None, batch: tuple[str, int] | None = None) -> int:
         """U1 into the stored table. A batch that is already committed is skipped."""
         if self.has_batch(batch):
             return 0
-        base = self.read()
-        fresh = sync.collapse_delta(delta, key, seq)
+        last = self.current()
+        base, fresh = self._at(last), sync.collapse_delta(delta, key, seq)
         merged = fresh if base is None else sync.upsert_merge(base, fresh, key)
-        return self.write(merged, batch)
+        return self._commit(merged, last, batch)
 
     def replace(self, delta: DataFrame, key: str, seq: str | None = None, batch: tuple[str, int] | None = None) -> int:
         """U2 into the stored table. A batch that is already committed is skipped."""
         if self.has_batch(batch):
             return 0
-        base = self.read()
+        last = self.current()
+        base = self._at(last)
         if base is None:
             base = self.spark.createDataFrame([], delta.drop(seq).schema if seq else delta.schema)
-        return self.write(sync.upsert_replace(base, delta, key, seq), batch)
+        return self._commit(sync.upsert_replace(base, delta, key, seq), last, batch)
 
     def retain(self, ts: str, days: int, as_of) -> int:
         """U3 on the stored table."""
-        return self.write(sync.retain(self.read(), ts, days, as_of))
+        last = self.current()
+        return self._commit(sync.retain(self._at(last), ts, days, as_of), last, None)

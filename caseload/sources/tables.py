@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseload.functions import values
-from caseload.operators import filters
+from caseload.operators import chats, filters, tickets
 
 CELL_LIMIT = 49_000
 
@@ -78,6 +78,25 @@ def export_strings(df: DataFrame, data_type: str, as_of: dt.datetime, days: int
     return window.select(*out, stamp.alias("Last_Updated"), F.lit(data_type).alias("Data_Type"))
 
 
+def export_tickets(df: DataFrame, as_of: dt.datetime, days: int = 365) -> DataFrame:
+    """S13 for tickets: calendar labels, response bins, business hours, age and empty review columns
+    are added before everything becomes text."""
+    rows = filters.rolling_window(df, days, as_of)
+    rows = tickets.calendar_fields(rows, "create_ts_local")
+    rows = tickets.ticket_age(tickets.business_hours(tickets.response_bins(rows)), as_of)
+    return export_strings(tickets.add_qa_fields(rows), "tickets", as_of, days)
+
+
+def export_chats(df: DataFrame, as_of: dt.datetime, days: int = 365) -> DataFrame:
+    """S13 for chats: calendar labels, time of day and rounded durations are added."""
+    rows = filters.rolling_window(df, days, as_of)
+    rows = chats.time_period(tickets.calendar_fields(rows, "created_ts_local"))
+    seconds = F.col("duration_seconds")
+    rows = rows.withColumns({
+        "duration_minutes": values.rounded(seconds / 60, 2), "duration_hours": values.rounded(seconds / 3600, 2)})
+    return export_strings(tickets.add_qa_fields(rows), "chats", as_of, days)
+
+
 def register(df: DataFrame, name: str) -> DataFrame:
     """Make a table available to ``spark.sql``."""
     df.createOrReplaceTempView(name)
