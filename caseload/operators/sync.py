@@ -51,17 +51,24 @@ def upsert_merge(base: DataFrame, delta: DataFrame, key: str, seq: str | None =
     return updated.unionByName(_new_rows(base, one, key), allowMissingColumns=True)
 
 
+def latest_rows(delta: DataFrame, key: str, seq: str | None) -> DataFrame:
+    return dedup(delta, key, [F.desc(seq)]).drop(seq) if seq else delta
+
+
 def upsert_replace(base: DataFrame, delta: DataFrame, key: str, seq: str | None = None) -> DataFrame:
     """The latest delta row of a key replaces the whole base row; new keys are added."""
-    latest = dedup(delta, key, [F.desc(seq)]).drop(seq) if seq else delta
+    latest = latest_rows(delta, key, seq)
     untouched = base.join(latest.select(key), key, "left_anti").select(*base.columns)
     return untouched.unionByName(latest, allowMissingColumns=True)
 
 
+def is_older(ts: str, days: int, as_of: dt.datetime):
+    return F.coalesce(F.col(ts) < ntz(as_of - dt.timedelta(days=days)), F.lit(False))
+
+
 def retain(df: DataFrame, ts: str, days: int, as_of: dt.datetime) -> DataFrame:
     """Drop rows older than ``days``; rows without a time stay."""
-    old = F.col(ts) < ntz(as_of - dt.timedelta(days=days))
-    return df.where(~F.coalesce(old, F.lit(False)))
+    return df.where(~is_older(ts, days, as_of))
 
 
 def incremental(df: DataFrame, last_sync: dt.datetime | None, as_of: dt.datetime, full: bool = False,

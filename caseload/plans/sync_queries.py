@@ -42,6 +42,16 @@ _REPLACED = """
 SELECT * FROM delta UNION ALL SELECT * FROM store s WHERE s.ticket_id NOT IN (SELECT ticket_id FROM delta)"""
 
 
+@query("u1_merge_stored_months", _MERGED)
+def _(spark, sf):
+    """The merge into a stored table with month folders; months without a change keep their files."""
+    month = F.trunc(F.col("last_modified_ts_utc").cast("date"), "month")
+    table = SnapshotTable(spark, scratch_path(spark, "months"), partition="month")
+    table.write(fx.ticket_store(spark, sf).withColumn("month", month))
+    table.merge(fx.ticket_delta(spark, sf).withColumn("month", month), "ticket_id")
+    return table.read().drop("month")
+
+
 @query("u2_upsert_replace", _REPLACED)
 def _(spark, sf):
     return sync.upsert_replace(fx.ticket_store(spark, sf), fx.ticket_delta(spark, sf), "ticket_id")

@@ -1,8 +1,9 @@
 """Keyed tables as Parquet snapshots with a commit log.
 
-A write goes to a new folder and becomes visible with one appended commit row, so readers never see
-a half-written table and a lost executor or driver leaves the last commit in force. One writer at a
-time.
+Every write goes to a new folder and becomes visible with commit rows appended in one file, so
+readers never see half of a change and a lost executor or driver leaves the last commit in force.
+With a partition column (a month, say) a merge rewrites only the partitions it touches. One writer
+at a time.
 """
 
 from __future__ import annotations
@@ -15,74 +16,122 @@ from pyspark.sql import functions as F
 
 from caseload.operators import sync
 
-COMMIT_SCHEMA = "version bigint, path string, records bigint, feed string, batch_id bigint"
+COMMIT_SCHEMA = (
+    "version bigint, whole boolean, part string, path string, records bigint, feed string, batch_id bigint")
+Batch = tuple[str, int]
 
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, base: str, partition_by: list[str] | None = None):
-        self.spark, self.base, self.partition_by = spark, base.rstrip("/"), partition_by or []
+    def __init__(self, spark: SparkSession, base: str, partition: str | None = None):
+        self.spark, self.base, self.partition = spark, base.rstrip("/"), partition
 
-    def _commits(self) -> DataFrame | None:
+    def _log(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.base}/commits")
         except AnalysisException:
             return None
 
-    def current(self) -> dict | None:
-        commits = self._commits()
-        if commits is None:
-            return None
-        row = commits.agg(F.max(F.struct("version", "path", "records")).alias("c")).first()["c"]
-        return row.asDict() if row else None
+    def paths(self) -> dict[str | None, str]:
+        """Folder in force of each partition (of the table, without a partition column).
+
+        The result has one entry per partition, so its size is that of the partition listing.
+        """
+        log = self._log()
+        if log is None:
+            return {}
+        start = log.where("whole").agg(F.max("version")).scalar()
+        latest = log.where(F.col("version") >= start).groupBy("part").agg(
+            F.max_by("path", "version").alias("path"))
+        return {r["part"]: r["path"] for r in latest.collect() if r["path"] is not None}
 
-    def has_batch(self, batch: tuple[str, int] | None) -> bool:
+    def has_batch(self, batch: Batch | None) -> bool:
         """Whether a micro-batch, named by its feed and number, is already part of the table."""
-        commits = self._commits()
-        if commits is None or batch is None:
+        log = self._log() if batch else None
+        if log is None:
             return False
         feed, number = batch
-        return not commits.where((F.col("feed") == feed) & (F.col("batch_id") == number)).isEmpty()
+        return not log.where((F.col("feed") == feed) & (F.col("batch_id") == number)).isEmpty()
 
     def read(self) -> DataFrame | None:
-        return self._at(self.current())
+        return self._open(self.paths())
 
-    def _at(self, commit: dict | None) -> DataFrame | None:
-        return self.spark.read.parquet(commit["path"]) if commit else None
+    def _open(self, paths: dict[str | None, str], parts: set[str] | None = None) -> DataFrame | None:
+        if not paths:
+            return None
+        chosen = [p for part, p in paths.items() if parts is None or part in parts]
+        reader = self.spark.read.option("basePath", f"{self.base}/data")
+        # No partition chosen still needs the columns, so one folder is opened without its rows.
+        df = reader.parquet(*(chosen or list(paths.values())[:1])).drop("snapshot")
+        return df if chosen else df.where("false")
 
-    def write(self, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
+    def write(self, df: DataFrame, batch: Batch | None = None) -> int:
         """Replace the whole table; returns the number of rows written."""
-        return self._commit(df, self.current(), batch)
-
-    def _commit(self, df: DataFrame, last: dict | None, batch: tuple[str, int] | None) -> int:
-        version = max(time.time_ns() // 1000, (last["version"] + 1) if last else 0)
-        path = f"{self.base}/data-{version}"
-        writer = df.write.partitionBy(*self.partition_by) if self.partition_by else df.write
-        writer.parquet(path)
-        records = self.spark.read.schema(df.schema).parquet(path).count()  # Parquet footers only
-        commit = self.spark.createDataFrame([(version, path, records, *(batch or (None, None)))], COMMIT_SCHEMA)
-        commit.coalesce(1).write.mode("append").parquet(f"{self.base}/commits")
-        return records
-
-    def merge(self, delta: DataFrame, key: str, seq: str | None = None, batch: tuple[str, int] | None = None) -> int:
-        """U1 into the stored table. A batch that is already committed is skipped."""
-        if self.has_batch(batch):
-            return 0
-        last = self.current()
-        base, fresh = self._at(last), sync.collapse_delta(delta, key, seq)
-        merged = fresh if base is None else sync.upsert_merge(base, fresh, key)
-        return self._commit(merged, last, batch)
-
-    def replace(self, delta: DataFrame, key: str, seq: str | None = None, batch: tuple[str, int] | None = None) -> int:
-        """U2 into the stored table. A batch that is already committed is skipped."""
+        return self._commit(df, None, batch)
+
+    def _commit(self, df: DataFrame, touched: set[str] | None, batch: Batch | None) -> int:
+        """Write ``df`` as the new content of the touched partitions, or of the whole table."""
+        version = time.time_ns() // 1000
+        path = f"{self.base}/data/snapshot={version}"
+        feed, number = batch or (None, None)
+        if self.partition is None:
+            df.write.parquet(path)
+            counts = [(None, self.spark.read.schema(df.schema).parquet(path).count())]
+        else:
+            df.hint("rebalance", self.partition).write.partitionBy(self.partition).parquet(path)
+            key = F.col(self.partition).cast("string").alias("part")
+            stored = self.spark.read.schema(df.schema).parquet(path)
+            counts = [tuple(r) for r in stored.groupBy(key).count().collect()]
+        rows = [(version, touched is None, part, self._folder(path, part), n, feed, number) for part, n in counts]
+        gone = (touched or set()) - {part for part, _ in counts}
+        rows += [(version, False, part, None, 0, feed, number) for part in gone]
+        rows = rows or [(version, touched is None, None, None, 0, feed, number)]
+        self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(
+            f"{self.base}/commits")
+        return sum(n for _, n in counts)
+
+    def _folder(self, path: str, part: str | None) -> str:
+        if self.partition is None:
+            return path
+        return f"{path}/{self.partition}={'__HIVE_DEFAULT_PARTITION__' if part is None else part}"
+
+    def _touched(self, table: DataFrame, delta: DataFrame, key: str) -> set[str]:
+        """Partitions that hold a changed key or receive a changed row; at most all partitions."""
+        known = table.select(key, self.partition).join(delta.select(key), key, "left_semi")
+        parts = known.select(self.partition)
+        if self.partition in delta.columns:
+            parts = parts.unionByName(delta.select(self.partition).where(F.col(self.partition).isNotNull()))
+        rows = parts.select(F.col(self.partition).cast("string").alias("p")).distinct().collect()
+        return {r["p"] for r in rows}
+
+    def _change(self, delta: DataFrame, key: str, apply, batch: Batch | None) -> int:
         if self.has_batch(batch):
             return 0
-        last = self.current()
-        base = self._at(last)
-        if base is None:
-            base = self.spark.createDataFrame([], delta.drop(seq).schema if seq else delta.schema)
-        return self._commit(sync.upsert_replace(base, delta, key, seq), last, batch)
+        paths = self.paths()
+        if not paths:
+            return self._commit(delta, None, batch)
+        if self.partition is None:
+            return self._commit(apply(self._open(paths), delta, key), None, batch)
+        table = self._open(paths)
+        new = set(delta.columns) - set(table.columns)
+        if new:
+            raise ValueError(f"columns {sorted(new)} are not part of the partitioned table")
+        touched = self._touched(table, delta, key)
+        return self._commit(apply(self._open(paths, touched), delta, key), touched, batch)
+
+    def merge(self, delta: DataFrame, key: str, seq: str | None = None, batch: Batch | None = None) -> int:
+        """U1 into the stored table; returns the rows written. A batch already committed is skipped."""
+        return self._change(sync.collapse_delta(delta, key, seq), key, sync.upsert_merge, batch)
+
+    def replace(self, delta: DataFrame, key: str, seq: str | None = None, batch: Batch | None = None) -> int:
+        """U2 into the stored table; returns the rows written. A batch already committed is skipped."""
+        return self._change(sync.latest_rows(delta, key, seq), key, sync.upsert_replace, batch)
 
     def retain(self, ts: str, days: int, as_of) -> int:
-        """U3 on the stored table."""
-        last = self.current()
-        return self._commit(sync.retain(self._at(last), ts, days, as_of), last, None)
+        """U3 on the stored table: only partitions with old rows are rewritten or dropped."""
+        paths = self.paths()
+        table = self._open(paths)
+        if self.partition is None:
+            return self._commit(sync.retain(table, ts, days, as_of), None, None)
+        old = table.where(sync.is_older(ts, days, as_of)).select(F.col(self.partition).cast("string").alias("p"))
+        touched = {r["p"] for r in old.distinct().collect()}
+        return self._commit(sync.retain(self._open(paths, touched), ts, days, as_of), touched, None)

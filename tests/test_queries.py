@@ -23,7 +23,7 @@ def test_same_rows_as_duckdb(spark, con, name):
     assert error is None, error
 
 
-SIDE_EFFECTS = ("m7_", "s1_", "s2_", "s4_", "s7_stored", "s12_", "u6_", "st1_", "st3_", "st4_")
+SIDE_EFFECTS = ("m7_", "s1_", "s2_", "s4_", "s7_stored", "s12_", "u1_merge", "u6_", "st1_", "st3_", "st4_")
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(SIDE_EFFECTS)))

@@ -62,7 +62,7 @@ def test_snapshot_shows_only_committed_data(spark, base):
     assert table.read() is None
     assert table.write(base) == 2
     # Data without a commit row, as a lost driver leaves it, stays invisible.
-    base.unionByName(base).write.parquet(f"{table.base}/data-99999999999999999")
+    base.unionByName(base).write.parquet(f"{table.base}/data/snapshot=99999999999999999")
     assert table.read().count() == 2
 
 
@@ -75,6 +75,47 @@ def test_replayed_batch_has_no_second_effect(rows, spark, base):
     assert rowset(table.read()) == [(1, "first", "r"), (2, "other", "r")]
 
 
+def test_partitioned_merge_rewrites_only_touched_partitions(rows, spark):
+    shape = "id int, a string, month string"
+    table = SnapshotTable(spark, scratch_path(spark, "t"), partition="month")
+    start = rows([(i, "old", f"m{i % 4}") for i in range(12)], shape)
+    table.write(start)
+    before = table.paths()
+    # One changed key, one new key, one key that moves to another month.
+    delta = rows([(0, "new", None), (100, "new", "m1"), (5, "moved", "m9")], shape)
+    table.merge(delta, "id")
+    after = table.paths()
+    assert {p for p in before if before[p] == after[p]} == {"m2", "m3"}
+    expected = sync.upsert_merge(start, delta, "id")
+    get = lambda df: sorted(tuple(r) for r in df.select("id", "a", "month").collect())
+    assert get(table.read()) == get(expected)
+    # The same change again leaves the content as it is.
+    table.merge(delta, "id")
+    assert get(table.read()) == get(expected)
+    with pytest.raises(ValueError):
+        table.merge(rows([(1, 1)], "id int, unknown int"), "id")
+
+
+def test_partitioned_retention_drops_whole_months(rows, spark):
+    shape = "id int, ts timestamp_ntz, month string"
+    table = SnapshotTable(spark, scratch_path(spark, "t"), partition="month")
+    table.write(rows([(1, D(2024, 1, 5), "a"), (2, D(2025, 1, 5), "b"), (3, D(2025, 1, 20), "b"), (4, None, "c")], shape))
+    keep = table.paths()["c"]
+    table.retain("ts", 20, D(2025, 1, 31))
+    assert sorted(r["id"] for r in table.read().collect()) == [3, 4]
+    assert set(table.paths()) == {"b", "c"} and table.paths()["c"] == keep
+    table.write(rows([(9, None, "z")], shape))
+    assert set(table.paths()) == {"z"}
+
+
+def test_replace_into_stored_table(rows, spark, base):
+    table = SnapshotTable(spark, scratch_path(spark, "t"))
+    delta = rows([(1, "late", None, 2), (1, "early", "r", 1), (4, "w", "q", 1)], SHAPE + ", seq int")
+    table.replace(delta.where("id = 4"), "id", "seq")
+    table.replace(delta, "id", "seq")
+    assert rowset(table.read()) == [(1, "late", None), (4, "w", "q")] and len(table.paths()) == 1
+
+
 def test_stream_result_is_batch_result(rows, spark, base):
     delta = rows([(1, "n", "g"), (3, "z", "ok"), (2, None, "p")], SHAPE)
     path = scratch_path(spark, "in")
