@@ -34,9 +34,16 @@ def staff_name(owner: Column) -> Column:
 
 
 def team_member(owner: Column) -> Column:
-    """Canonical team name, NULL for managers, tests and unknown people."""
-    text = F.trim(F.lower(owner))
-    return F.when(~contains_any(text, dims.NON_TEAM_WORDS), lookup(text, dims.TEAM_NAMES))
+    """Canonical team name, NULL for everybody else.
+
+    Managers, tests and administrators need no rule of their own: no name of the table contains one
+    of ``NON_TEAM_WORDS``.
+    """
+    return lookup(F.trim(F.lower(owner)), dims.TEAM_NAMES)
+
+
+def is_team_member(owner: Column) -> Column:
+    return F.trim(F.lower(owner)).isin(list(dims.TEAM_NAMES))
 
 
 def pipeline_label(pipeline_id: Column) -> Column:

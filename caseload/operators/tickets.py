@@ -67,7 +67,8 @@ def map_staff(df: DataFrame, owner: str = "ticket_owner") -> DataFrame:
 
 def normalize_cs_agents(df: DataFrame, owner: str = "case_owner") -> DataFrame:
     """Canonical team names; rows of anybody else are dropped."""
-    return df.withColumn(owner, values.team_member(F.col(owner))).where(F.col(owner).isNotNull())
+    team = df.where(values.is_team_member(F.col(owner)))
+    return team.withColumn(owner, values.team_member(F.col(owner)))
 
 
 def map_pipelines(df: DataFrame, src: str = "pipeline_raw") -> DataFrame:
@@ -76,9 +77,13 @@ def map_pipelines(df: DataFrame, src: str = "pipeline_raw") -> DataFrame:
 
 
 def display_pipeline(df: DataFrame) -> DataFrame:
-    """Short display labels without the spam pipeline."""
-    out = df.withColumn("pipeline", values.pipeline_display(F.col("pipeline")))
-    return out.where(F.col("pipeline") != dims.SPAM_DISPLAY)
+    """Short display labels without the spam pipeline.
+
+    The filter comes first, on the name itself: no other name is shown as spam, and a filter on the
+    label would repeat the lookup for every row.
+    """
+    kept = df.where(~F.trim("pipeline").eqNullSafe(dims.SPAM_DISPLAY))
+    return kept.withColumn("pipeline", values.pipeline_display(F.col("pipeline")))
 
 
 def weekend_flag(df: DataFrame) -> DataFrame:

@@ -275,3 +275,8 @@ def test_extra_bots(rows):
     df = rows([("Site Bot", None)], "primary_agent_raw string, secondary_agent_raw string")
     r = chat_ops.display_agent(chat_ops.classify_agent(df, more), more).first()
     assert (r["agent_type"], r["display_agent"]) == ("bot", "Agent Scrape")
+
+
+def test_no_team_name_contains_an_excluded_word():
+    assert not [n for n in dims.TEAM_NAMES for w in dims.NON_TEAM_WORDS if w in n]
+    assert dims.SPAM_DISPLAY not in dims.PIPELINE_DISPLAY.values()
