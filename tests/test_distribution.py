@@ -92,6 +92,23 @@ def test_exact_for_values_within_one_cell(rows):
     assert [r["q25"], r["median"], r["q75"]] == pytest.approx(list(np.quantile(flat, [0.25, 0.5, 0.75])), abs=1e-15)
 
 
+def test_cells_follow_the_order_of_values(spark):
+    from caseload.operators.distribution import CELL
+
+    df = spark.range(-200_000, 200_000).selectExpr("pow(id / 1000, 3) / 50 AS v").selectExpr("v", f"{CELL} AS cell")
+    cells = [r["cell"] for r in df.orderBy("v").collect()]
+    assert cells == sorted(cells)
+    year = spark.range(0, 8766 * 60).selectExpr("id / 60 AS v").selectExpr(f"{CELL} AS cell")
+    assert year.distinct().count() < 3100
+
+
+def test_negative_and_large_values(rows):
+    data = [(float(x),) for x in (-5000, -7.5, -6, -5.99, -0.01, 0, 0.01, 5.99, 6, 6.01, 9000.5, 1e7)]
+    got = summarize(rows(data, "v double"), [], "v", QUARTILES).first()
+    want = list(np.quantile([v for v, in data], [0.25, 0.5, 0.75]))
+    assert [got["q25"], got["median"], got["q75"]] == pytest.approx(want)
+
+
 def test_group_of_nulls_only_keeps_its_row(rows):
     r = summarize(rows([("a", None), ("a", None)], "k string, v double"), ["k"], "v").select(
         "*", F.lit(1).alias("one")).collect()
