@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseload import dims
 from caseload.functions import values
 from caseload.operators import filters
 from caseload.operators.chat_reports import chat_overview

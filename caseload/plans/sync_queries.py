@@ -164,5 +164,7 @@ def _(spark, sf):
     rows = fx.raw_chats(spark, sf).select("chat_id", "load_seq", "created_ts_utc")
     rows.repartitionByRange(4, "created_ts_utc").write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    feeds.run_available(feeds.stream_dedup(stream, delay="40 days"), target, scratch_path(spark, "checkpoint"))
+    feeds.run_available(
+        feeds.stream_dedup(stream, delay="40 days"), target, scratch_path(spark, "checkpoint"),
+        state_partitions=spark.sparkContext.defaultParallelism)
     return spark.read.parquet(target).select("chat_id", "created_ts_utc")

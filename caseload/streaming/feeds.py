@@ -26,11 +26,23 @@ def stream_files(spark: SparkSession, path: str, columns: list[str], max_files:
                        file_date(source).alias("file_date"))
 
 
-def run_available(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Append what is there now to a Parquet table and stop."""
-    (stream.writeStream.format("parquet").option("path", target)
-     .option("checkpointLocation", checkpoint).outputMode("append")
-     .trigger(availableNow=True).start().awaitTermination())
+def run_available(stream: DataFrame, target: str, checkpoint: str, state_partitions: int | None = None) -> None:
+    """Append what is there now to a Parquet table and stop.
+
+    ``state_partitions`` sets the number of state stores of a stateful stream. It is fixed by the first
+    run of a checkpoint and adaptive execution does not change it, so size it to the cluster.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    try:
+        if state_partitions:
+            conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+        query = (
+            stream.writeStream.format("parquet").option("path", target)
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
+    query.awaitTermination()
 
 
 def stream_upsert(stream: DataFrame, table: SnapshotTable, key: str, checkpoint: str,
