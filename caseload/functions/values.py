@@ -96,17 +96,23 @@ def score_text(score: Column) -> Column:
     )
 
 
+def number(text: Column) -> Column:
+    """Text as a number; junk and ``nan`` are NULL."""
+    parsed = F.trim(text).try_cast("double")
+    return F.when(~F.isnan(parsed), parsed)
+
+
 def number_or_zero(text: Column) -> Column:
-    return F.coalesce(F.trim(text).try_cast("double"), F.lit(0.0))
+    return F.coalesce(number(text), F.lit(0.0))
 
 
 def hms_hours(text: Column) -> Column:
     """``HH:mm[:ss]`` or a plain number as hours, junk as NULL."""
     parts = F.split(text, ":")
-    piece = lambda i: F.trim(F.get(parts, F.lit(i))).try_cast("double")
+    piece = lambda i: number(F.get(parts, F.lit(i)))
     clock = piece(0) + piece(1) / 60
     return (
-        F.when(~text.contains(":"), F.trim(text).try_cast("double"))
+        F.when(~text.contains(":"), number(text))
         .when(F.size(parts) == 3, clock + piece(2) / 3600)
         .otherwise(clock)
     )

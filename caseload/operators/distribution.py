@@ -46,14 +46,16 @@ def summarize(
     weight: str | None = None,
 ) -> DataFrame:
     """One row per group: ``n_rows`` (all rows), ``n`` (rows with a value), mean, std, min, max and
-    one column for each entry of ``ranks``. A group without any value keeps its row, with NULLs.
+    one column for each entry of ``ranks``. NaN and infinities count as missing. A group without any
+    value keeps its row, with NULLs.
     """
     ranks = MEDIAN if ranks is None else ranks
     group = f"struct({', '.join(f'`{k}`' for k in keys)})" if keys else "0"
     # The cell is never NULL: the join below then adds no filter under the aggregate, and both uses of
     # these counts share one shuffle.
     counted = (
-        df.selectExpr(f"{group} AS g", f"`{value}` AS v", f"{weight or 1} AS w")
+        df.selectExpr(f"{group} AS g", f"if(abs(`{value}`) < double('infinity'), `{value}`, NULL) AS v",
+                      f"{weight or 1} AS w")
         .groupBy("g", "v").agg(F.expr("sum(w) AS w"))
         .selectExpr("g", "v", "w", f"coalesce({CELL}, {NO_CELL}L) AS cell")
     )

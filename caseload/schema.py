@@ -193,7 +193,7 @@ def apply_types(
     """Types for a table that was read back as text; what does not parse becomes NULL."""
     present = set(df.columns)
     out = {c: times.parse_utc(physical(c)) for c in dates if c in present}
-    out |= {c: F.trim(physical(c)).try_cast("double") for c in numbers if c in present}
+    out |= {c: values.number(physical(c)) for c in numbers if c in present}
     out |= {c: physical(c).try_cast("boolean") for c in booleans if c in present}
     return df.withColumns(out)
 

@@ -28,8 +28,11 @@ def flatten_tickets(df: DataFrame, properties: list[str]) -> DataFrame:
 
 
 def _seconds(start: Column, end: Column) -> Column:
-    span = times.hours_between(times.parse_iso(start), times.parse_iso(end)) * 3600
-    return F.when(span < 0, F.lit(0.0)).otherwise(span)
+    return times.micros_between(times.parse_iso(start), times.parse_iso(end)) / F.lit(1000000.0)
+
+
+def _not_negative(name: str) -> Column:
+    return F.when(F.col(name) < 0, F.lit(0.0)).otherwise(F.col(name))
 
 
 def parse_chat_payload(df: DataFrame, directory: dict[str, tuple[str, str]],
@@ -60,8 +63,6 @@ def parse_chat_payload(df: DataFrame, directory: dict[str, tuple[str, str]],
         "_events": F.coalesce("thread.events", F.array().cast(
             "array<struct<type:string,created_at:string,author_type:string>>")),
     })
-    bot = F.try_element_at("_bots", F.lit(-1))
-    kind = F.when(bot.isNotNull() & (F.size("_humans") == 0), "bot").otherwise("human")
     primary = F.when(F.col("_first.id").isNotNull(), F.col("_first.name"))
     score = F.col("properties.rating.score")
 
@@ -69,8 +70,17 @@ def parse_chat_payload(df: DataFrame, directory: dict[str, tuple[str, str]],
         F.filter("_events", lambda e: (e["type"] == "message") & e["author_type"].isin(kinds_)
                  & e["created_at"].isNotNull()), lambda e: e["created_at"]), F.lit(1))
     at = lambda i: F.try_element_at("_events", F.lit(i))["created_at"]
-    event_span = F.nullif(_seconds(at(1), at(-1)), F.lit(0.0))
-    thread_span = _seconds(F.coalesce("thread.started_at", "thread.created_at"), F.col("thread.ended_at"))
+    # Spans get columns of their own, as each of them is used more than once below.
+    base = base.withColumns({
+        "_event_span": _seconds(at(1), at(-1)),
+        "_thread_span": _seconds(F.coalesce("thread.started_at", "thread.created_at"), F.col("thread.ended_at")),
+        "_wait": _seconds(said(["customer"]), said(["agent", "bot"])),
+        "_bot": F.try_element_at("_bots", F.lit(-1)),
+    })
+    bot = F.col("_bot")
+    kind = F.when(bot.isNotNull() & (F.size("_humans") == 0), "bot").otherwise("human")
+    duration = F.when(F.col("_event_span") > 0, F.col("_event_span")).otherwise(
+        F.coalesce(_not_negative("_thread_span"), F.lit(0.0)))
     created = F.coalesce("created_at", "thread.started_at", "thread.created_at")
     return base.select(
         F.col("id").alias("chat_id"),
@@ -85,8 +95,8 @@ def parse_chat_payload(df: DataFrame, directory: dict[str, tuple[str, str]],
         score.isNotNull().alias("has_rating"),
         F.coalesce("properties.source.type", F.lit("unknown")).alias("source"),
         F.coalesce(F.array_join("tags", ","), F.lit("")).alias("tags"),
-        (F.coalesce(event_span, thread_span, F.lit(0.0)) / 60).alias("duration_minutes"),
-        _seconds(said(["customer"]), said(["agent", "bot"])).alias("first_response_seconds"),
+        (duration / 60).alias("duration_minutes"),
+        _not_negative("_wait").alias("first_response_seconds"),
         F.array_join("_humans", ",").alias("human_agents"),
         F.coalesce(bot, F.lit("")).alias("bot_agent"),
         F.size("_staff").alias("num_agents"),

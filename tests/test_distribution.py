@@ -113,3 +113,9 @@ def test_group_of_nulls_only_keeps_its_row(rows):
     r = summarize(rows([("a", None), ("a", None)], "k string, v double"), ["k"], "v").select(
         "*", F.lit(1).alias("one")).collect()
     assert [(x["k"], x["n_rows"], x["n"], x["median"]) for x in r] == [("a", 2, 0, None)]
+
+
+def test_nan_and_infinity_count_as_missing(rows):
+    data = [(float("nan"),), (float("inf"),), (float("-inf"),), (3.0,), (1.0,)]
+    r = summarize(rows(data, "v double"), [], "v").first()
+    assert (r["n_rows"], r["n"], r["median"], r["max"]) == (5, 2, 2.0, 3.0)

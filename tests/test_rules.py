@@ -280,3 +280,10 @@ def test_extra_bots(rows):
 def test_no_team_name_contains_an_excluded_word():
     assert not [n for n in dims.TEAM_NAMES for w in dims.NON_TEAM_WORDS if w in n]
     assert dims.SPAM_DISPLAY not in dims.PIPELINE_DISPLAY.values()
+
+
+def test_not_a_number_is_missing(rows):
+    assert one(rows, ["nan", "NaN", "3", "x", None], "string", values.number_or_zero) == [0.0, 0.0, 3.0, 0.0, 0.0]
+    assert one(rows, ["nan", "nan:30", "1:nan"], "string", values.hms_hours) == [None, None, None]
+    df = rows([(float("nan"),), (2.0,), (0.0,)], "first_response_hours double")
+    assert [r[0] for r in filters.valid_hours(df).collect()] == [2.0]
