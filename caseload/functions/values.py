@@ -98,8 +98,7 @@ def score_text(score: Column) -> Column:
 
 def number(text: Column) -> Column:
     """Text as a number; junk and ``nan`` are NULL."""
-    parsed = F.trim(text).try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    return F.nanvl(F.trim(text).try_cast("double"), F.lit(None).cast("double"))
 
 
 def number_or_zero(text: Column) -> Column:
