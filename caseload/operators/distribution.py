@@ -54,9 +54,10 @@ def summarize(
     # The cell is never NULL: the join below then adds no filter under the aggregate, and both uses of
     # these counts share one shuffle.
     counted = (
-        df.selectExpr(f"{group} AS g", f"if(abs(`{value}`) < double('infinity'), `{value}`, NULL) AS v",
-                      f"{weight or 1} AS w")
+        df.selectExpr(f"{group} AS g", f"`{value}` AS v", f"{weight or 1} AS w")
         .groupBy("g", "v").agg(F.expr("sum(w) AS w"))
+        # After the grouping this is a test of a plain column for each distinct value, not for each row.
+        .selectExpr("g", "if(abs(v) < double('infinity'), v, NULL) AS v", "w")
         .selectExpr("g", "v", "w", f"coalesce({CELL}, {NO_CELL}L) AS cell")
     )
     cells = counted.groupBy("g", "cell").agg(*map(F.expr, [

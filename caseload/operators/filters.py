@@ -211,7 +211,8 @@ def in_list(df: DataFrame, col: str, wanted: list[str] | None, negate: bool = Fa
 
 def valid_hours(df: DataFrame, col: str = "first_response_hours") -> DataFrame:
     """numeric and greater than zero."""
-    return df.withColumn(col, F.col(col).try_cast("double")).where((F.col(col) > 0) & ~F.isnan(col))
+    return df.withColumn(col, F.col(col).try_cast("double")).where(
+        F.nanvl(F.col(col), F.lit(0.0)) > 0)
 
 
 def view(df: DataFrame, which: str | None = None, exclude_live_chat: bool = False) -> DataFrame:
