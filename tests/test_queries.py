@@ -4,9 +4,11 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as entry
+from caseload.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+catalog.load()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas",
              "FlatMapGroupsInPandas")
 
