@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from caseload.llm import decontam, mixing, sharding, simhash, toxicity
+from caseload.llm import decontam, fingerprint, hmm, langid, license_scan, mixing, pii, sharding, simhash, toxicity
 from caseload.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,14 +21,19 @@ def _on_documents(report: Callable[..., DataFrame], *others: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": _on_documents(license_scan.scan),
     "op2_simhash": _on_documents(simhash.report),
     "op3_mixing": _on_documents(mixing.report),
     "op4_decontamination": _on_documents(decontam.report, "benchmark"),
+    "op5_language": _on_documents(langid.report),
+    "op6_personal_data": _on_documents(pii.report),
     "op7_sharding": _on_documents(sharding.report),
+    "op8_language_model": _on_documents(hmm.report),
+    "op9_fingerprint": _on_documents(fingerprint.report),
     "op10_toxicity": _on_documents(toxicity.report, "labels"),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op4_decontamination": decontam.SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.SQL, "op4_decontamination": decontam.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -20,7 +20,7 @@ from caseload.llm.common import column, fold, stored
 from caseload.llm.ngrams import hashed
 
 SIZES = (3, 4, 5, 6)
-BITS = 18
+BITS = 20
 PER_CLASS = 6_000
 FEATURES = 4_096
 HELD_OUT, FOLDS = 2, 4
@@ -130,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     prior = (found.get(1, 0) + 0.5) / (sum(found.values()) + 1.0)
     counts = _counts(sample)
     p, q = counts[1] + ALPHA, counts[0] + ALPHA
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    sampled = sample.groupBy("toxic").count().collect()
+    texts = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in sampled}
+    ratio = np.log((p / (texts[1] + 2 * ALPHA)) / (q / (texts[0] + 2 * ALPHA)))
     sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
     sure[counts.sum(axis=0) < 2] = 0
     kept = np.sort(np.argsort(-sure, kind="stable")[:features])
@@ -142,8 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     if len(found) == 2 and len(kept):
         y, f, ends = _rows(sample, place)
         r = ratio[kept]
-        n = [max(1, int((y == k).sum())) for k in (0, 1)]
-        share = np.where(y == 1, prior / n[1], (1 - prior) / n[0])
+        share = np.where(y == 1, prior / max(1, texts[1]), (1 - prior) / max(1, texts[0]))
         row = np.repeat(np.arange(len(y)), np.diff(ends))
         w, b = np.zeros(len(kept)), bias
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
