@@ -75,7 +75,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], part: np.ndarray, seed
     """Fit on the rows where ``part`` is false and calibrate on the others (on all, if these are few)."""
     rng = np.random.default_rng(seed)
     k = len(langs)
-    scale = np.sqrt(x.shape[1])  # a share is about 1 / buckets; this brings the average embedding to size 1
+    scale = 1 / np.linalg.norm(x, axis=1).mean()  # brings the average embedding to size 1
     emb = rng.normal(0, 1 / np.sqrt(WIDTH), (x.shape[1], WIDTH))
     out, bias = np.zeros((WIDTH, k)), np.zeros(k)
     own = np.flatnonzero(~part) if (~part).any() else np.arange(len(y))
