@@ -104,7 +104,8 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], part: np.ndarray, seed
     top, right = p.max(axis=1), p.argmax(axis=1) == want
     order = np.argsort(-top)
     wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(wrong <= WRONG)
+    last = np.append(np.diff(top[order]) < 0, True)  # equal scores are accepted together
+    good = np.flatnonzero((wrong <= WRONG) & last)
     border = float(top[order][good[-1]]) if len(good) else 1.0
     return Model(langs, table / heat, bias / heat, border)
 
