@@ -29,12 +29,13 @@ from caseload.llm.common import LOWERED, column, fold, stored, texts, word_runs
 HELD_OUT, FOLDS = 2, 7
 STATES = 6
 ROUNDS = 3
+ROWS = 512  # rows whose words are held at a time
 CLASSES = 64
 OWN_SHARE = 8_000
 COMMON_SHARE = 400_000
 COMMON_BYTES = 64
 END, FIRST_CLASS = 0, 1
-CHUNK = 1_000_000  # tokens whose recursions are held at a time
+CHUNK = 300_000  # tokens whose recursions are held at a time
 SMOOTH = 0.01
 PARTS = 32
 
@@ -91,7 +92,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for text in texts(batch):
                 for words in words_of(text):
                     counts.update(words)
-                if len(counts) > 500_000:
+                if len(counts) > 300_000:
                     yield flush()
         yield flush()
 
@@ -142,7 +143,7 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         common, own = voc.common, FIRST_CLASS + CLASSES
         norms = voc.class_norm
         end_log = float(np.log10(voc.ends + 1))
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             cols: dict[str, list] = {k: [] for k in ("seq", "n", "known", "base", "inside", "norm", "rest", "times")}
             for text in texts(batch):
                 seq, known, base, inside, norm, total = [], int(voc.ends > 0), end_log, 0.0, 0.0, 1
