@@ -181,8 +181,11 @@ def _slots(sources: DataFrame, block: int, shard_blocks: int, seed: int) -> Data
 
     drawn = sources.select("src", "source_size", "target", "total").mapInPandas(
         draw, "src string, shard long, lo long, hi long, n long, last long, blocks long")
-    return drawn.repartition("src", "shard").mapInPandas(
-        expand, "src string, block long, shard long, slot long, epoch long, cut long")
+    # A row becomes up to thousands: a fixed number of partitions spreads them, and the second exchange lets
+    # the planner see the size of what it joins.
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return drawn.repartition(parts, "src", "shard").mapInPandas(
+        expand, "src string, block long, shard long, slot long, epoch long, cut long").repartition("src", "block")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED):
