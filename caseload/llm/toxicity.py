@@ -21,8 +21,8 @@ from caseload.llm.ngrams import hashed
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-PER_CLASS = 6_000
-FEATURES = 4_096
+PER_CLASS = 4_000
+FEATURES = 2_048
 HELD_OUT, FOLDS = 2, 4
 REJECT = 0.3
 STEPS = 150
@@ -81,24 +81,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return sample, found
 
 
-def _counts(sample: DataFrame) -> np.ndarray:
-    """For each class and bucket the number of sampled texts that hold it."""
+def _chosen(sample: DataFrame, texts: dict[int, int], features: int) -> list:
+    """The buckets ``b`` with the most certain log-count ratios (``ratio``), at most ``features`` of them."""
 
     def run(batches):
-        counts = np.zeros((2, 1 << BITS), dtype=np.int64)
+        counts = np.zeros((2, 1 << BITS), dtype=np.int32)
         for batch in batches:
             for kind, text in zip(column(batch, "toxic").to_pylist(), column(batch, "text")):
                 counts[kind, buckets(text.as_py())] += 1
         at = np.flatnonzero(counts.any(axis=0))
         for i in range(0, len(at), 65_536):
             a = at[i:i + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(counts[0, a]), pa.array(counts[1, a])], ["b", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(counts[0, a], pa.int64()), pa.array(counts[1, a], pa.int64())], ["b", "n0", "n1"])
 
-    rows = sample.mapInArrow(run, "b long, n0 long, n1 long").groupBy("b").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    counts = np.zeros((2, 1 << BITS))
-    counts[0, rows["b"]], counts[1, rows["b"]] = rows["n0"], rows["n1"]
-    return counts
+    p, q = F.col("n1") + ALPHA, F.col("n0") + ALPHA
+    ratio = F.ln(p / (texts[1] + 2 * ALPHA)) - F.ln(q / (texts[0] + 2 * ALPHA))
+    return (
+        sample.mapInArrow(run, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        .where("n0 + n1 >= 2").select("b", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / p + 1 / q)).alias("sure"))
+        .where("sure > 0").orderBy(F.col("sure").desc(), "b").limit(features).collect())
 
 
 def _rows(sample: DataFrame, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,9 +117,9 @@ def _rows(sample: DataFrame, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             yield pa.RecordBatch.from_arrays([column(batch, "toxic"), pa.array(found, pa.binary())], ["toxic", "f"])
 
     got = sorted((r["toxic"], bytes(r["f"])) for r in sample.mapInArrow(run, "toxic int, f binary").collect())
-    parts = [np.frombuffer(f, dtype=np.int16).astype(np.int64) for _, f in got]
+    parts = [np.frombuffer(f, dtype=np.int16) for _, f in got]
     ends = np.cumsum([0, *map(len, parts)])
-    return np.array([k for k, _ in got], dtype=np.float64), np.concatenate([np.empty(0, np.int64), *parts]), ends
+    return np.array([k for k, _ in got], dtype=np.float64), np.concatenate([np.empty(0, np.int16), *parts]), ends
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int = FEATURES, steps: int = STEPS) -> Model:
@@ -128,22 +130,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     """
     sample, found = labelled_sample(docs, labels, per_class)
     prior = (found.get(1, 0) + 0.5) / (sum(found.values()) + 1.0)
-    counts = _counts(sample)
-    p, q = counts[1] + ALPHA, counts[0] + ALPHA
-    sampled = sample.groupBy("toxic").count().collect()
-    texts = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in sampled}
-    ratio = np.log((p / (texts[1] + 2 * ALPHA)) / (q / (texts[0] + 2 * ALPHA)))
-    sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    sure[counts.sum(axis=0) < 2] = 0
-    kept = np.sort(np.argsort(-sure, kind="stable")[:features])
-    kept = kept[sure[kept] > 0]
-    place = np.full(1 << BITS, len(kept), dtype=np.int32)
+    texts = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    chosen = sorted(_chosen(sample, texts, features), key=lambda r: r["b"])
+    kept, ratio = np.array([r["b"] for r in chosen], dtype=np.int64), np.array([r["ratio"] for r in chosen])
+    place = np.full(1 << BITS, len(kept), dtype=np.int16)
     place[kept] = np.arange(len(kept))
     bias = float(np.log(prior / (1 - prior)))
     weight = np.zeros(len(kept) + 1)
     if len(found) == 2 and len(kept):
         y, f, ends = _rows(sample, place)
-        r = ratio[kept]
+        r = ratio
         share = np.where(y == 1, prior / max(1, texts[1]), (1 - prior) / max(1, texts[0]))
         row = np.repeat(np.arange(len(y)), np.diff(ends))
         w, b = np.zeros(len(kept)), bias
