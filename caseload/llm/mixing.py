@@ -181,11 +181,10 @@ def _slots(sources: DataFrame, block: int, shard_blocks: int, seed: int) -> Data
 
     drawn = sources.select("src", "source_size", "target", "total").mapInPandas(
         draw, "src string, shard long, lo long, hi long, n long, last long, blocks long")
-    # A row becomes up to thousands: a fixed number of partitions spreads them, and the second exchange lets
-    # the planner see the size of what it joins.
+    # A row becomes up to thousands: a fixed number of partitions spreads them.
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return drawn.repartition(parts, "src", "shard").mapInPandas(
-        expand, "src string, block long, shard long, slot long, epoch long, cut long").repartition("src", "block")
+        expand, "src string, block long, shard long, slot long, epoch long, cut long")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED):
@@ -209,7 +208,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, s
         .select("src", "block", "k1", "k2", "size", "start", F.greatest("start", first).alias("from"),
                 F.least("end", beyond).alias("to")))
     taken = (
-        pieces.join(_slots(sources, block, shard_blocks, seed), ["src", "block"])
+        # The planner guesses the slots from the few sources they come from and would broadcast them.
+        pieces.join(_slots(sources, block, shard_blocks, seed).hint("merge"), ["src", "block"])
         .withColumn("to", F.least("to", first + F.col("cut"))).where("`to` > `from`")
         .select("k1", "k2", "size", "shard", "slot", "epoch", (F.col("from") - F.col("start")).alias("lo"),
                 (F.col("to") - F.col("start")).alias("hi")))
