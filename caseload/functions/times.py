@@ -21,15 +21,21 @@ EXPORT_FORMATS = ["MM/dd/yyyy HH:mm", "MM/dd/yyyy hh:mm a", "MM/dd/yyyy"]
 GRAINS = ("day", "week_mon", "week_tue", "month", "quarter")
 
 
+def _dated(col: Column) -> Column:
+    """Text that begins with year and month; a cast would turn a bare clock into a time of the present day."""
+    return F.when(col.rlike(r"^\s*[0-9]{4}-[0-9]"), col).try_cast("timestamp")
+
+
 def parse_utc(col: Column) -> Column:
-    """Text to UTC wall clock; an offset in the text is honoured, bad text is NULL."""
-    parsed = [F.try_to_timestamp(col, F.lit(f)) for f in EXPORT_FORMATS]
-    return F.coalesce(col.try_cast("timestamp"), *parsed).cast("timestamp_ntz")
+    """Text to UTC wall clock; an offset in the text is honoured, bad text, a bare clock or year is NULL."""
+    text = col.cast("string")
+    parsed = [F.try_to_timestamp(text, F.lit(f)) for f in EXPORT_FORMATS]
+    return F.coalesce(_dated(text), *parsed).cast("timestamp_ntz")
 
 
 def parse_iso(col: Column) -> Column:
-    """ISO-8601 text to UTC wall clock; bad text is NULL."""
-    return col.try_cast("timestamp").cast("timestamp_ntz")
+    """ISO-8601 text to UTC wall clock; bad text, a bare clock or year is NULL."""
+    return _dated(col.cast("string")).cast("timestamp_ntz")
 
 
 def to_zone(ts_utc: Column, zone: str) -> Column:

@@ -181,15 +181,11 @@ def diagnose(df: DataFrame, requirements: dict[str, list[str]], key: str) -> Dat
         "c.*", "rows", "duplicate_ids")
 
 
-MAX_INSIGHTS = 4
-SMALL_RESULT = 10
-
-
 def insights(df: DataFrame) -> DataFrame:
-    """M9: the first four findings about a query result, chosen by column name.
+    """M9: all findings about a query result in their order, chosen by column name.
 
     Response-time columns give their mean, count-like columns their sum and maximum, agent or owner
-    columns their three most frequent values when the result is small; the row count comes last.
+    columns their three most frequent values; the row count comes last. A caller may filter by position.
     """
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
     picks, aggs = [], [F.count("*").alias("n")]
@@ -212,8 +208,7 @@ def insights(df: DataFrame) -> DataFrame:
             tops = (df.where(col.isNotNull()).groupBy(col.cast("string").alias("k"))
                     .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(3)
                     .agg(text.alias("t")).scalar())
-            picks.append((F.col("n") <= SMALL_RESULT, F.concat(F.lit("Top agents: "), tops)))
+            picks.append((F.lit(True), F.concat(F.lit("Top agents: "), tops)))
     picks.append((F.lit(True), F.format_string("Dataset: %,d records analyzed", F.col("n"))))
     found = F.array_compact(F.array(*[F.when(cond, text) for cond, text in picks]))
-    first = F.slice(found, 1, MAX_INSIGHTS)
-    return df.agg(*aggs).select(F.posexplode(first).alias("position", "insight"))
+    return df.agg(*aggs).select(F.posexplode(found).alias("position", "insight"))

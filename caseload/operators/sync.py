@@ -17,14 +17,14 @@ ALWAYS_WRITTEN = ("rate_raw",)
 def collapse_delta(delta: DataFrame, key: str, seq: str | None, always: tuple[str, ...] = ALWAYS_WRITTEN) -> DataFrame:
     """One row per key: the latest value present of each column.
 
-    Columns in ``always`` take the latest value even when it is missing, stored as empty text.
+    Columns in ``always`` take the latest value even when it is missing, stored as empty text. Without
+    ``seq``, and among equal values of it, the greatest row in the order of all columns is the latest.
     """
     cols = [c for c in delta.columns if c not in (key, seq)]
-    if seq is None:
-        return delta.withColumns({c: F.coalesce(c, F.lit("")) for c in cols if c in always})
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq)))
+    rank = F.struct(*([seq] if seq else []), *cols)
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), rank))
     return delta.groupBy(key).agg(*[
-        F.coalesce(F.max_by(c, seq), F.lit("")).alias(c) if c in always else latest(c).alias(c)
+        F.coalesce(F.max_by(c, rank), F.lit("")).alias(c) if c in always else latest(c).alias(c)
         for c in cols])
 
 
@@ -52,7 +52,10 @@ def upsert_merge(base: DataFrame, delta: DataFrame, key: str, seq: str | None =
 
 
 def latest_rows(delta: DataFrame, key: str, seq: str | None) -> DataFrame:
-    return dedup(delta, key, [F.desc(seq)]).drop(seq) if seq else delta
+    """One row per key: the latest by ``seq``, then by all columns, so the result doesn't depend on partitions."""
+    others = [F.desc(c) for c in delta.columns if c not in (key, seq)]
+    one = dedup(delta, key, [*([F.desc(seq)] if seq else []), *others])
+    return one.drop(seq) if seq else one
 
 
 def upsert_replace(base: DataFrame, delta: DataFrame, key: str, seq: str | None = None) -> DataFrame:

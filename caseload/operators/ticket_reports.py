@@ -219,9 +219,9 @@ def owner_performance(df: DataFrame, n: int = 10, owner: str = "ticket_owner",
 def hms_response_analysis(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per text column the mean, upper median, count and verdict.
 
-    Without ``cols`` the first three columns with "response" and "time" in their name are used.
+    Without ``cols`` all columns with "response" and "time" in their name are used.
     """
-    cols = cols or [c for c in df.columns if "response" in c.lower() and "time" in c.lower()][:3]
+    cols = cols or [c for c in df.columns if "response" in c.lower() and "time" in c.lower()]
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("metric"), values.hms_hours(F.col(f"`{c}`")).alias("v"))
         for c in cols])).alias("r")).select("r.*")

@@ -84,7 +84,6 @@ FROM (SELECT '/data/' || folder || '/' || name || '-' || event_id || ext AS path
     CASE user_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.csv.processed' ELSE '.txt' END AS ext FROM events))
 WHERE CASE folder WHEN 'tickets' THEN ext <> '.txt' WHEN 'chats' THEN ext = '.csv' AND name IN ('Chat_Rating', 'prechat')
     ELSE ext = '.csv' END
-  AND NOT (ext = '.csv.processed' AND length < 1000)
   AND NOT (folder = 'uploads' AND name = 'never')""".replace(
     "WHEN name LIKE '%conversation%'", "WHEN name IN ('conversation', 'Chat_Rating', 'prechat')"))
 def _(spark, sf):

@@ -16,7 +16,6 @@ CHAT_REPORT_PATTERN = (
     r"|prechat|chats_report).*\.csv")
 TICKET_FILE_PATTERN = r".*\.csv(\.processed)?"
 CHAT_WORDS = ["chat", "livechat", "conversation"]
-SMALL_PROCESSED_BYTES = 1000
 HEADER_READERS = 16
 
 
@@ -73,20 +72,19 @@ def list_files(spark: SparkSession, base: str, pattern: str = "*.csv*") -> DataF
 
 
 def classify_files(files: DataFrame) -> DataFrame:
-    """S3: ``kind`` of each file from its folder and name; small ``.processed`` files are skipped.
+    """S3: ``kind`` of each file from its folder and name; ``length`` stays, so a caller may leave out small files.
 
     Inside ``tickets/`` and ``chats/`` the folder decides, elsewhere words in the name do.
     """
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     folder = F.element_at(F.split("path", "/"), -2)
     has_word = reduce(lambda a, b: a | b, [name.contains(w) for w in CHAT_WORDS])
-    skipped = name.endswith(".processed") & (F.col("length") < SMALL_PROCESSED_BYTES)
     kind = (
         F.when(folder == "tickets", F.when(name.rlike(f"^{TICKET_FILE_PATTERN}$"), "tickets"))
         .when(folder == "chats", F.when(name.rlike(f"^{CHAT_REPORT_PATTERN}$"), "chats"))
         .when(name.rlike(r"^.*\.csv$"), F.when(has_word, "chats").otherwise("tickets"))
     )
-    return files.withColumn("kind", kind).where(F.col("kind").isNotNull() & ~skipped)
+    return files.withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
 def discover(spark: SparkSession, base: str) -> DataFrame:

@@ -287,3 +287,21 @@ def test_not_a_number_is_missing(rows):
     assert one(rows, ["nan", "nan:30", "1:nan"], "string", values.hms_hours) == [None, None, None]
     df = rows([(float("nan"),), (2.0,), (0.0,)], "first_response_hours double")
     assert [r[0] for r in filters.valid_hours(df).collect()] == [2.0]
+
+
+def test_bare_clocks_and_years_are_no_times(spark):
+    from pyspark.sql import functions as F
+
+    from caseload.functions import times
+
+    rows = spark.createDataFrame([("10:15",), ("2024",), ("T10:15:00",), ("2024-05-01 10:15:00",), (None,)], "t string")
+    got = rows.select(times.parse_utc(F.col("t")).alias("u"), times.parse_iso(F.col("t")).alias("i")).collect()
+    assert [r["u"] is None for r in got] == [True, True, True, False, True]
+    assert [r["i"] is None for r in got] == [True, True, True, False, True]
+
+
+def test_all_response_columns_are_analysed(spark):
+    from caseload.operators import ticket_reports
+
+    df = spark.createDataFrame([("01:00:00",) * 5], ", ".join(f"response_time_{i} string" for i in range(5)))
+    assert ticket_reports.hms_response_analysis(df).count() == 5

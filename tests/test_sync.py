@@ -160,3 +160,22 @@ def test_discovery_and_latest(rows, spark):
     assert [r["id"] for r in files.latest_table(spark, f"{base}/tickets").collect()] == ["2"]
     with pytest.raises(ValueError):
         files.read_tickets_csv(spark, [f"{base}/missing.csv"])
+
+
+def test_repeated_keys_without_order_give_one_row_per_key(spark):
+    from caseload.operators import sync
+
+    base = spark.createDataFrame([(1, "old")], "id long, v string")
+    delta = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d"), (2, None)], "id long, v string")
+    for fn in (sync.upsert_merge, sync.upsert_replace):
+        for parts in (1, 4):
+            assert sorted(map(tuple, fn(base, delta.repartition(parts), "id").collect())) == [(1, "b"), (2, "d")]
+
+
+def test_equal_order_values_have_a_fixed_winner(spark):
+    from caseload.operators import sync
+
+    base = spark.createDataFrame([(1, "old")], "id long, v string")
+    delta = spark.createDataFrame([(1, "a", 5), (1, "b", 5), (1, "z", 4)], "id long, v string, seq long")
+    for fn in (sync.upsert_merge, sync.upsert_replace):
+        assert sorted(map(tuple, fn(base, delta.repartition(3), "id", seq="seq").select("id", "v").collect())) == [(1, "b")]
