@@ -23,7 +23,7 @@ from caseload.operators.tickets import display_pipeline, normalize_cs_agents
 from caseload.operators.trends import last_rows, with_trend
 
 DEFAULT_RANGE = "12w"
-CHAT_DEDUP = ("chat_id", ["load_seq"])
+MOST_COLUMNS = 1_000
 
 
 @dataclass(frozen=True)
@@ -65,20 +65,22 @@ def _team(df: DataFrame, agents: list[str] | None) -> DataFrame:
     return filters.in_list(normalize_cs_agents(df), "case_owner", agents)
 
 
-def _chats(df: DataFrame, range_: str, as_of: dt.datetime) -> DataFrame:
+def _chats(df: DataFrame, range_: str, as_of: dt.datetime, *cols: str) -> DataFrame:
+    """One row per chat in the range, with the columns ``cols`` that a report reads.
+
+    The earliest copy counts; among copies of one time the smallest in the order of ``cols``, so the
+    result doesn't depend on partitions and no other column is read.
+    """
     inside = filters.filter_named_range(df, range_, "chats", as_of)
-    key, order = CHAT_DEDUP
-    return dedup(inside, key, order)
+    return dedup(inside.select("chat_id", "created_ts_utc", *cols), "chat_id", ["created_ts_utc", *cols])
 
 
-def _chat_bounds(range_: str, as_of: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
-    """Bounds of reports that read the ratings feed: ``all`` means its last 12 weeks."""
+def _rating_days(ratings: DataFrame, range_: str, as_of: dt.datetime) -> DataFrame:
+    """The days of the range; ``all`` means every day."""
     start, end = filters.named_range(range_, "chats", as_of)
-    return start or as_of - dt.timedelta(weeks=12), end or as_of
-
-
-def _rating_days(ratings: DataFrame, bounds: tuple[dt.datetime, dt.datetime]) -> DataFrame:
-    first, last = filters.local_days(bounds, "chats")
+    if start is None:
+        return ratings
+    first, last = filters.local_days((start, end or as_of), "chats")
     return ratings.where(F.col("date").between(F.lit(first), F.lit(last)))
 
 
@@ -108,7 +110,7 @@ def volume_daily_historic(df: DataFrame, as_of: dt.datetime, range_: str = DEFAU
     if source == "tickets":
         rows, ts = _tickets(df, range_, as_of), "create_ts_local"
     elif source == "chats":
-        rows, ts = _chats(df, range_, as_of), "created_ts_local"
+        rows, ts = _chats(df, range_, as_of, "created_ts_local"), "created_ts_local"
     else:
         raise ValueError(f"unknown source {source!r}")
     rows = rows.where(F.col(ts).isNotNull())
@@ -184,7 +186,7 @@ def chat_weekly_volume_breakdown(df: DataFrame, as_of: dt.datetime, range_: str
     unknown = set(series) - set(SERIES)
     if unknown:
         raise ValueError(f"unknown series {sorted(unknown)}")
-    rows, quarterly = _period(_chats(df, range_, as_of), "created_ts_local", range_)
+    rows, quarterly = _period(_chats(df, range_, as_of, "created_ts_local", "bot_transfer"), "created_ts_local", range_)
     human = F.coalesce(F.col("bot_transfer"), F.lit(False))
     counts = rows.groupBy("period").agg(
         F.count("*").alias("total"), F.count_if(~human).alias("bot"), F.count_if(human).alias("human"))
@@ -200,7 +202,7 @@ def weekly_bot_satisfaction(ratings: DataFrame, as_of: dt.datetime, range_: str
     ``ratings`` is the output of ``explode_ratings``. ``all`` means the last 12 weeks here, ``7d``
     the last seven days that have ratings.
     """
-    days = _rating_days(ratings, _chat_bounds(range_, as_of))
+    days = _rating_days(ratings, range_, as_of)
     if range_ == "7d":
         rows, quarterly = last_rows(days, ["date"], 7).withColumn("period", F.col("date")), False
     else:
@@ -215,8 +217,8 @@ def weekly_bot_satisfaction(ratings: DataFrame, as_of: dt.datetime, range_: str
 def bot_volume_duration(df: DataFrame, as_of: dt.datetime, range_: str = DEFAULT_RANGE,
                         bots: list[str] | None = None) -> DataFrame:
     """Chats and mean minutes per bot."""
-    rows = filters.in_list(
-        _chats(df, range_, as_of).where(F.col("agent_type") == "bot"), "display_agent", bots)
+    chats = _chats(df, range_, as_of, "agent_type", "display_agent", "duration_minutes")
+    rows = filters.in_list(chats.where(F.col("agent_type") == "bot"), "display_agent", bots)
     return rows.groupBy(F.col("display_agent").alias("bot")).agg(
         F.count("*").alias("chats"), F.avg("duration_minutes").alias("mean_duration"))
 
@@ -225,7 +227,7 @@ def bot_volume_duration(df: DataFrame, as_of: dt.datetime, range_: str = DEFAULT
 def human_volume_duration(df: DataFrame, as_of: dt.datetime, range_: str = DEFAULT_RANGE,
                           agents: list[str] | None = None) -> DataFrame:
     """Chats and mean minutes per team member named in ``human_agents``."""
-    rows = filters.in_list(explode_agents(_chats(df, range_, as_of)), "human_agent", agents)
+    rows = filters.in_list(explode_agents(_chats(df, range_, as_of, "human_agents", "duration_minutes")), "human_agent", agents)
     return rows.groupBy(F.col("human_agent").alias("agent")).agg(
         F.count("duration_minutes").alias("chats"), F.avg("duration_minutes").alias("mean_duration"))
 
@@ -266,14 +268,12 @@ def performance_vs_volume(df: DataFrame, as_of: dt.datetime, range_: str = DEFAU
 def daily_chat_trends_performance(df: DataFrame, ratings: DataFrame, as_of: dt.datetime,
                                   range_: str = DEFAULT_RANGE) -> DataFrame:
     """W14 with J7: chats, transfers and transfer rate per day joined with that day's satisfaction."""
-    bounds = _chat_bounds(range_, as_of)
-    key, order = CHAT_DEDUP
-    rows = dedup(filters.between(df, "created_ts_utc", *bounds), key, order)
+    rows = _chats(df, range_, as_of, "date", "bot_transfer")
     moved = F.count_if(F.col("bot_transfer"))
     daily = rows.where(F.col("date").isNotNull()).groupBy("date").agg(
         F.count("*").alias("chats"), moved.alias("transfers"),
         values.percent(moved, F.count("*")).alias("transfer_rate"))
-    return join_daily_satisfaction(daily, _rating_days(ratings, bounds).select("date", "satisfaction_pct"))
+    return join_daily_satisfaction(daily, _rating_days(ratings, range_, as_of).select("date", "satisfaction_pct"))
 
 
 def join_daily_satisfaction(daily: DataFrame, scores: DataFrame) -> DataFrame:
@@ -282,21 +282,26 @@ def join_daily_satisfaction(daily: DataFrame, scores: DataFrame) -> DataFrame:
         "satisfaction_pct", F.coalesce("satisfaction_pct", F.lit(0.0)))
 
 
-def display_labels(pipelines: list[str] | None) -> list[str]:
-    """Pipeline columns of a pivot: the given list or every known display label."""
+def found_labels(long: DataFrame, pipelines: list[str] | None) -> list[str]:
+    """Pipeline columns of a pivot: the given list, or every label found.
+
+    A table of more than ``MOST_COLUMNS`` labels is refused rather than cut; its long form has them all.
+    """
     if pipelines:
         return pipelines
-    shown = [dims.PIPELINE_DISPLAY.get(p, p) for p in dims.PIPELINE_LABELS.values()]
-    return sorted(set(shown) - {dims.SPAM_PIPELINE, dims.SPAM_DISPLAY}) + ["Unknown"]
+    labels = [r["pipeline"] for r in long.select("pipeline").distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(labels) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} pipelines; use the long form")
+    return sorted(p for p in labels if p is not None)
 
 
 @report(*WIDE)
 def pipeline_distribution_by_agent(df: DataFrame, as_of: dt.datetime, range_: str = DEFAULT_RANGE,
                                    agents: list[str] | None = None, pipelines: list[str] | None = None,
-                                   wide: bool = True) -> DataFrame:
+                                   wide: bool = False) -> DataFrame:
     """Tickets per team member and pipeline, largest agents first.
 
-    ``wide`` pivots over the known labels (or ``pipelines``); the long form has every label.
+    ``wide`` pivots over the labels found (or ``pipelines``), which takes a job of its own.
     """
     rows = filters.in_list(_team(_tickets(df, range_, as_of), agents), "pipeline", pipelines)
     counts = rows.groupBy(F.col("case_owner").alias("agent"), "pipeline").agg(F.count("*").alias("tickets"))
@@ -304,14 +309,14 @@ def pipeline_distribution_by_agent(df: DataFrame, as_of: dt.datetime, range_: st
         return counts
     cell = lambda p: F.sum(F.when(F.col("pipeline") == p, F.col("tickets")).otherwise(0)).alias(p)
     out = counts.groupBy("agent").agg(
-        *[cell(p) for p in display_labels(pipelines)], F.sum("tickets").alias("total"))
+        *[cell(p) for p in found_labels(counts, pipelines)], F.sum("tickets").alias("total"))
     return out.orderBy(F.desc("total"), "agent")
 
 
 @report(*WIDE)
 def pipeline_response_time_heatmap(df: DataFrame, as_of: dt.datetime, range_: str = DEFAULT_RANGE,
                                    agents: list[str] | None = None, pipelines: list[str] | None = None,
-                                   wide: bool = True) -> DataFrame:
+                                   wide: bool = False) -> DataFrame:
     """Median response per team member and pipeline."""
     rows = filters.in_list(_team(_tickets(df, range_, as_of), agents), "pipeline", pipelines)
     stats = summarize(filters.valid_hours(rows).select("case_owner", "pipeline", HOURS),
@@ -319,7 +324,7 @@ def pipeline_response_time_heatmap(df: DataFrame, as_of: dt.datetime, range_: st
     if not wide:
         return stats.select("agent", "pipeline", F.col("median").alias("median_hours"))
     cell = lambda p: F.max(F.when(F.col("pipeline") == p, F.col("median"))).alias(p)
-    return stats.groupBy("agent").agg(*[cell(p) for p in display_labels(pipelines)])
+    return stats.groupBy("agent").agg(*[cell(p) for p in found_labels(stats, pipelines)])
 
 
 @report(*WIDE)

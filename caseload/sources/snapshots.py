@@ -18,6 +18,7 @@ from caseload.operators import sync
 
 COMMIT_SCHEMA = (
     "version bigint, whole boolean, part string, path string, records bigint, feed string, batch_id bigint")
+PART = "part_folder"
 Batch = tuple[str, int]
 
 
@@ -28,7 +29,9 @@ class SnapshotTable:
     def _log(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.base}/commits")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def paths(self) -> dict[str | None, str]:
@@ -40,7 +43,7 @@ class SnapshotTable:
         if log is None:
             return {}
         start = log.where("whole").agg(F.max("version")).scalar()
-        latest = log.where(F.col("version") >= start).groupBy("part").agg(
+        latest = log.where(F.col("whole").isNotNull() & (F.col("version") >= start)).groupBy("part").agg(
             F.max_by("path", "version").alias("path"))
         return {r["part"]: r["path"] for r in latest.collect() if r["path"] is not None}
 
@@ -61,7 +64,7 @@ class SnapshotTable:
         chosen = [p for part, p in paths.items() if parts is None or part in parts]
         reader = self.spark.read.option("basePath", f"{self.base}/data")
         # No partition chosen still needs the columns, so one folder is opened without its rows.
-        df = reader.parquet(*(chosen or list(paths.values())[:1])).drop("snapshot")
+        df = reader.parquet(*(chosen or list(paths.values())[:1])).drop("snapshot", PART)
         return df if chosen else df.where("false")
 
     def write(self, df: DataFrame, batch: Batch | None = None) -> int:
@@ -77,14 +80,17 @@ class SnapshotTable:
             df.write.parquet(path)
             counts = [(None, self.spark.read.schema(df.schema).parquet(path).count())]
         else:
-            df.hint("rebalance", self.partition).write.partitionBy(self.partition).parquet(path)
-            key = F.col(self.partition).cast("string").alias("part")
+            text = F.col(self.partition).cast("string")
+            # Folder names that need no escaping and are never taken for numbers; the column itself is stored as it is.
+            named = df.withColumn(PART, F.concat(F.lit("v"), F.coalesce(F.hex(text), F.lit("-"))))
+            named.hint("rebalance", PART).write.partitionBy(PART).parquet(path)
             stored = self.spark.read.schema(df.schema).parquet(path)
-            counts = [tuple(r) for r in stored.groupBy(key).count().collect()]
+            counts = [tuple(r) for r in stored.groupBy(text.alias("part")).count().collect()]
         rows = [(version, touched is None, part, self._folder(path, part), n, feed, number) for part, n in counts]
         gone = (touched or set()) - {part for part, _ in counts}
         rows += [(version, False, part, None, 0, feed, number) for part in gone]
-        rows = rows or [(version, touched is None, None, None, 0, feed, number)]
+        # Without any change only the batch is recorded: a row that is neither whole nor part of the table.
+        rows = rows or [(version, True if touched is None else None, None, None, 0, feed, number)]
         self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(
             f"{self.base}/commits")
         return sum(n for _, n in counts)
@@ -92,14 +98,14 @@ class SnapshotTable:
     def _folder(self, path: str, part: str | None) -> str:
         if self.partition is None:
             return path
-        return f"{path}/{self.partition}={'__HIVE_DEFAULT_PARTITION__' if part is None else part}"
+        return f"{path}/{PART}=v{'-' if part is None else part.encode().hex().upper()}"
 
     def _touched(self, table: DataFrame, delta: DataFrame, key: str) -> set[str]:
         """Partitions that hold a changed key or receive a changed row; at most all partitions."""
         known = table.select(key, self.partition).join(delta.select(key), key, "left_semi")
         parts = known.select(self.partition)
         if self.partition in delta.columns:
-            parts = parts.unionByName(delta.select(self.partition).where(F.col(self.partition).isNotNull()))
+            parts = parts.unionByName(delta.select(self.partition))
         rows = parts.select(F.col(self.partition).cast("string").alias("p")).distinct().collect()
         return {r["p"] for r in rows}
 

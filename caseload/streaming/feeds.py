@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseload import dims
+from caseload.operators.joins import dedup
 from caseload.sources.files import file_date
 from caseload.sources.snapshots import SnapshotTable
 
@@ -26,23 +28,10 @@ def stream_files(spark: SparkSession, path: str, columns: list[str], max_files:
                        file_date(source).alias("file_date"))
 
 
-def run_available(stream: DataFrame, target: str, checkpoint: str, state_partitions: int | None = None) -> None:
-    """Append what is there now to a Parquet table and stop.
-
-    ``state_partitions`` sets the number of state stores of a stateful stream. It is fixed by the first
-    run of a checkpoint and adaptive execution does not change it, so size it to the cluster.
-    """
-    conf = stream.sparkSession.conf
-    before = conf.get("spark.sql.shuffle.partitions")
-    try:
-        if state_partitions:
-            conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-        query = (
-            stream.writeStream.format("parquet").option("path", target)
-            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
-    finally:
-        conf.set("spark.sql.shuffle.partitions", before)
-    query.awaitTermination()
+def run_available(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Append what is there now to a Parquet table and stop."""
+    (stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
 
 
 def stream_upsert(stream: DataFrame, table: SnapshotTable, key: str, checkpoint: str,
@@ -60,11 +49,32 @@ def stream_upsert(stream: DataFrame, table: SnapshotTable, key: str, checkpoint:
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def stream_dedup(stream: DataFrame, ts: str = "created_ts_utc", key: str = "chat_id",
-                 delay: str = "1 day") -> DataFrame:
-    """ST4: the first arrival of each key; a copy later than ``delay`` is left to the keyed merge.
+def stream_dedup(stream: DataFrame, target: str, checkpoint: str, key: str = "chat_id",
+                 ts: str = "created_ts_utc") -> None:
+    """ST4: add the first arrival of every key to a Parquet table, however late, and stop when the input is drained.
 
-    Watermarks need a zoned timestamp, so the UTC wall clock is cast (session zone UTC).
+    A micro-batch adds the keys that no earlier batch had; of copies inside a batch the earliest by ``ts``
+    stays, then the smallest row. Its rows lie in a folder of the batch's number, which a replay overwrites,
+    so a batch has no second effect. Rows without a key count as one key. Only the key column of the earlier
+    batches is read, and it is reduced to the keys of the batch before it is shuffled. A target belongs to
+    one checkpoint; ``read_deduped`` reads it.
     """
-    timed = stream.withColumn("_event_time", F.col(ts).cast("timestamp"))
-    return timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark([key]).drop("_event_time")
+
+    def write(batch: DataFrame, number: int) -> None:
+        one = dedup(batch, key, [ts, *(c for c in batch.columns if c not in (key, ts))])
+        if number > 0:
+            shape = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+            earlier = batch.sparkSession.read.schema(shape).parquet(target).where(F.col("batch") < number)
+            arrived = batch.select(F.col(key).alias("_arrived"))
+            known = earlier.select(F.col(key).alias("_known")).join(
+                arrived, F.col("_known").eqNullSafe(F.col("_arrived")), "left_semi")
+            one = one.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+        one.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def read_deduped(spark: SparkSession, target: str) -> DataFrame:
+    """The table that ``stream_dedup`` fills: one row per key."""
+    return spark.read.parquet(target).drop("batch")

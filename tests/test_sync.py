@@ -179,3 +179,33 @@ def test_equal_order_values_have_a_fixed_winner(spark):
     delta = spark.createDataFrame([(1, "a", 5), (1, "b", 5), (1, "z", 4)], "id long, v string, seq long")
     for fn in (sync.upsert_merge, sync.upsert_replace):
         assert sorted(map(tuple, fn(base, delta.repartition(3), "id", seq="seq").select("id", "v").collect())) == [(1, "b")]
+
+
+def test_late_originals_are_kept_and_copies_dropped(spark, rows):
+    shape = "chat_id int, created_ts_utc timestamp_ntz, v string"
+    source, target, check = (scratch_path(spark, n) for n in ("in", "out", "check"))
+    files_ = [[(1, D(2024, 1, 10), "a")], [(2, D(2024, 1, 5), "a"), (3, D(2024, 1, 11), "a"), (3, D(2024, 1, 11), "b")],
+              [(1, D(2024, 1, 1), "late copy"), (4, D(2023, 1, 1), "a"), (None, None, "x")], [(None, None, "y"), (2, D(2024, 1, 5), "a")]]
+
+    def drain():
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(source)
+        feeds.stream_dedup(stream, target, check)
+
+    for part in files_:
+        rows(part, shape).coalesce(1).write.mode("append").parquet(source)
+        drain()
+    got = {r["chat_id"]: r["v"] for r in feeds.read_deduped(spark, target).collect()}
+    assert got == {1: "a", 2: "a", 3: "a", 4: "a", None: "x"}
+    assert feeds.read_deduped(spark, target).count() == 5
+
+
+def test_partition_values_of_any_text_survive_merges(rows, spark):
+    shape = "id int, a string, label string"
+    table = SnapshotTable(spark, scratch_path(spark, "t"), partition="label")
+    start = [(1, "x", "a/b"), (2, "y", None), (3, "z", None), (4, "w", "007")]
+    table.write(rows(start, shape))
+    table.merge(rows([], shape), "id", batch=("feed", 0))
+    get = lambda: sorted(map(tuple, table.read().select("id", "a", "label").collect()))
+    assert get() == start and table.has_batch(("feed", 0))
+    table.merge(rows([(5, "new", None), (1, "x2", None)], shape), "id")
+    assert get() == [(1, "x2", "a/b"), *start[1:], (5, "new", None)]
