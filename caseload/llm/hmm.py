@@ -6,8 +6,8 @@ times the word's share in its class, (c + 1) / (N_class + V_class + 1), where on
 The end of a text is a symbol too. So the model gives every text a proper probability.
 
 Training. The rows are turned into symbol numbers once and stored. Each round of Baum-Welch runs scaled
-forward and backward recursions over all training texts in their partitions; the expected counts are added
-up across partitions in two levels, and only the model's own size reaches the driver.
+forward and backward recursions over all training texts in their partitions; every partition gives one row
+for each expected count, these are summed by number, and only the model's own size reaches the driver.
 
 Counts. Words come as partial counts per batch. Words of at least one in ``COMMON_SHARE`` training tokens
 (again at most that many, of at most ``COMMON_BYTES``) are broadcast; the other words of a text are joined
@@ -37,7 +37,6 @@ COMMON_BYTES = 64
 END, FIRST_CLASS = 0, 1
 CHUNK = 300_000  # tokens whose recursions are held at a time
 SMOOTH = 0.01
-PARTS = 32
 
 
 def klass(word: bytes) -> int:
@@ -277,26 +276,12 @@ def train(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, states: int
                 s, m, e = expected_counts(seqs, shared.value)
                 total += np.concatenate([s, m.ravel(), e.ravel()])
             if any_row:
-                part = np.array_split(total, PARTS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(PARTS)), pa.array([p.tobytes() for p in part], pa.binary())], ["part", "data"])
-
-        def add(batches):
-            sums: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for part, data in zip(column(batch, "part").to_pylist(), column(batch, "data")):
-                    x = np.frombuffer(data.as_py())
-                    sums[part] = sums[part] + x if part in sums else x
-            if sums:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "data"])
-
-        sums = used.mapInArrow(run, "part long, data binary")
-        # First within groups of partitions, then each part of the counts on its own.
-        sums = sums.repartition(8 * PARTS, "part", F.spark_partition_id() % 8).mapInArrow(add, "part long, data binary")
-        sums = sums.repartition(PARTS, "part").mapInArrow(add, "part long, data binary")
-        got = {r["part"]: np.frombuffer(bytes(r["data"])) for r in sums.collect()}
-        flat = np.concatenate([got[i] for i in range(PARTS)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["at", "x"])
+
+        sums = used.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+        flat = np.zeros(size)
+        for r in sums:
+            flat[r["at"]] = r["x"]
         start, moves, emits = np.split(flat, [states, states + states * states])
         moves = moves.reshape(states, states) + SMOOTH
         emits = emits.reshape(vocab.symbols, states) + SMOOTH * unigram[:, None] / unigram.sum() * states + 1e-9
