@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseload import dims, schema
 
@@ -19,32 +23,40 @@ CHAT_WORDS = ["chat", "livechat", "conversation"]
 HEADER_READERS = 16
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
-    """Column names of one file, NULL when it cannot be read. Reads the first line only."""
+CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
+
+
+def _header(spark: SparkSession, path: str, multi_line: bool) -> tuple[str, ...]:
+    """Column names of one file, none when the path is missing or the file is empty; other errors are raised."""
     try:
-        return tuple(spark.read.csv(path, header=True, inferSchema=False).columns)
-    except Exception:  # a missing or unreadable file is skipped, the others still load
-        return None
+        return tuple(spark.read.csv(path, inferSchema=False, multiLine=multi_line, **CSV_OPTIONS).columns)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return ()
 
 
 def _read_by_header(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
     """Union by name; files with the same header share one scan.
 
     ``multi_line`` keeps line breaks inside quoted text and reads a file as one split. Turn it off
-    for large files without such breaks, so that they are split.
+    for large files without such breaks, so that they are split. Missing and empty files are left out with
+    a warning that names them; any other failure is raised.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
     with ThreadPoolExecutor(HEADER_READERS) as pool:
-        headers = list(pool.map(lambda p: _header(spark, p), paths))
+        headers = list(pool.map(lambda p: _header(spark, p, multi_line), paths))
     for path, header in zip(paths, headers):
         if header:
             groups.setdefault(header, []).append(path)
+    skipped = [path for path, header in zip(paths, headers) if not header]
+    if skipped:
+        warnings.warn(f"missing or empty files are left out: {skipped}", stacklevel=3)
     if not groups:
         raise ValueError(f"no readable CSV among {len(paths)} files")
-    shape = lambda names: ", ".join(f"`{n}` string" for n in names)
+    shape = lambda names: T.StructType([T.StructField(n, T.StringType()) for n in names])
     frames = [
-        spark.read.csv(files, header=True, schema=shape(names), multiLine=multi_line, escape='"',
-                       quote='"', mode="PERMISSIVE", enforceSchema=True)
+        spark.read.csv(files, schema=shape(names), multiLine=multi_line, enforceSchema=True, **CSV_OPTIONS)
         for names, files in groups.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -102,7 +114,7 @@ def latest_export(files: DataFrame, base: str) -> DataFrame:
 
     Ties go to the greater name.
     """
-    rest = F.regexp_extract("path", r"(?:^|/)" + base.strip("/").split("/")[-1] + r"/([^/]+)", 1)
+    rest = F.regexp_extract("path", r"(?:^|/)" + re.escape(base.strip("/").split("/")[-1]) + r"/([^/]+)", 1)
     entries = files.groupBy(rest.alias("entry")).agg(F.max("modificationTime").alias("changed"))
     newest = F.max_by("entry", F.struct("changed", "entry"))
     return entries.where("entry <> ''").agg(newest.alias("entry"))
