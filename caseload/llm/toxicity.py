@@ -21,8 +21,8 @@ from caseload.llm.ngrams import hashed
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-PER_CLASS = 4_000
-FEATURES = 2_048
+PER_CLASS = 6_000
+FEATURES = 4_096
 HELD_OUT, FOLDS = 2, 4
 REJECT = 0.3
 STEPS = 150

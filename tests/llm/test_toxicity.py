@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -56,3 +57,26 @@ def test_labels_are_no_input_of_a_score(more, labels, spark):
         "doc_id", "quality", "CASE WHEN crc32(encode(cast(doc_id as string), 'utf-8')) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic")
     other = toxicity.fit(more, flipped)
     assert np.allclose(model.weight, other.weight) and model.bias == pytest.approx(other.bias)
+
+
+def test_rare_toxic_words_are_scored(spark):
+    """Frequent toxic words alone fill 2048 features; the held-out texts hold only the rare ones."""
+    rng = random.Random(3)
+    # Equal ends: only the letters between tell words apart.
+    plain, often, seldom = (
+        [f"mnop{''.join(rng.choices('abcdefghijklmnopqrstuvwxyz', k=8))}rstu" for _ in range(n)] for n in (120, 75, 15))
+    rows, held, n = [], [], {False: 0, True: 0}
+    for i in range(6_000):
+        out = zlib.crc32(str(i).encode()) % 4 == 2
+        w = rng.choices(plain, k=12)
+        if i % 3 == 0:
+            k, n[out] = n[out], n[out] + 1
+            w[rng.randrange(1, 11)] = seldom[k // 12 % 15] if out or k % 12 == 0 else often[k % 75]
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+        if out:
+            held.append(rows[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    caught = [model.score(t) >= toxicity.REJECT for _, t, toxic in held if toxic]
+    wrong = [model.score(t) >= toxicity.REJECT for _, t, toxic in held if not toxic]
+    assert np.mean(caught) > 0.95 and np.mean(wrong) < 0.05
