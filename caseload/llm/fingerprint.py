@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from caseload.llm.common import lower_az, stored
 
-SAMPLES = 16
+SAMPLES = 64  # a pair of similarity p is read with a standard deviation of sqrt(p (1 - p) / SAMPLES), at most 1/16
 GROUP = 8  # samples computed per row
 VALUE_BITS = 23
 DIGITS = 6  # hexadecimal digits per sample
@@ -66,12 +66,11 @@ def signatures(rows: DataFrame, key: list[str], samples: int = SAMPLES) -> DataF
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """The share of samples in which two fingerprints agree."""
-    same = [
-        (F.substring(a, i * DIGITS + 1, DIGITS) == F.substring(b, i * DIGITS + 1, DIGITS)).cast("int") for i in range(samples)]
-    total = same[0]
-    for s in same[1:]:
-        total = total + s
-    return total / F.lit(float(samples))
+    def part(signature: Column, i: Column) -> Column:
+        return signature.substr(i * DIGITS + 1, F.lit(DIGITS))
+
+    same = F.filter(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: part(a, i) == part(b, i))
+    return F.when(a.isNotNull() & b.isNotNull(), F.size(same) / F.lit(float(samples)))
 
 
 KEY = ["no_id", "id", "mark"]
