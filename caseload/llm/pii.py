@@ -1,7 +1,7 @@
 """Personal data by exact patterns and a semi-Markov conditional random field (operator 6).
 
 The patterns find well-formed e-mail addresses, IP addresses, card and phone numbers. The field looks at
-the tokens around digits, ``@`` and written-out dots: every run of up to ``LONGEST`` tokens is a candidate
+the tokens around digits, ``@``, written-out dots and an ``at`` in brackets: every run of up to ``LONGEST`` tokens is a candidate
 segment scored by features of the whole span (shape, digits, checks, neighbours); a token outside any
 entity is a segment of its own. Dynamic programming over the bounded segments chooses borders and types
 jointly. It is trained by gradient ascent in numpy on a bounded sample of such places: what the patterns
@@ -25,7 +25,7 @@ from caseload.llm.common import column
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
-LONGEST = 7
+LONGEST = 11  # tokens of 'a dot b at mail dot example dot com' and one label more
 BITS = 13
 AROUND = 40  # characters of context on either side of a trigger
 SAMPLE = 500  # documents with a trigger that train the model
@@ -40,7 +40,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-TRIGGER = re.compile(r"[0-9@]|\b[Dd][Oo][Tt]\b")
+TRIGGER = re.compile(r"[0-9@]|\b[Dd][Oo][Tt]\b|[\[({<]\s?[Aa][Tt]\s?[\])}>]")
+SIGN = re.compile(r"[0-9@]|\b(?:[Dd][Oo][Tt]|[Aa][Tt])\b")
+DOT = r"(?:\.|\s*[\[({<]\s?dot\s?[\])}>]\s*|\s+dot\s+)"
+MAIL = re.compile(
+    rf"[a-z0-9_%+-]++(?:{DOT}[a-z0-9_%+-]++)*+(?:@|\s*[\[({{<]\s?(?:at|@)\s?[\])}}>]\s*|\s+at\s+)[a-z0-9-]++(?:{DOT}[a-z0-9-]++)++")
+LONGEST_MAIL = 320  # code points of a span that is compared to MAIL
 TOKEN = re.compile(r"\S+")
 Span = tuple[str, int, int]
 
@@ -126,6 +131,10 @@ def _shape(s: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", s)[:40]
 
 
+def _is_dot(token: str) -> bool:
+    return token.lower().strip("[](){}<>") == "dot"
+
+
 def features(text: str, start: int, end: int, before: str, after: str) -> list[int]:
     """Hashed features of a whole span and its neighbours; always as many."""
     s = text[start:end]
@@ -142,11 +151,12 @@ def features(text: str, start: int, end: int, before: str, after: str) -> list[i
         f"first {s[:1] if s[:1] in '+(@' else ''} {len(octets)}", f"marks {''.join(sorted(set(re.sub(r'[\w\s]', '', s))))[:8]}",
         f"edges {s[:1].isalnum()} {s[-1:].isalnum()} {s[:1].isdigit()} {s[-1:].isdigit()}",
         f"before {before.lower().strip('.,:;')[:12] if any(c.isalpha() for c in before) else _shape(before)[:6]}",
-        f"after {any(c.isdigit() for c in after)} {before[-1:].isdigit()}", "bias")
+        f"after {any(c.isdigit() for c in after)} {before[-1:].isdigit()}",
+        f"form {len(s) <= LONGEST_MAIL and MAIL.fullmatch(low) is not None} {_is_dot(before)} {_is_dot(after)}", "bias")
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in names]
 
 
-N_FEATURES = 12
+N_FEATURES = 13
 
 
 def lattice(text: str, tokens: list[tuple[int, int]]) -> np.ndarray:
@@ -154,7 +164,7 @@ def lattice(text: str, tokens: list[tuple[int, int]]) -> np.ndarray:
     n = len(tokens)
     out = np.full((n, LONGEST, N_FEATURES), -1, dtype=np.int64)
     words = [text[a:b] for a, b in tokens]
-    signs = np.array([bool(re.search("[0-9@]", w)) or w.lower() == "dot" for w in words])
+    signs = np.array([SIGN.search(w) is not None for w in words])
     marked = np.concatenate(([0], np.cumsum(signs)))
     for j in range(n):
         for size in range(min(LONGEST, j + 1)):
@@ -255,7 +265,18 @@ def variants(kind: str, s: str) -> list[str]:
     """Other ways to write what a pattern has found."""
     if kind == "email":
         user, host = s.split("@", 1)
-        return [f"{user} at {host.replace('.', ' dot ')}", f"{user} [at] {host.replace('.', ' [dot] ')}", f"{user}(at){host}"]
+        # Each form is taught by one of these addresses: most people's have no digits, and hosts have two labels or more.
+        letters = str.maketrans("0123456789", "abcdefghij")
+        plain, name, labels = user.translate(letters), re.sub("[^A-Za-z]+", "", user) or "a", host.translate(letters).split(".")
+        kinds = [(user, host), (plain, ".".join(labels)), (name, ".".join(labels[-2:])), (name, ".".join(["a", *labels])), (plain, ".".join(labels[-2:]))]
+        out = []
+        for form in range(6):
+            u, h = kinds[zlib.crc32(f"{form} {s}".encode()) % len(kinds)]
+            dots = h.replace(".", " dot ")
+            out.append((
+                f"{u} at {dots}", f"{u.replace('.', ' dot ')} at {dots}", f"{u} [at] {h.replace('.', ' [dot] ')}", f"{u}(at){h}",
+                f"{u} [at] {h}", f"{u}[at]{h}")[form])
+        return out
     if kind == "ip":
         return [s.replace(".", "[.]"), s.replace(".", " . ")]
     d = _digits(s)
@@ -351,8 +372,8 @@ def find(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
     taken = sorted((s, e) for _, s, e in base)
     added: list[Span] = []
     for tokens in regions(text):
-        # An entity holds a trigger; where the patterns have them all, nothing can be added.
-        if all(any(s < b and e > a for s, e in taken) for a, b in tokens if TRIGGER.search(text, a, b)):
+        # An entity holds a sign; where the patterns have them all, nothing can be added.
+        if all(any(s < b and e > a for s, e in taken) for a, b in tokens if SIGN.search(text, a, b)):
             continue
         s = field.scores(lattice(text, tokens))
         path = [seg for seg in field.best(s) if seg[2] != OUTSIDE]

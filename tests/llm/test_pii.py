@@ -55,6 +55,27 @@ def test_other_forms_are_added_and_plain_numbers_are_not(field):
         assert pii.find(text, field) == ([], [])
 
 
+def test_written_out_addresses_without_digits_are_added(field):
+    """Recall on planted addresses, and no find in texts that only say at."""
+    names = ["bob", "anna.lee", "sales", "j.smith", "kim"]
+    hosts = ["host.com", "mail.example.org", "desk.support.example.net"]
+    forms = [
+        lambda u, h: f"{u}(at){h}", lambda u, h: f"{u} [at] {h}", lambda u, h: f"{u} [at] {h.replace('.', ' [dot] ')}",
+        lambda u, h: f"{u} at {h.replace('.', ' dot ')}", lambda u, h: f"{u.replace('.', ' dot ')} at {h.replace('.', ' dot ')}"]
+    found = []
+    for form in forms:
+        for u in names:
+            for h in hosts:
+                mail = form(u, h)
+                text = f"please write to {mail} for more about it"
+                found.append(("email", mail) in [(k, text[s:e]) for k, s, e in pii.find(text, field)[1]])
+    assert np.mean(found) >= 0.9, [np.mean(found[i:i + 15]) for i in range(0, 75, 15)]
+    mail = "a dot b at mail dot example dot com"
+    assert [(k, mail[s:e]) for k, s, e in pii.find(mail, field)[1]] == [("email", mail)]
+    for text in ("we met at the office at noon", "look at the dot on the map", "the cat sat (at home) and ate"):
+        assert pii.find(text, field) == ([], [])
+
+
 def test_sums_over_all_segmentations():
     """Forward, backward and best path against enumeration."""
     text = "a 1 @ b2"
