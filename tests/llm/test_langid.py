@@ -56,3 +56,13 @@ def test_unsure_rows_are_rejected():
     p = np.exp(z - z.max(1, keepdims=True))
     top = p.max(1) / p.sum(1)
     assert (top[:300] >= model.border).all() and (top[300:] < model.border).all()
+
+
+def test_a_language_with_one_row_is_trained(spark, monkeypatch):
+    """Whatever the hash of its only row."""
+    taken = []
+    monkeypatch.setattr(langid, "train", lambda x, y, langs, held: taken.append((y, langs, held)))
+    rows = [(i, f"some text number {chr(97 + i % 26)} {chr(97 + i // 26)}", f"l{i}") for i in range(60)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    y, langs, held = taken[0]
+    assert len(langs) > 30 and set(y[~held]) == set(range(len(langs)))
