@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from caseload.llm import decontam, fingerprint, hmm, langid, license_scan, mixing, pii, sharding, simhash, toxicity
+from caseload.llm import decontam, fingerprint, hmm, langid, license_scan, merkle, mixing, pii, sharding, simhash, toxicity
 from caseload.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,9 +31,11 @@ QUERIES: dict[str, Query] = {
     "op8_language_model": _on_documents(hmm.report),
     "op9_fingerprint": _on_documents(fingerprint.report),
     "op10_toxicity": _on_documents(toxicity.report, "labels"),
+    "op13_merkle_manifest": _on_documents(merkle.report),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.SQL, "op4_decontamination": decontam.SQL}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.SQL, "op4_decontamination": decontam.SQL, "op13_merkle_manifest": merkle.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
