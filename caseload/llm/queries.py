@@ -7,7 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from caseload.llm import decontam, fingerprint, hmm, langid, license_scan, merkle, mixing, pii, sharding, simhash, toxicity
+from caseload.llm import (
+    alignment, decontam, fingerprint, hmm, langid, license_scan, merkle, mixing, packing, pii, sharding, simhash, toxicity)
 from caseload.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,8 @@ QUERIES: dict[str, Query] = {
     "op8_language_model": _on_documents(hmm.report),
     "op9_fingerprint": _on_documents(fingerprint.report),
     "op10_toxicity": _on_documents(toxicity.report, "labels"),
+    "op11_best_fit_packing": _on_documents(packing.report),
+    "op12_tokenizer_alignment": _on_documents(alignment.report),
     "op13_merkle_manifest": _on_documents(merkle.report),
     "pipeline": corpus_pipeline.run,
 }
