@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from caseload import dims
 from caseload.functions import times, values
+from caseload.operators.joins import dedup
 
 
 def _parsed(df: DataFrame, names: list[str]):
@@ -98,3 +99,14 @@ def normalize_chats(df: DataFrame, agents: dims.AgentRegistry = dims.AGENTS) ->
     """N6, N7, N17, N18, N20, N22, N23."""
     out = display_agent(classify_agent(chat_date_parts(chat_tz(df)), agents), agents)
     return durations(transfer_flag(normalize_rating(out)))
+
+
+def one_copy(df: DataFrame, key: str = "chat_id", ts: str = "created_ts_utc") -> DataFrame:
+    """One row per chat, marked by the column ``first_copy``.
+
+    The earliest copy counts; among copies of one time the smallest in the order of all columns by name, so
+    every report on the table sees the same one, whatever columns it reads and however rows are partitioned.
+    """
+    others = sorted(c for c in df.columns if c not in (key, ts))
+    plain = [F.to_json(f"`{c}`") if df.schema[c].dataType.typeName() in ("map", "variant") else F.col(f"`{c}`") for c in others]
+    return dedup(df, key, [F.col(ts), *plain]).withColumn("first_copy", F.lit(True))

@@ -11,12 +11,30 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Values are hours. Any monotone mapping of value to cell gives the same result.
 CELL = ("CAST(if(abs(v) < 6, floor(v * 60), signum(v) * (360 + floor(log2(abs(v) / 6) * 256))) AS BIGINT)")
 NO_CELL = -(10**18)
+# A table with this column has rows that stand for several tickets (see ``rollup``).
+WEIGHT = "n_tickets"
+
+
+def weight_of(df: DataFrame) -> str | None:
+    return WEIGHT if WEIGHT in df.columns else None
+
+
+def counted_rows(df: DataFrame) -> Column:
+    """The number of tickets of a group."""
+    return F.sum(WEIGHT) if weight_of(df) else F.count("*")
+
+
+def mean_of(df: DataFrame, value: str) -> Column:
+    """The mean over the tickets of a group that have a value."""
+    if not weight_of(df):
+        return F.avg(value)
+    return F.sum(F.col(value) * F.col(WEIGHT)) / F.sum(F.when(F.col(value).isNotNull(), F.col(WEIGHT)))
 
 
 @dataclass(frozen=True)
@@ -47,7 +65,7 @@ def summarize(
 ) -> DataFrame:
     """One row per group: ``n_rows`` (all rows), ``n`` (rows with a value), mean, std, min, max and
     one column for each entry of ``ranks``. NaN and infinities count as missing. A group without any
-    value keeps its row, with NULLs.
+    value keeps its row, with NULLs. ``weight`` says how many rows a row stands for.
     """
     ranks = MEDIAN if ranks is None else ranks
     group = f"struct({', '.join(f'`{k}`' for k in keys)})" if keys else "0"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseload.functions import times, values
 from caseload.operators import filters
-from caseload.operators.distribution import MEDIAN, Rank, summarize
+from caseload.operators.distribution import MEDIAN, Rank, counted_rows, summarize
 from caseload.operators.trends import last_rows, with_trend
 
 HOURS = "first_response_hours"
@@ -29,7 +29,7 @@ def weekend_distribution(df: DataFrame) -> DataFrame:
     """A2: counts and shares of weekday and weekend tickets."""
     counts = df.groupBy(
         F.when(F.col("is_weekend"), "Weekend").otherwise("Weekday").alias("category")
-    ).agg(F.count("*").alias("tickets"))
+    ).agg(counted_rows(df).alias("tickets"))
     whole = F.sum("tickets").over(Window.partitionBy())
     return counts.withColumn("share_pct", values.percent(F.col("tickets"), whole))
 
@@ -143,7 +143,7 @@ def weekly_response(df: DataFrame, stat: str = "median") -> DataFrame:
     _check_stat(stat)
     week = times.bucket(F.col("create_ts_local"), "week_mon")
     counted = df.groupBy(week.alias("week"), "is_weekend", F.col(HOURS).alias("v")).agg(
-        F.count("*").alias("w"))
+        counted_rows(df).alias("w"))
     views = F.array(F.lit("all"), F.when(F.col("is_weekend"), "weekend").otherwise("weekday"))
     keyed = counted.withColumn("view", F.explode(views)).withColumn(
         "overall", F.explode(F.array(F.lit(False), F.lit(True))))

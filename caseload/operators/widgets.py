@@ -1,7 +1,7 @@
 """Parameterised reports: range, filters, grain and aggregate in one call.
 
-Ticket reports take normalised tickets of the support team without spam, chat reports normalised
-chats. Arguments are checked against the values each report accepts.
+Ticket reports take normalised tickets of the support team without spam, or the cells of a stored rollup of
+them (``rollup``), chat reports normalised chats. Arguments are checked against the values each report accepts.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from caseload import dims
 from caseload.functions import times, values
 from caseload.operators import filters
-from caseload.operators.distribution import summarize
-from caseload.operators.joins import dedup, explode_agents
+from caseload.operators.distribution import counted_rows, mean_of, summarize, weight_of
+from caseload.operators.chats import one_copy
+from caseload.operators.joins import explode_agents
 from caseload.operators.ticket_reports import HOURS, _check_stat
 from caseload.operators.tickets import display_pipeline, normalize_cs_agents
 from caseload.operators.trends import last_rows, with_trend
@@ -68,11 +69,11 @@ def _team(df: DataFrame, agents: list[str] | None) -> DataFrame:
 def _chats(df: DataFrame, range_: str, as_of: dt.datetime, *cols: str) -> DataFrame:
     """One row per chat in the range, with the columns ``cols`` that a report reads.
 
-    The earliest copy counts; among copies of one time the smallest in the order of ``cols``, so the
-    result doesn't depend on partitions and no other column is read.
+    All reports see the same copy of a chat (``one_copy``), chosen before the range is applied. A table that
+    already has one row per chat, stored with the column ``first_copy``, is not looked through again.
     """
-    inside = filters.filter_named_range(df, range_, "chats", as_of)
-    return dedup(inside.select("chat_id", "created_ts_utc", *cols), "chat_id", ["created_ts_utc", *cols])
+    unique = df if "first_copy" in df.columns else one_copy(df)
+    return filters.filter_named_range(unique, range_, "chats", as_of).select("chat_id", "created_ts_utc", *cols)
 
 
 def _rating_days(ratings: DataFrame, range_: str, as_of: dt.datetime) -> DataFrame:
@@ -84,6 +85,12 @@ def _rating_days(ratings: DataFrame, range_: str, as_of: dt.datetime) -> DataFra
     return ratings.where(F.col("date").between(F.lit(first), F.lit(last)))
 
 
+def _medians(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact medians of the response time per group."""
+    weight = weight_of(df)
+    return summarize(df.select(*keys, HOURS, *([weight] if weight else [])), keys, HOURS, weight=weight)
+
+
 def _period(df: DataFrame, ts: str, range_: str, week: str = "week_tue") -> tuple[DataFrame, bool]:
     """Add ``period`` (a date) by the grain rule; the flag tells whether it is quarterly.
 
@@ -116,7 +123,7 @@ def volume_daily_historic(df: DataFrame, as_of: dt.datetime, range_: str = DEFAU
     rows = rows.where(F.col(ts).isNotNull())
     if not include_weekends:
         rows = rows.where(F.weekday(ts) < 5)
-    return rows.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("rows"))
+    return rows.groupBy(F.to_date(ts).alias("day")).agg(counted_rows(rows).alias("rows"))
 
 
 @report("all", "52w", "26w", "12w", "8w", "4w")
@@ -124,7 +131,7 @@ def tickets_by_pipeline(df: DataFrame, as_of: dt.datetime, range_: str = DEFAULT
                         pipelines: list[str] | None = None) -> DataFrame:
     """W2."""
     rows = filters.in_list(_tickets(df, range_, as_of), "pipeline", pipelines)
-    return rows.groupBy("pipeline").agg(F.count("*").alias("tickets"))
+    return rows.groupBy("pipeline").agg(counted_rows(rows).alias("tickets"))
 
 
 @report(*WIDE)
@@ -144,9 +151,9 @@ def weekly_response_breakdown(df: DataFrame, as_of: dt.datetime, range_: str = D
     rows = filters.valid_hours(filters.view(_tickets(df, range_, as_of), view))
     rows, quarterly = _period(rows, "create_ts_local", range_)
     if stat == "mean":
-        stats = rows.groupBy("period").agg(F.avg(HOURS).alias("response_hours"))
+        stats = rows.groupBy("period").agg(mean_of(rows, HOURS).alias("response_hours"))
     else:
-        stats = summarize(rows.select("period", HOURS), ["period"], HOURS).select(
+        stats = _medians(rows, ["period"]).select(
             "period", F.col("median").alias("response_hours"))
     out = _labelled(stats, quarterly)
     return with_trend(out, "period", {"response_hours": "trend"}) if show_trend else out
@@ -161,7 +168,7 @@ def agent_ticket_volume_distribution(df: DataFrame, as_of: dt.datetime, range_:
 
 
 def _agent_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(F.col("case_owner").alias("agent")).agg(F.count("*").alias("tickets"))
+    return rows.groupBy(F.col("case_owner").alias("agent")).agg(counted_rows(rows).alias("tickets"))
 
 
 @report(*WIDE)
@@ -172,7 +179,7 @@ def agent_response_time_comparison(df: DataFrame, as_of: dt.datetime, range_: st
     dropped = [p.strip() for p in exclude_pipelines or [dims.LIVE_CHAT]]
     rows = _team(_tickets(df, range_, as_of), agents)
     rows = filters.valid_hours(filters.in_list(rows, "pipeline", dropped, negate=True))
-    stats = summarize(rows.select("case_owner", HOURS), ["case_owner"], HOURS)
+    stats = _medians(rows, ["case_owner"])
     return stats.select(F.col("case_owner").alias("agent"), F.col("median").alias("median_hours"))
 
 
@@ -199,8 +206,8 @@ def chat_weekly_volume_breakdown(df: DataFrame, as_of: dt.datetime, range_: str
 def weekly_bot_satisfaction(ratings: DataFrame, as_of: dt.datetime, range_: str = DEFAULT_RANGE) -> DataFrame:
     """Sum of good over sum of rated per day, week or quarter of the daily ratings.
 
-    ``ratings`` is the output of ``explode_ratings``. ``all`` means the last 12 weeks here, ``7d``
-    the last seven days that have ratings.
+    ``ratings`` is the output of ``explode_ratings``. ``all`` is every day, ``7d`` the last seven
+    days that have ratings.
     """
     days = _rating_days(ratings, range_, as_of)
     if range_ == "7d":
@@ -238,7 +245,7 @@ def agent_weekly_response_by_agent(df: DataFrame, as_of: dt.datetime, range_: st
     """Median response per week and owner."""
     rows = filters.valid_hours(filters.in_list(_tickets(df, range_, as_of), "case_owner", agents))
     rows, _ = _period(rows.where(F.col("case_owner").isNotNull()), "create_ts_local", range_)
-    stats = summarize(rows.select("period", "case_owner", HOURS), ["period", "case_owner"], HOURS)
+    stats = _medians(rows, ["period", "case_owner"])
     return stats.select(
         F.col("period").alias("week"), F.col("case_owner").alias("agent"),
         F.col("median").alias("median_hours"))
@@ -249,7 +256,7 @@ def agent_weekly_ticket_volume_by_agent(df: DataFrame, as_of: dt.datetime, range
                                         agents: list[str] | None = None) -> DataFrame:
     """Tickets per week (or per each of the last four quarters) and team member."""
     rows, quarterly = _period(_team(_tickets(df, range_, as_of), agents), "create_ts_local", range_)
-    counts = rows.groupBy("period", F.col("case_owner").alias("agent")).agg(F.count("*").alias("tickets"))
+    counts = rows.groupBy("period", F.col("case_owner").alias("agent")).agg(counted_rows(rows).alias("tickets"))
     if quarterly:
         recent = F.dense_rank().over(Window.orderBy(F.desc("period")))
         counts = counts.withColumn("_r", recent).where(F.col("_r") <= 4).drop("_r")
@@ -304,7 +311,7 @@ def pipeline_distribution_by_agent(df: DataFrame, as_of: dt.datetime, range_: st
     ``wide`` pivots over the labels found (or ``pipelines``), which takes a job of its own.
     """
     rows = filters.in_list(_team(_tickets(df, range_, as_of), agents), "pipeline", pipelines)
-    counts = rows.groupBy(F.col("case_owner").alias("agent"), "pipeline").agg(F.count("*").alias("tickets"))
+    counts = rows.groupBy(F.col("case_owner").alias("agent"), "pipeline").agg(counted_rows(rows).alias("tickets"))
     if not wide:
         return counts
     cell = lambda p: F.sum(F.when(F.col("pipeline") == p, F.col("tickets")).otherwise(0)).alias(p)
@@ -319,8 +326,7 @@ def pipeline_response_time_heatmap(df: DataFrame, as_of: dt.datetime, range_: st
                                    wide: bool = False) -> DataFrame:
     """Median response per team member and pipeline."""
     rows = filters.in_list(_team(_tickets(df, range_, as_of), agents), "pipeline", pipelines)
-    stats = summarize(filters.valid_hours(rows).select("case_owner", "pipeline", HOURS),
-                      ["case_owner", "pipeline"], HOURS).withColumnRenamed("case_owner", "agent")
+    stats = _medians(filters.valid_hours(rows), ["case_owner", "pipeline"]).withColumnRenamed("case_owner", "agent")
     if not wide:
         return stats.select("agent", "pipeline", F.col("median").alias("median_hours"))
     cell = lambda p: F.max(F.when(F.col("pipeline") == p, F.col("median"))).alias(p)
@@ -334,7 +340,7 @@ def historic_weekly_volume(df: DataFrame, as_of: dt.datetime, range_: str = DEFA
     rows = filters.in_list(_tickets(df, range_, as_of), "case_owner", agents)
     rows = filters.in_list(rows, "pipeline", pipelines)
     rows, quarterly = _period(rows, "create_ts_local", range_, week="week_mon")
-    counts = rows.groupBy("period").agg(F.count("*").alias("tickets"))
+    counts = rows.groupBy("period").agg(counted_rows(rows).alias("tickets"))
     return _labelled(counts, quarterly)
 
 

@@ -54,9 +54,20 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
     return wrap
 
 
+def same_rows(name: str, of: str):
+    """Register another way to the rows of a query, checked by the same SQL."""
+
+    def wrap(fn):
+        query(name)(fn)
+        ORACLES[name] = ORACLES[of]
+        return fn
+
+    return wrap
+
+
 def load() -> None:
     """Import every module that registers queries."""
     from caseload.plans import (  # noqa: F401
         agent_queries, chat_queries, filter_queries, join_queries, log_queries, metric_queries,
-        normalise_queries, source_queries, sql_queries, sync_queries, ticket_queries, widget_queries,
+        normalise_queries, rollup_queries, source_queries, sql_queries, sync_queries, ticket_queries, widget_queries,
     )
