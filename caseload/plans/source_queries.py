@@ -38,7 +38,7 @@ SELECT ticket_id, CASE WHEN subject NOT LIKE '%P' THEN subject END AS subject, c
 FROM tickets""", "first_response_hours")
 def _(spark, sf):
     """Read the exports, map their columns and normalise."""
-    raw = files.read_tickets_csv(spark, files.csv_paths(spark, _exports(spark, sf)))
+    raw = files.read_tickets_csv(spark, _exports(spark, sf))
     logical = schema.resolve_columns(raw, schema.TICKET_COLUMNS).withColumnRenamed("pipeline", "pipeline_raw")
     # A trailing blank in a pipeline name survives the file.
     return ticket_ops.normalize_tickets(logical).select(
@@ -65,7 +65,7 @@ def _(spark, sf):
         "duration_raw AS `chat duration in seconds`", "country AS `visitor country code`")
     files.write_csv(new, f"{base}/chats_report_new.csv")
     files.write_csv(old, f"{base}/chats_report_old.csv")
-    raw = files.read_chats_csv(spark, files.csv_paths(spark, base))
+    raw = files.read_chats_csv(spark, base)
     logical = schema.resolve_columns(raw, {**schema.CHAT_COLUMNS, "load_seq": ["load_seq"]})
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     logical = logical.withColumns({c: blank(c) for c in ("primary_agent_raw", "secondary_agent_raw", "tag1")})

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import re
-import warnings
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from caseload import dims, schema
+from caseload.sources.csv_scan import CsvScan
 
 # Fixed values. Name patterns of chat report files inside the chats folder.
 CHAT_REPORT_PATTERN = (
@@ -20,58 +17,23 @@ CHAT_REPORT_PATTERN = (
     r"|prechat|chats_report).*\.csv")
 TICKET_FILE_PATTERN = r".*\.csv(\.processed)?"
 CHAT_WORDS = ["chat", "livechat", "conversation"]
-HEADER_READERS = 16
 
 
-CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
+def read_tickets_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Every column as text, null tokens as NULL, union by name over differing headers.
 
-
-def _header(spark: SparkSession, path: str, multi_line: bool) -> tuple[str, ...]:
-    """Column names of one file, none when the path is missing or the file is empty; other errors are raised."""
-    try:
-        return tuple(spark.read.csv(path, inferSchema=False, multiLine=multi_line, **CSV_OPTIONS).columns)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return ()
-
-
-def _read_by_header(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
-    """Union by name; files with the same header share one scan.
-
-    ``multi_line`` keeps line breaks inside quoted text and reads a file as one split. Turn it off
-    for large files without such breaks, so that they are split. Missing and empty files are left out with
-    a warning that names them; any other failure is raised.
+    ``paths`` is a folder, looked through for CSV files, or a list of files or patterns. Files that can't be read
+    are left out with a warning; ``CsvScan(...).files`` has them all with the reason. ``multi_line=False`` says that
+    no cell has a line break.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        headers = list(pool.map(lambda p: _header(spark, p, multi_line), paths))
-    for path, header in zip(paths, headers):
-        if header:
-            groups.setdefault(header, []).append(path)
-    skipped = [path for path, header in zip(paths, headers) if not header]
-    if skipped:
-        warnings.warn(f"missing or empty files are left out: {skipped}", stacklevel=3)
-    if not groups:
-        raise ValueError(f"no readable CSV among {len(paths)} files")
-    shape = lambda names: T.StructType([T.StructField(n, T.StringType()) for n in names])
-    frames = [
-        spark.read.csv(files, schema=shape(names), multiLine=multi_line, enforceSchema=True, **CSV_OPTIONS)
-        for names, files in groups.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def read_tickets_csv(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
-    """Every column as text, null tokens as NULL, union by name over differing headers."""
-    df = _read_by_header(spark, paths, multi_line)
+    df = CsvScan(spark, paths, multi_line).checked()
     text = lambda c: F.when(~c.isin(dims.NULL_TOKENS), c)
     return df.select(*[text(schema.physical(c)).alias(c) for c in df.columns])
 
 
-def read_chats_csv(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
+def read_chats_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
     """Union by name; types come from the canonical schema, not from inference."""
-    return _read_by_header(spark, paths, multi_line)
+    return CsvScan(spark, paths, multi_line).checked()
 
 
 def list_files(spark: SparkSession, base: str, pattern: str = "*.csv*") -> DataFrame:
@@ -104,11 +66,6 @@ def discover(spark: SparkSession, base: str) -> DataFrame:
     return classify_files(list_files(spark, base))
 
 
-def csv_paths(spark: SparkSession, base: str) -> list[str]:
-    """Paths of the CSV files below a folder; only the listing comes to the driver."""
-    return [row["path"] for row in list_files(spark, base, "*.csv").select("path").orderBy("path").collect()]
-
-
 def latest_export(files: DataFrame, base: str) -> DataFrame:
     """Name of the newest entry below ``base``: a file, or a folder of part files written by Spark.
 
@@ -125,9 +82,7 @@ def latest_table(spark: SparkSession, base: str) -> DataFrame:
     entry = latest_export(list_files(spark, base, "*.csv"), base).first()["entry"]
     if entry is None:
         raise FileNotFoundError(f"no CSV file below {base}")
-    path = f"{base.rstrip('/')}/{entry}"
-    paths = csv_paths(spark, path)
-    return _read_by_header(spark, paths or [path])
+    return CsvScan(spark, f"{base.rstrip('/')}/{entry}").checked()
 
 
 def read_ragged(lines: DataFrame, header: list[str], sep: str = ",", col: str = "value") -> DataFrame:
