@@ -7,9 +7,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from caseload import schema
+from caseload.operators import chats as chat_ops
 from caseload.operators import tickets as ticket_ops
+from caseload.operators import widgets
 from caseload.plans import fixtures as fx
-from caseload.plans.catalog import query
+from caseload.plans.catalog import query, same_rows
+from caseload.plans.oracle_views import TUE
 from caseload.session import scratch_path
 from caseload.sources import files, payloads, tables
 
@@ -50,8 +53,6 @@ def _(spark, sf):
 SELECT chat_id, load_seq, created_ts_local, display_agent, agent_type, rating_value, bot_transfer, duration_minutes
 FROM chats""", "rating_value duration_minutes")
 def _(spark, sf):
-    from caseload.operators import chats as chat_ops
-
     base = scratch_path(spark, "chat-exports")
     stamp = "date_format(created_ts_utc, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
     rows = fx.raw_chats(spark, sf)
@@ -274,9 +275,10 @@ def _chat_payloads(spark, sf):
               f"{said('closed', at('60 + event_id % 900'), 'NULL')})))")
     df = fx.table(spark, sf, "events").selectExpr(
         "CAST(event_id AS STRING) AS id", f"if(event_type = 'click', NULL, {at('0')}) AS created_at",
+        "CAST(NULL AS STRING) AS started_at", "CAST(NULL AS STRING) AS last_event_created_at",
         f"array_compact(array({users})) AS users",
         f"named_struct('created_at', {at('0')}, 'started_at', {at('0')}, 'ended_at', {at('event_id % 600')}, "
-        f"'events', {events}) AS thread",
+        f"'last_event_created_at', CAST(NULL AS STRING), 'events', {events}) AS thread",
         "named_struct('rating', if(user_id % 6 = 0, NULL, named_struct('score', CAST(user_id % 6 AS INT), 'comment', "
         "if(event_type = 'error', 'bad', NULL))), 'source', if(event_type = 'purchase', NULL, named_struct('type', 'widget'))) "
         "AS properties",
@@ -304,3 +306,118 @@ FROM (SELECT *, CASE WHEN bot <> '' AND humans = '' THEN 'bot' ELSE 'human' END
   FROM events))""", "rating_value duration_minutes first_response_seconds")
 def _(spark, sf):
     return payloads.parse_chat_payload(_chat_payloads(spark, sf), DIRECTORY)
+
+
+def _as_json(df, shape: str):
+    """The payloads as JSON text in one of the API's shapes."""
+    thread = F.col("thread")
+    if shape == "threads":
+        other = F.struct(F.lit("1999-01-01T00:00:00Z").alias("created_at"))
+        df = df.withColumn("threads", F.array(thread, F.struct(other["created_at"], *[
+            F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema["thread"].dataType.fields[1:]]))).drop("thread")
+    if shape == "times":
+        df = df.withColumns({
+            "started_at": F.when(F.col("event_type") == "view", F.col("created_at")),
+            "last_event_created_at": F.when(F.col("event_type") != "view", F.col("created_at")),
+            "created_at": F.lit(""),
+            "thread": thread.withField("last_event_created_at", thread["ended_at"]).withField("ended_at", F.lit(None).cast("string"))})
+    if shape == "tags":
+        df = df.withColumn("tags", F.transform("tags", lambda t: F.struct(F.lit(7).alias("id"), t.alias("name"))))
+    whole = F.struct(*[c for c in df.columns if c != "event_type"])
+    text = F.to_json(F.struct(F.lit("ok").alias("status"), whole.alias("chat")) if shape == "wrapped" else whole)
+    if shape == "items":
+        value = lambda n: F.coalesce(F.to_json(f"properties.{n}"), F.lit("null"))
+        items = F.concat(*[x for n in ("rating", "source") for x in (F.lit(f',{{"name":"{n}","value":'), value(n), F.lit("}"))])
+        rest = F.to_json(F.struct(*[c for c in df.columns if c not in ("event_type", "properties")]))
+        text = F.concat(F.expr("left(rest, length(rest) - 1)"), F.lit(',"properties":{"items":['), F.substring("items", 2, 10_000), F.lit("]}}"))
+        return df.withColumns({"rest": rest, "items": items}).select(text.alias("payload"))
+    return df.select(text.alias("payload"))
+
+
+def _directory(spark):
+    return spark.createDataFrame([(i, n, t) for i, (n, t) in DIRECTORY.items()], "id string, name string, type string")
+
+
+def _from_json(spark, sf, shape: str):
+    rows = _chat_payloads(spark, sf)
+    kind = F.element_at("tags", 1).alias("event_type")
+    return payloads.parse_chat_payload(payloads.chat_payloads(_as_json(rows.select("*", kind), shape)), _directory(spark))
+
+
+for _shape in ("plain", "wrapped", "threads", "times", "items", "tags"):
+
+    @same_rows(f"n24_payload_{_shape}", "n24_parse_chat_payload")
+    def _(spark, sf, shape=_shape):
+        """The same chats as JSON text in another shape of the API."""
+        return _from_json(spark, sf, shape)
+
+
+# The payloads after N24, N1 and N6, in SQL.
+_REPORTED = f"""
+SELECT chat_id, created_ts_utc, (created_ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'America/Halifax' AS created_ts_local,
+  coalesce(primary_agent, 'Unknown') AS primary_agent,
+  CASE primary_agent WHEN 'Nora' THEN 'Nova' ELSE coalesce(primary_agent, 'Unknown') END AS display_agent,
+  CASE primary_agent WHEN 'Agent Scrape' THEN 'bot' WHEN 'Nora' THEN 'human' ELSE 'unknown' END AS agent_type,
+  human_agents <> '' OR tags = 'chatbot-transfer' AS bot_transfer, rating_value,
+  duration_minutes, coalesce(first_response_seconds, 0) AS first_response_seconds
+FROM ({{}})"""
+
+
+def _reported() -> str:
+    from caseload.plans.catalog import ORACLES
+
+    return _REPORTED.format(ORACLES["n24_parse_chat_payload"])
+
+
+def _chats_of_payloads(spark, sf):
+    parsed = _from_json(spark, sf, "wrapped")
+    return chat_ops.normalize_chats(schema.resolve_columns(parsed, schema.CHAT_COLUMNS))
+
+
+@query("n24_payload_normalised", _reported(), "rating_value duration_minutes first_response_seconds")
+def _(spark, sf):
+    """Payload, N24, N1 and N6 in a row: time, response and duration survive."""
+    return _chats_of_payloads(spark, sf).select(
+        "chat_id", "created_ts_utc", "created_ts_local", "primary_agent", "display_agent", "agent_type", "bot_transfer",
+        "rating_value", "duration_minutes", "first_response_seconds")
+
+
+@query("w7_payload", f"""
+SELECT period, strftime(period, '%Y-%m-%d') AS label, total, bot, human,
+  regr_slope(CAST(total AS DOUBLE), x) OVER () * x + regr_intercept(CAST(total AS DOUBLE), x) OVER () AS trend
+FROM (SELECT {TUE.format('created_ts_local')} AS period, count(*) AS total, count(*) FILTER (WHERE NOT bot_transfer) AS bot,
+    count(*) FILTER (WHERE bot_transfer) AS human, row_number() OVER (ORDER BY {TUE.format('created_ts_local')}) - 1 AS x
+  FROM ({_reported()}) GROUP BY 1)""", "trend")
+def _(spark, sf):
+    return widgets.chat_weekly_volume_breakdown(_chats_of_payloads(spark, sf), fx.CHATS_AS_OF, range_="all")
+
+
+@query("w9_payload", f"""
+SELECT display_agent AS bot, count(*) AS chats, avg(duration_minutes) AS mean_duration FROM ({_reported()})
+WHERE agent_type = 'bot' GROUP BY 1""", "mean_duration")
+def _(spark, sf):
+    return widgets.bot_volume_duration(_chats_of_payloads(spark, sf), fx.CHATS_AS_OF, range_="all")
+
+
+@query("w14_payload", f"""
+SELECT CAST(created_ts_local AS DATE) AS date, count(*) AS chats, count(*) FILTER (WHERE bot_transfer) AS transfers,
+  count(*) FILTER (WHERE bot_transfer) * 100.0 / count(*) AS transfer_rate, 0.0::DOUBLE AS satisfaction_pct
+FROM ({_reported()}) GROUP BY 1""", "transfer_rate satisfaction_pct")
+def _(spark, sf):
+    none = payloads.explode_ratings(fx.ratings_map(spark, sf)).where("false")
+    return widgets.daily_chat_trends_performance(_chats_of_payloads(spark, sf), none, fx.CHATS_AS_OF, range_="all")
+
+
+@same_rows("s11_ticket_payloads", "s11_flatten_tickets")
+def _(spark, sf):
+    """Pages of JSON tickets; some are single objects, all hold more than is asked for."""
+    rows = fx.raw_tickets(spark, sf).selectExpr(
+        "ticket_id", "CAST(ticket_id AS STRING) AS id", "date_format(create_ts_utc, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS createdAt",
+        "named_struct('subject', subject, 'hs_pipeline', pipeline_raw, 'nested', named_struct('a', 1)) AS properties",
+        "array(1, 2) AS associations")
+    one = F.struct("id", "createdAt", "properties", "associations")
+    pages = rows.where("ticket_id % 3 > 0").groupBy(F.expr("ticket_id div 20")).agg(
+        F.to_json(F.struct(F.collect_list(one).alias("results"))).alias("payload")).select("payload")
+    single = rows.where("ticket_id % 3 = 0").select(F.to_json(one).alias("payload"))
+    return payloads.flatten_tickets(
+        payloads.ticket_payloads(pages.union(single)), ["subject", "hs_pipeline", "content"])

@@ -41,7 +41,7 @@ CHAT_COLUMNS = {
     "chat_id": ["chat_id", "id"],
     "created_raw": ["chat creation date America/Moncton", "chat creation date America/Halifax",
                     "chat creation date UTC", "chat_creation_date_adt", "chat_creation_date_utc",
-                    "chat_creation_date"],
+                    "chat_creation_date", "created_ts_utc"],
     "created_utc": ["chat_creation_date_utc"],
     "created_iso": ["chat_created_at_iso"],
     "created_plain": ["chat_creation_date"],
@@ -54,7 +54,8 @@ CHAT_COLUMNS = {
     "rate_raw": ["rate", "rating_value", "rate_raw"],
     "duration_raw": ["chat duration in seconds", "duration_seconds", "duration_minutes",
                      "duration_raw"],
-    "first_response_raw": ["first response time", "first_response_time", "first_response_raw"],
+    "first_response_raw": ["first response time", "first_response_time", "first_response_raw",
+                           "first_response_seconds"],
     "avg_response_raw": ["average response time", "avg_response_time", "avg_response_raw"],
     "country": ["visitor country code", "country"],
     "tag1": ["tag 1", "tag1", "tags"],
@@ -116,15 +117,18 @@ CHAT_EVENT = T.StructType([
 CHAT_PAYLOAD = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("created_at", T.StringType()),
+    T.StructField("started_at", T.StringType()),
+    T.StructField("last_event_created_at", T.StringType()),
     T.StructField("users", T.ArrayType(AGENT_ENTRY)),
     T.StructField("thread", T.StructType([
         T.StructField("created_at", T.StringType()),
         T.StructField("started_at", T.StringType()),
         T.StructField("ended_at", T.StringType()),
+        T.StructField("last_event_created_at", T.StringType()),
         T.StructField("events", T.ArrayType(CHAT_EVENT))])),
     T.StructField("properties", T.StructType([
         T.StructField("rating", T.StructType([
-            T.StructField("score", T.IntegerType()), T.StructField("comment", T.StringType())])),
+            T.StructField("score", T.DoubleType()), T.StructField("comment", T.StringType())])),
         T.StructField("source", T.StructType([T.StructField("type", T.StringType())]))])),
     T.StructField("tags", T.ArrayType(T.StringType())),
 ])
