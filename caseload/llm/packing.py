@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseload.llm import tokens
-from caseload.llm.common import column, stored, texts, word_runs
+from caseload.llm.common import LOWERED, column, stored, texts, word_runs
 
 TOKENS = 2048
 DOCUMENTS = 2048
@@ -37,6 +37,8 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids bi
 def _cut(text: bytes, known: tokens.Segments, size: int):
     """The ids of a text and its end, ``size`` at a time."""
     held = b""
+    if b"<|" not in text:  # special strings count as they are written; all else is lower-cased by the vocabulary
+        text = text.translate(LOWERED)
     for words in word_runs(text):
         held += b"".join(known.of(words))
         full = len(held) // (4 * size)

@@ -6,12 +6,15 @@ Vocabulary files are named by a path that every executor can read; nothing is tr
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-KNOWN = 1 << 18  # segments held per vocabulary; the table is emptied when it is full
+KNOWN = 1 << 19  # segments held per vocabulary; of a full table the older half goes
 LONGEST = 64  # bytes of a segment that is held
 
 
@@ -27,36 +30,76 @@ def tokenizer(path: str) -> Tokenizer:
 class Segments:
     """What ``encode`` gives for each of a list of segments, remembered within a bound."""
 
-    def __init__(self, encode):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode, most: int = KNOWN):
+        self.encode, self.most, self.known = encode, most, {}
 
     def of(self, segments: list) -> list:
         known = self.known
-        new = list({s for s in segments if s not in known})
-        if new:
-            if len(known) > KNOWN:
-                known.clear()
-                new = list(set(segments))
-            made = dict(zip(new, self.encode(new)))
-            known.update(made)
-            out = [known[s] for s in segments]
-            for s in new:
-                if len(s) > LONGEST:
-                    del known[s]
+        out = list(map(known.get, segments))
+        if None not in out:
             return out
-        return [known[s] for s in segments]
+        new = list({s for s, seen in zip(segments, out) if seen is None})
+        known.update(zip(new, self.encode(new)))
+        out = list(map(known.get, segments))
+        for s in new:
+            if len(s) > LONGEST:
+                del known[s]
+        if len(known) > self.most:
+            self.known = dict(islice(known.items(), len(known) // 2, None))
+        return out
+
+
+def parts(ids: np.ndarray, begins: np.ndarray, count: int) -> list[bytes] | None:
+    """Ids of segments encoded side by side as 32-bit numbers, one text of bytes per segment.
+
+    ``begins`` tells which ids begin a segment; None if these aren't ``count``.
+    """
+    at = 4 * np.flatnonzero(begins)
+    if len(at) != count or at[0]:
+        return None
+    data = ids.tobytes()
+    return [data[i:j] for i, j in zip(at.tolist(), [*at[1:].tolist(), len(data)])]
+
+
+# Letters that every step of the vocabulary keeps one by one, then marks that are a token group of their own.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
 
 
 @lru_cache(maxsize=4)
 def words(path: str) -> Segments:
     """Ids of blank-separated words (bytes) as little-endian unsigned 32-bit numbers, special strings included.
 
-    Only for a vocabulary that drops white space, so that no token and no rule runs over a blank.
+    Only for a vocabulary that drops white space and marks the ends of words, so that no token and no rule runs
+    over a blank. Plain words are encoded side by side in one text and told apart by those marks.
     """
     made = tokenizer(path)
+    ends = np.zeros(made.get_vocab_size(), bool)
+    for piece, i in made.get_vocab().items():
+        ends[i] = piece.endswith("</w>")
+    marks: dict[bytes, bytes] = {b"": b""}
 
-    def encode(batch):
+    def single(batch: list[bytes]) -> list[bytes]:
         found = made.encode_batch_fast([w.decode("utf-8", "replace") for w in batch], add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in f.ids) for f in found]
+        return [np.array(f.ids, "<i4").tobytes() for f in found]
+
+    def side_by_side(batch: list[bytes]) -> list[bytes]:
+        ids = np.array(made.encode_batch_fast([b" ".join(batch).decode()], add_special_tokens=False)[0].ids, "<i4")
+        # An id begins a word if the one before it ends one.
+        return parts(ids, np.concatenate(([True], ends[ids[:-1]])), len(batch)) or single(batch)
+
+    def encode(batch: list[bytes]) -> list[bytes]:
+        plain = {w: m.groups() for w, m in zip(batch, map(PLAIN.fullmatch, batch)) if m}
+        stems = list({stem for stem, _ in plain.values()})
+        known = dict(zip(stems, side_by_side(stems))) if stems else {}
+        tails = list({tail for _, tail in plain.values()} - marks.keys())
+        if tails:
+            if len(marks) > KNOWN:
+                marks.clear()
+                marks[b""] = b""
+                tails = list({tail for _, tail in plain.values()} - marks.keys())
+            marks.update(zip(tails, single(tails)))
+        rest = [w for w in batch if w not in plain]
+        known_rest = dict(zip(rest, single(rest))) if rest else {}
+        return [known[plain[w][0]] + marks[plain[w][1]] if w in plain else known_rest[w] for w in batch]
 
     return Segments(encode)
