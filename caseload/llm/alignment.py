@@ -8,10 +8,6 @@ a closed group, or an open piece where a side has no common end. Composition is
 a very long document, made by many tasks, are reduced as a tree of small groups; the text of closed groups
 is never moved up the tree, only the seams are.
 
-A stretch of text between two borders (below) begins and ends with a common end, so it's a fragment by itself;
-those of frequent stretches are remembered, and the fragment of a range is the product of its stretches' fragments
-and of what the range cuts off a stretch at either side.
-
 Tokens need their surroundings: a range is tokenized from the last border at or before it to the first one
 after it. A border is a single blank between two characters that aren't white space; no token and no rule of
 the two vocabularies runs over it (``Pair`` checks the pieces). A stretch without borders that is longer than a
@@ -27,12 +23,13 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +39,8 @@ from caseload.llm.common import column, stored, texts
 CHUNK = 1 << 15
 FAN = 8
 SHARE = 400_000
-HELD = 1 << 18  # segments that a task remembers
+KNOWN_SCRIPTS = "\u0530"  # Latin, Greek and Cyrillic letters lie below
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-SPLIT = re.compile(r"(?<=\S) (?=\S)")
 LINKS = "array<struct<pair:int,n:int>>"
 TOKEN = np.dtype([("id", "<i8"), ("end", "<i8")])  # end: byte offset in the document with its leading blank
 NONE = np.empty(0, TOKEN)
@@ -58,32 +54,22 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class Segment(NamedTuple):
-    """A stretch between two borders with its leading blank: its ids on both sides and its closed groups."""
-
-    size: int  # in bytes
-    same: bool  # both sides give its bytes again
-    a: bytes = b""
-    b: bytes = b""
-    text: bytes = b""
-    pairs: bytes = b""
-    n_a: int = 0
-    n_b: int = 0
-    groups: int = 0
-    links: int = 0
-
-
 class Pair:
-    """Two vocabularies: the bytes of their ids, and the tokens of a segment between two borders."""
+    """Two vocabularies: the bytes of their ids, and the tokens of a window."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a = tokens.tokenizer(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _byte_letters()
+        vocab = self.a.get_vocab()
         self.a_bytes = [b""] * self.a.get_vocab_size()
-        for piece, i in self.a.get_vocab().items():
+        for piece, i in vocab.items():
             self.a_bytes[i] = bytes(letters[c] for c in piece)
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        # Merges have rising ids, so the ids are ranks, and the same vocabulary runs three times as fast.
+        ranks = {self.a_bytes[i]: i for piece, i in vocab.items() if piece not in special}
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece runs over a border")
@@ -95,65 +81,27 @@ class Pair:
         n = len(self.a_bytes)
         self.b_from = 2 * n
         self.shown = [f"{i}{s}".encode() for i in range(n) for s in ",|"] + [f"{i}{s}".encode() for i in range(len(pieces)) for s in ",;"]
-        self.segments = tokens.Segments(self._encode, HELD)
-
-    def _encode(self, segments: list[str]) -> list[Segment]:
-        """Segments that begin and end with a character and hold no blank are encoded side by side: every blank
-        is then a border, and the tokens that begin with one begin the segments."""
-        plain = [s for s in segments if s and " " not in s and not s[0].isspace() and not s[-1].isspace()]
-        known: dict[str, Segment] = {}
-        if plain:
-            text = " ".join(plain)
-            left = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, "<i4")
-            right = np.array(self.b.encode(text, num_threads=1), "<i4")
-            known = dict(zip(plain, self._aligned(left, right, plain) or ()))
-        rest = [s for s in segments if s not in known]
-        lefts = self.a.encode_batch_fast([" " + s for s in rest], add_special_tokens=False) if rest else []
-        for s, e, right in zip(rest, lefts, self.b.encode(rest, num_threads=1) if rest else []):
-            made = self._aligned(np.array(e.ids, "<i4"), np.array(right, "<i4"), [s])
-            known[s] = made[0] if made else Segment(len(s.encode()) + 1, False)
-        return [known[s] for s in segments]
-
-    def _aligned(self, left: np.ndarray, right: np.ndarray, segments: list[str]) -> list[Segment] | None:
-        """Segments encoded side by side; None where the tokens' bytes aren't the text or don't part at its borders."""
-        data = [b" " + s.encode() for s in segments]
-        text = b"".join(data)
-        if not all(b"".join([t[i] for i in ids]) == text for ids, t in ((left, self.a_bytes), (right, self.b_bytes))):
-            return None
-        a, b = self.placed(left, 0, self.a_size), self.placed(right, 0, self.b_size)
-        until = np.cumsum([len(d) for d in data])
-        ends = np.intersect1d(a["end"], b["end"], assume_unique=True)
-        if not np.isin(until, ends).all():
-            return None
-        shown, cuts, pairs = self.closed(a, b, ends)
-        shown, a_data, b_data, pair_data = [self.shown[i] for i in shown.tolist()], left.tobytes(), right.tobytes(), pairs.astype(np.int32).tobytes()
-        a_at, b_at, g_at, l_at = ([0, *np.searchsorted(x, until, "right").tolist()] for x in (a["end"], b["end"], ends, cuts))
-        return [
-            Segment(len(d), True, a_data[4 * i:4 * j], b_data[4 * k:4 * m], b"".join(shown[i + k:j + m])[:-1],
-                    pair_data[4 * u:4 * v], j - i, m - k, h - g, v - u)
-            for d, i, j, k, m, g, h, u, v in zip(data, a_at, a_at[1:], b_at, b_at[1:], g_at, g_at[1:], l_at, l_at[1:])]
-
-    @staticmethod
-    def placed(ids: np.ndarray, at: int, size: np.ndarray) -> np.ndarray:
-        """Tokens with their ends, from ids of a text that begins ``at`` bytes into its document."""
-        out = np.empty(len(ids), TOKEN)
-        out["id"], out["end"] = ids, np.cumsum(size[ids]) + at
-        return out
-
-    def tokens(self, segment: Segment, at: int) -> tuple[np.ndarray, np.ndarray]:
-        return (self.placed(np.frombuffer(segment.a, "<i4"), at, self.a_size),
-                self.placed(np.frombuffer(segment.b, "<i4"), at, self.b_size))
-
-    def closed(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Closed groups that end at ``ends``: places of their tokens' texts in ``shown``, and every link's end and pair."""
-        ga, gb = np.searchsorted(ends, a["end"]), np.searchsorted(ends, b["end"])
-        b_before = np.concatenate(([0], np.searchsorted(b["end"], ends, "right")))
-        a_until = np.searchsorted(a["end"], ends, "right")
-        shown = np.empty(len(a) + len(b), np.int64)
-        shown[np.arange(len(a)) + b_before[ga]] = 2 * a["id"] + (ends[ga] == a["end"])
-        shown[np.arange(len(b)) + a_until[gb]] = self.b_from + 2 * b["id"] + (ends[gb] == b["end"])
-        cuts = np.union1d(a["end"], b["end"])
-        return shown, cuts, a["id"][np.searchsorted(a["end"], cuts)] * len(self.b_bytes) + b["id"][np.searchsorted(b["end"], cuts)]
+
+    def tokens(self, window: bytes, at: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Tokens of a window that begins with a blank, ``at`` bytes into its document.
+
+        None if the tokens of either side don't give its bytes again.
+        """
+        text = window.decode("utf-8", "replace")
+        # Character classes of newer scripts may differ between the libraries.
+        if text.isascii() or max(text) < KNOWN_SCRIPTS:
+            left = self.fast.encode_ordinary(text)
+        else:
+            left = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        sides = []
+        for ids, table, size in ((left, self.a_bytes, self.a_size), (self.b.encode(text[1:]), self.b_bytes, self.b_size)):
+            if b"".join(map(table.__getitem__, ids)) != window:
+                return None
+            side = np.empty(len(ids), TOKEN)
+            side["id"] = ids
+            side["end"] = np.cumsum(size[side["id"]]) + at
+            sides.append(side)
+        return sides[0], sides[1]
 
 
 @lru_cache(maxsize=2)
@@ -173,65 +121,49 @@ class Fragment:
     seams: list = field(default_factory=list)  # closed by composition: end, text, pairs, times
 
 
-def _closed(p: Pair, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The text of closed groups that end at ``ends``, and the pair of every link."""
-    shown, _, pairs = p.closed(a, b, ends)
-    return b"".join([p.shown[i] for i in shown.tolist()])[:-1], pairs
+def _closed(p: Pair, a: np.ndarray, b: np.ndarray) -> tuple[bytes, np.ndarray, int]:
+    """Closed groups: their text, the pair of every link, and how many there are; both sides have the same last end."""
+    start = min(a["end"][0], b["end"][0])
+    a_end, b_end = a["end"] - start, b["end"] - start
+    is_a, is_b = (np.zeros(int(a_end[-1]) + 1, np.int32) for _ in "ab")  # one for every byte where a token ends
+    is_a[a_end], is_b[b_end] = 1, 1
+    common = is_a & is_b
+    a_until, b_until, groups = np.cumsum(is_a), np.cumsum(is_b), np.cumsum(common)
+    ends = np.flatnonzero(common)
+    # In the text, the tokens of a group follow those of all groups before it, A before B.
+    b_before = np.concatenate(([0], b_until[ends]))[(groups - common)[a_end]]
+    a_before = a_until[ends][(groups - common)[b_end]]
+    shown = np.empty(len(a) + len(b), np.int64)
+    shown[np.arange(len(a)) + b_before] = 2 * a["id"] + common[a_end]
+    shown[np.arange(len(b)) + a_before] = p.b_from + 2 * b["id"] + common[b_end]
+    cuts = np.flatnonzero(is_a | is_b)  # a link lies between two ends that follow each other
+    pairs = a["id"][(a_until - is_a)[cuts]] * len(p.b_bytes) + b["id"][(b_until - is_b)[cuts]]
+    return b"".join(map(p.shown.__getitem__, shown.tolist()))[:-1], pairs.astype(np.int32), len(ends)
+
+
+def _common_ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if not len(a) or not len(b):
+        return np.empty(0, np.int64)
+    start = min(a["end"][0], b["end"][0])
+    at = np.zeros(int(max(a["end"][-1], b["end"][-1]) - start) + 1, bool)
+    at[b["end"] - start] = True
+    return a["end"][at[a["end"] - start]]
 
 
 def fragment(p: Pair, a: np.ndarray, b: np.ndarray, first: bool) -> tuple[Fragment, int, bytes, np.ndarray]:
-    """The fragment of a range, where its closed groups begin, their text and their links' pairs."""
-    ends = np.intersect1d(a["end"], b["end"], assume_unique=True)
-    if not len(ends):
-        return Fragment(shut=first, suffix=(a, b)), 0, b"", np.empty(0, np.int64)
-    cut = [(0, np.searchsorted(s["end"], ends[-1], "right")) if first else
-           tuple(np.searchsorted(s["end"], ends[[0, -1]], "right")) for s in (a, b)]
-    (a0, a1), (b0, b1) = cut
-    inner = ends if first else ends[1:]
-    text, pairs = _closed(p, a[a0:a1], b[b0:b1], inner) if len(inner) else (b"", np.empty(0, np.int64))
-    made = Fragment(True, (a[:a0], b[:b0]), (a[a1:], b[b1:]), len(inner), len(pairs))
-    return made, int(ends[0]) - int(first), text, pairs
-
-
-class Range(NamedTuple):
-    """The fragment of a range with its counts, and the text and the links' pairs of its closed groups."""
-
-    made: Fragment
-    n_a: int
-    n_b: int
-    begin: int
-    text: bytes
-    pairs: np.ndarray
+    """The fragment of the tokens that end in a range, where its closed groups begin, their text and their links' pairs.
 
-
-def range_fragment(p: Pair, window: bytes, at: int, lo: int, hi: int) -> Range | None:
-    """What a window that begins ``at`` bytes into its document says of the bytes ``lo`` to ``hi``.
-
-    None if the tokens of either side don't give the window's bytes again: the document then has no tokens.
+    The range of a document's first byte is shut on the left.
     """
-    found = p.segments.of(SPLIT.split(window[1:].decode("utf-8", "replace")))
-    size, same, _, _, text, pairs, n_a, n_b, groups, links = zip(*found)
-    if not all(same):
-        return None
-    if at == lo and at + len(window) == hi:
-        whole = Fragment(True, groups=sum(groups), links=sum(links))
-        return Range(whole, sum(n_a), sum(n_b), lo, b";".join(text), np.frombuffer(b"".join(pairs), np.int32))
-    until = at + np.cumsum(size)
-    i, j = int(np.searchsorted(until - size, lo)), int(np.searchsorted(until, hi, "right"))  # whole segments in the range
-
-    def cut(k: int) -> tuple[Fragment, int, int, int, bytes, np.ndarray]:
-        a, b = (s[slice(*np.searchsorted(s["end"], [lo, hi], "right"))] for s in p.tokens(found[k], int(until[k]) - size[k]))
-        made, begin, shown, pair = fragment(p, a, b, int(until[k]) - size[k] >= lo)
-        return made, len(a), len(b), begin, shown, pair
-
-    inner = (Fragment(True, groups=sum(groups[i:j]), links=sum(links[i:j])), sum(n_a[i:j]), sum(n_b[i:j]),
-             int(until[i]) - size[i] if i < j else 0, b";".join(text[i:j]), np.frombuffer(b"".join(pairs[i:j]), np.int32))
-    parts = [*([cut(i - 1)] if i else []), *([inner] if i < j else []), *([cut(j)] if i <= j < len(found) else [])]
-    made = parts[0][0]
-    for part in parts[1:]:
-        made = compose(p, made, part[0])
-    return Range(made, sum(x[1] for x in parts), sum(x[2] for x in parts), next((x[3] for x in parts if x[0].shut), 0),
-                 b";".join(x[4] for x in parts if x[4]), np.concatenate([x[5] for x in parts]))
+    ends = _common_ends(a, b)
+    if not len(ends):
+        return Fragment(shut=first, suffix=(a, b)), 0, b"", np.empty(0, np.int32)
+    low = [0, 0] if first else [int(np.searchsorted(s["end"], ends[0], "right")) for s in (a, b)]
+    high = [int(np.searchsorted(s["end"], ends[-1], "right")) for s in (a, b)]
+    inner = [s[i:j] for s, i, j in zip((a, b), low, high)]
+    text, pairs, groups = _closed(p, *inner) if len(inner[0]) else (b"", np.empty(0, np.int32), 0)
+    made = Fragment(True, (a[:low[0]], b[:low[1]]), (a[high[0]:], b[high[1]:]), groups, len(pairs))
+    return made, 0 if first else int(ends[0]), text, pairs
 
 
 def compose(p: Pair, left: Fragment, right: Fragment) -> Fragment:
@@ -245,7 +177,7 @@ def compose(p: Pair, left: Fragment, right: Fragment) -> Fragment:
         return Fragment(True, both[1], right.suffix, groups, links, seams)
     a, b = both[1]
     if len(a) or len(b):
-        text, pairs = _closed(p, a, b, a["end"][-1:])
+        text, pairs, _ = _closed(p, a, b)
         seams = [*left.seams, (int(a["end"][-1]), text, *_counted(pairs)), *right.seams]
         groups, links = groups + 1, links + len(pairs)
     return Fragment(True, left.prefix, right.suffix, groups, links, seams)
@@ -334,17 +266,20 @@ def _fragments(ranges: DataFrame, a_path: str, b_path: str) -> DataFrame:
             cols = {n: column(batch, n).to_pylist() for n in ("row", "doc_id", "no", "last", "lo", "hi", "at")}
             rows, pairs, times, lengths = [], [], [], []
             for row, doc, no, last, lo, hi, at, window in zip(*cols.values(), texts(batch, "window")):
-                found = range_fragment(p, window, at, lo, hi) if window else None
-                if not found:  # the document has no tokens
+                sides = p.tokens(window, at) if window else None
+                if not sides:  # the document has no tokens
                     rows.append((row, doc, no, last, False, True, 0, 0, 0, 0, 0, b"", "", *[b""] * 4))
                     lengths.append(0)
                     continue
-                made, whole = found.made, no == 0 and last
+                whole = no == 0 and last
+                if not whole:
+                    sides = [s[slice(*np.searchsorted(s["end"], [lo, hi], "right"))] for s in sides]
+                made, begin, text, found = fragment(p, *sides, no == 0)
                 rows.append((
-                    row, doc, no, last, True, made.shut, found.n_a, found.n_b, made.groups, made.links, found.begin,
-                    b"" if whole else found.text, hashlib.sha256(found.text).hexdigest() if whole else None,
+                    row, doc, no, last, True, made.shut, *map(len, sides), made.groups, made.links, begin,
+                    b"" if whole else text, hashlib.sha256(text).hexdigest() if whole else None,
                     *(s.tobytes() for s in (*made.prefix, *made.suffix))))
-                kind, count = np.unique(found.pairs, return_counts=True)
+                kind, count = np.unique(found, return_counts=True)
                 pairs.append(kind), times.append(count), lengths.append(len(kind))
             flat = pa.StructArray.from_arrays(
                 [pa.array(np.concatenate([np.empty(0, np.int64), *x]).astype(np.int32)) for x in (pairs, times)], ["pair", "n"])
