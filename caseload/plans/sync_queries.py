@@ -11,7 +11,9 @@ from caseload.plans import fixtures as fx
 from caseload.plans.catalog import query
 from caseload.session import scratch_path
 from caseload.sources.snapshots import SnapshotTable
+from caseload.sources import files
 from caseload.streaming import feeds
+from caseload.streaming.inbox import Inbox
 
 _MERGED = """
 SELECT coalesce(s.ticket_id, d.ticket_id) AS ticket_id, coalesce(d.subject, s.subject) AS subject,
@@ -125,6 +127,40 @@ def _(spark, sf):
         F.max(F.col("ticket_id").cast("bigint")).alias("last_id"))
 
 
+def _one_file(df, path: str) -> None:
+    """Write a table as one CSV file of this name, in place of what is there."""
+    spark, folder = df.sparkSession, scratch_path(df.sparkSession, "export")
+    files.write_csv(df.coalesce(1), folder)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = [s.getPath() for s in fs.globStatus(jpath(f"{folder}/*.csv"))][0]
+    fs.mkdirs(jpath(path).getParent())
+    fs.delete(jpath(path), False)
+    fs.rename(part, jpath(path))
+
+
+@query("st1_changed_files", """
+SELECT ticket_id, file_date, CASE WHEN subject LIKE '%O' THEN 'second' || chr(10) || 'try, ' || subject ELSE subject END AS subject,
+  nullif(priority, '2-HIGH') AS priority, CASE WHEN subject LIKE '%O' THEN ticket_owner END AS ticket_owner
+FROM (SELECT *, CAST(CASE right(subject, 1) WHEN 'F' THEN '2025-09-01' WHEN 'O' THEN '2025-09-02' ELSE '2025-09-03' END AS DATE)
+  AS file_date FROM raw_tickets)""")
+def _(spark, sf):
+    """Three exports; one is rewritten under its name with other text and a further column, one comes later."""
+    inbox = Inbox(spark, scratch_path(spark, "inbox"), scratch_path(spark, "tickets"))
+    rows = fx.raw_tickets(spark, sf).withColumn("priority", F.when(F.col("priority") == "2-HIGH", "None").otherwise(F.col("priority")))
+    base = ["ticket_id", "subject", "priority"]
+    part = lambda status: rows.where(F.col("subject").endswith(status))
+    _one_file(part("F").select(base), f"{inbox.source}/ticket-export-01092025.csv")
+    _one_file(part("O").select(base), f"{inbox.source}/ticket-export-02092025.csv")
+    inbox.sync()
+    again = part("O").withColumn("subject", F.concat(F.lit("second\ntry, "), "subject"))
+    _one_file(again.select("ticket_owner", *base), f"{inbox.source}/ticket-export-02092025.csv")
+    _one_file(part("P").select(base), f"{inbox.source}/ticket-export-03092025.csv")
+    inbox.sync()
+    inbox.sync()
+    return inbox.read().drop("source_file").withColumn("ticket_id", F.col("ticket_id").cast("bigint"))
+
+
 @query("st2_file_date", """
 SELECT ticket_id, path, CAST(CASE WHEN digits LIKE '20%' THEN try_strptime(digits, '%Y%m%d')
   ELSE try_strptime(digits, '%d%m%Y') END AS DATE) AS file_date

@@ -115,14 +115,17 @@ class CsvScan:
 
     ``files`` has file, length, header (null if skipped) and reason (null if read): ``empty``, ``small processed
     file`` or ``unclosed quote``; Spark lists no file of no bytes. ``rows`` has all columns of all headers as text; columns that a file lacks are
-    null there.
+    null there, and the path of their file under the name ``FILE``.
     """
 
+    FILE = "_file"
+
     def __init__(self, spark: SparkSession, paths: str | list[str], multi_line: bool = True):
         self.missing: list[str] = []
         if not isinstance(paths, str):
             paths, self.missing = existing(spark, paths)
         self.files = self.rows = None
+        self.columns: list[str] = []
         if not paths:
             return
         sizes = _load(spark.read, "binaryFile", paths).select(F.col("_metadata.file_path").alias("file"), "length")
@@ -173,7 +176,8 @@ class CsvScan:
                 out = F.when(F.col("header").isin(of), F.col(f"c{at}")).otherwise(out)
             return out if len(places) > 1 or len(next(iter(places.values()))) < len(names) else F.col(f"c{next(iter(places))}")
 
-        self.rows = rows.select(*[cell(n).alias(n) for n in order])
+        self.columns = order
+        self.rows = rows.select(*[cell(n).alias(n) for n in order], F.col("file").alias(self.FILE))
 
     @staticmethod
     def _kept(df: DataFrame, label: str) -> DataFrame:
@@ -191,4 +195,4 @@ class CsvScan:
             warnings.warn(f"files are left out: {'; '.join(notes)}", stacklevel=3)
         if self.rows is None:
             raise ValueError("no readable CSV file")
-        return self.rows
+        return self.rows.drop(self.FILE)
