@@ -1,4 +1,4 @@
-"""Tokens of public vocabularies, segment by segment with a bounded table of segments seen before.
+"""Tokens of public vocabularies, word by word with a bounded table of words seen before.
 
 Vocabulary files are named by a path that every executor can read; nothing is trained or copied.
 """
@@ -30,22 +30,21 @@ def tokenizer(path: str) -> Tokenizer:
 class Segments:
     """What ``encode`` gives for each of a list of segments, remembered within a bound."""
 
-    def __init__(self, encode, most: int = KNOWN):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode):
+        self.encode, self.known = encode, {}
 
     def of(self, segments: list) -> list:
-        known = self.known
-        out = list(map(known.get, segments))
+        out = list(map(self.known.get, segments))
         if None not in out:
             return out
-        new = list({s for s, seen in zip(segments, out) if seen is None})
-        known.update(zip(new, self.encode(new)))
-        out = list(map(known.get, segments))
-        for s in new:
-            if len(s) > LONGEST:
-                del known[s]
-        if len(known) > self.most:
-            self.known = dict(islice(known.items(), len(known) // 2, None))
+        holes = [i for i, seen in enumerate(out) if seen is None]
+        new = list({segments[i] for i in holes})
+        made = dict(zip(new, self.encode(new)))
+        for i in holes:
+            out[i] = made[segments[i]]
+        self.known.update((s, x) for s, x in made.items() if len(s) <= LONGEST)
+        if len(self.known) > KNOWN:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
         return out
 
 
