@@ -28,7 +28,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class Segments:
-    """What ``encode`` gives for each of a list of segments, remembered within a bound."""
+    """What ``encode(segments, known)`` gives for each segment, remembered within a bound."""
 
     def __init__(self, encode):
         self.encode, self.known = encode, {}
@@ -39,7 +39,7 @@ class Segments:
             return out
         holes = [i for i, seen in enumerate(out) if seen is None]
         new = list({segments[i] for i in holes})
-        made = dict(zip(new, self.encode(new)))
+        made = dict(zip(new, self.encode(new, self.known)))
         for i in holes:
             out[i] = made[segments[i]]
         self.known.update((s, x) for s, x in made.items() if len(s) <= LONGEST)
@@ -86,10 +86,12 @@ def words(path: str) -> Segments:
         # An id begins a word if the one before it ends one.
         return parts(ids, np.concatenate(([True], ends[ids[:-1]])), len(batch)) or single(batch)
 
-    def encode(batch: list[bytes]) -> list[bytes]:
+    def encode(batch: list[bytes], seen: dict[bytes, bytes]) -> list[bytes]:
         plain = {w: m.groups() for w, m in zip(batch, map(PLAIN.fullmatch, batch)) if m}
-        stems = list({stem for stem, _ in plain.values()})
-        known = dict(zip(stems, side_by_side(stems))) if stems else {}
+        known = {stem: seen.get(stem) for stem, _ in plain.values()}
+        stems = [stem for stem, ids in known.items() if ids is None]
+        if stems:
+            known.update(zip(stems, side_by_side(stems)))
         tails = list({tail for _, tail in plain.values()} - marks.keys())
         if tails:
             if len(marks) > KNOWN:
