@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseload.operators.filters import ntz
@@ -14,6 +14,12 @@ DEFAULT_LOOKBACK_DAYS = 365
 ALWAYS_WRITTEN = ("rate_raw",)
 
 
+def ordered(df: DataFrame, name: str) -> Column:
+    """A column as a part of an order; maps and variants count as their JSON text."""
+    plain = df.schema[name].dataType.typeName() not in ("map", "variant")
+    return F.col(f"`{name}`") if plain else F.to_json(f"`{name}`").alias(name)
+
+
 def collapse_delta(delta: DataFrame, key: str, seq: str | None, always: tuple[str, ...] = ALWAYS_WRITTEN) -> DataFrame:
     """One row per key: the latest value present of each column.
 
@@ -21,7 +27,7 @@ def collapse_delta(delta: DataFrame, key: str, seq: str | None, always: tuple[st
     ``seq``, and among equal values of it, the greatest row in the order of all columns is the latest.
     """
     cols = [c for c in delta.columns if c not in (key, seq)]
-    rank = F.struct(*([seq] if seq else []), *cols)
+    rank = F.struct(*([seq] if seq else []), *[ordered(delta, c) for c in cols])
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), rank))
     return delta.groupBy(key).agg(*[
         F.coalesce(F.max_by(c, rank), F.lit("")).alias(c) if c in always else latest(c).alias(c)
@@ -31,20 +37,21 @@ def collapse_delta(delta: DataFrame, key: str, seq: str | None, always: tuple[st
 def _new_rows(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     """Delta rows whose key the base lacks. Only the key column of the base is read, and it is
     reduced to keys of the delta first, so a small delta never makes the base shuffle."""
-    known = base.select(key).join(delta.select(key), key, "left_semi")
-    return delta.join(known, key, "left_anti")
+    same = F.col("_known").eqNullSafe(F.col("_changed"))
+    known = base.select(F.col(key).alias("_known")).join(delta.select(F.col(key).alias("_changed")), same, "left_semi")
+    return delta.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
 
 
 def upsert_merge(base: DataFrame, delta: DataFrame, key: str, seq: str | None = None,
                  always: tuple[str, ...] = ALWAYS_WRITTEN) -> DataFrame:
     """Present fields of the delta overwrite, all others are kept; new keys are added.
 
-    ``seq`` orders several delta rows of one key. The key is unique in ``base``.
+    ``seq`` orders several delta rows of one key. The key is unique in ``base``; a missing one is a key like any other.
     """
     one = collapse_delta(delta, key, seq, always)
     fields = [c for c in one.columns if c != key]
     incoming = one.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in fields])
-    joined = base.join(incoming, F.col(key) == F.col("_key"), "left")
+    joined = base.join(incoming, F.col(key).eqNullSafe(F.col("_key")), "left")
     merged = lambda c: (F.coalesce(f"_new_{c}", c) if c in base.columns else F.col(f"_new_{c}")).alias(c)
     kept = [merged(c) if c in fields else F.col(c) for c in base.columns]
     updated = joined.select(*kept, *[merged(c) for c in fields if c not in base.columns])
@@ -53,7 +60,7 @@ def upsert_merge(base: DataFrame, delta: DataFrame, key: str, seq: str | None =
 
 def latest_rows(delta: DataFrame, key: str, seq: str | None) -> DataFrame:
     """One row per key: the latest by ``seq``, then by all columns, so the result doesn't depend on partitions."""
-    others = [F.desc(c) for c in delta.columns if c not in (key, seq)]
+    others = [ordered(delta, c).desc() for c in delta.columns if c not in (key, seq)]
     one = dedup(delta, key, [*([F.desc(seq)] if seq else []), *others])
     return one.drop(seq) if seq else one
 
@@ -61,7 +68,8 @@ def latest_rows(delta: DataFrame, key: str, seq: str | None) -> DataFrame:
 def upsert_replace(base: DataFrame, delta: DataFrame, key: str, seq: str | None = None) -> DataFrame:
     """The latest delta row of a key replaces the whole base row; new keys are added."""
     latest = latest_rows(delta, key, seq)
-    untouched = base.join(latest.select(key), key, "left_anti").select(*base.columns)
+    untouched = base.join(
+        latest.select(F.col(key).alias("_changed")), F.col(key).eqNullSafe(F.col("_changed")), "left_anti").select(*base.columns)
     return untouched.unionByName(latest, allowMissingColumns=True)
 
 

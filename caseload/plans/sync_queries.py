@@ -10,8 +10,8 @@ from caseload.operators import sync
 from caseload.plans import fixtures as fx
 from caseload.plans.catalog import query
 from caseload.session import scratch_path
-from caseload.sources.snapshots import SnapshotTable
 from caseload.sources import files
+from caseload.sources.months import MonthTable
 from caseload.streaming import feeds
 from caseload.streaming.inbox import Inbox
 
@@ -48,12 +48,31 @@ SELECT * FROM delta UNION ALL SELECT * FROM store s WHERE s.ticket_id NOT IN (SE
 def _(spark, sf):
     """The merge into a stored table with month folders; months without a change keep their files."""
     month = F.trunc(F.col("last_modified_ts_utc").cast("date"), "month")
-    table = SnapshotTable(spark, scratch_path(spark, "months"), partition="month")
+    table = MonthTable(spark, scratch_path(spark, "months"))
     table.write(fx.ticket_store(spark, sf).withColumn("month", month))
     table.merge(fx.ticket_delta(spark, sf).withColumn("month", month), "ticket_id")
     return table.read().drop("month")
 
 
+@query("u1_upsert_odd_keys", """
+SELECT coalesce(s.k, d.k) AS k, coalesce(d.m, s.m) AS m, coalesce(d.n, s.n) AS n
+FROM (SELECT nullif(ticket_id, first_id) AS k, 'a=' || subject AS m, 1::BIGINT AS n
+    FROM raw_tickets, (SELECT min(ticket_id) AS first_id FROM raw_tickets)) s
+FULL JOIN (SELECT nullif(ticket_id, first_id) AS k, CASE WHEN ticket_id % 2 = 0 THEN 'b=' || subject END AS m,
+    CASE WHEN ticket_id % 3 > 0 THEN 2::BIGINT END AS n
+    FROM raw_tickets, (SELECT min(ticket_id) AS first_id FROM raw_tickets) WHERE ticket_id % 5 < 3 OR ticket_id = first_id) d
+  ON s.k IS NOT DISTINCT FROM d.k""")
+def _(spark, sf):
+    """A missing key and a map column; the change is merged twice."""
+    rows = fx.raw_tickets(spark, sf).selectExpr("*", "min(ticket_id) OVER () AS first_id")
+    base = rows.selectExpr("nullif(ticket_id, first_id) AS k", "map('a', subject) AS m", "1L AS n")
+    delta = rows.where("ticket_id % 5 < 3 OR ticket_id = first_id").selectExpr(
+        "nullif(ticket_id, first_id) AS k", "if(ticket_id % 2 = 0, map('b', subject), NULL) AS m", "if(ticket_id % 3 > 0, 2L, NULL) AS n")
+    once = sync.upsert_merge(base, delta, "k")
+    return sync.upsert_merge(once, delta, "k").selectExpr(
+        "k", "concat(map_keys(m)[0], '=', map_values(m)[0]) AS m", "n")
+
+
 @query("u2_upsert_replace", _REPLACED)
 def _(spark, sf):
     return sync.upsert_replace(fx.ticket_store(spark, sf), fx.ticket_delta(spark, sf), "ticket_id")
@@ -93,17 +112,31 @@ def _(spark, sf):
     return sync.save_state(sync.save_state(old, tickets), chats)
 
 
-@query("u6_full_refresh", """
+@query("u6_refresh_metadata", """
 SELECT 'tickets' AS table_name, count(*) AS records, TIMESTAMP '2024-01-31' AS last_updated FROM tickets
 UNION ALL SELECT 'chats', count(*), TIMESTAMP '2024-01-31' FROM chats""")
 def _(spark, sf):
-    """Both tables written as new snapshots; the counts come from what was stored."""
-    tickets = SnapshotTable(spark, scratch_path(spark, "tickets"))
-    chats = SnapshotTable(spark, scratch_path(spark, "chats"))
-    for table, df in ((tickets, fx.ticket_store(spark, sf)), (chats, fx.raw_chats(spark, sf).drop("tag2"))):
-        table.write(df.where("false"))
-        table.write(df)
-    return sync.refresh_metadata(tickets.read(), chats.read(), fx.CHATS_AS_OF)
+    return sync.refresh_metadata(fx.ticket_store(spark, sf), fx.raw_chats(spark, sf), fx.CHATS_AS_OF)
+
+
+@query("u6_full_refresh", "SELECT * FROM store WHERE ticket_id % 7 > 0")
+def _(spark, sf):
+    """A stored table is replaced by another one; rows and months that it lacks go."""
+    table = MonthTable(spark, scratch_path(spark, "tickets"))
+    rows = fx.ticket_store(spark, sf).withColumn("month", F.trunc(F.col("last_modified_ts_utc").cast("date"), "month"))
+    table.write(rows.withColumn("month", F.add_months("month", 1)).withColumn("subject", F.lit("old")))
+    table.write(rows.where("ticket_id % 7 > 0"))
+    return table.read().drop("month")
+
+
+@query("u3_retain_stored", """
+SELECT * FROM store WHERE last_modified_ts_utc >= TIMESTAMP '2001-08-02' - INTERVAL 500 DAY""")
+def _(spark, sf):
+    """Retention on stored months: old months are dropped, the border month is rewritten."""
+    table = MonthTable(spark, scratch_path(spark, "tickets"))
+    table.write(fx.ticket_store(spark, sf).withColumn("month", F.trunc(F.col("last_modified_ts_utc").cast("date"), "month")))
+    table.retain("last_modified_ts_utc", 500, fx.TICKETS_AS_OF)
+    return table.read().drop("month")
 
 
 @query("st1_stream_files", """
@@ -184,13 +217,14 @@ def _(spark, sf):
 def _(spark, sf):
     """The change feed is merged into the stored table micro-batch by micro-batch."""
     changes = scratch_path(spark, "changes")
-    delta = fx.ticket_delta(spark, sf)
-    delta.repartitionByRange(3, "ticket_id").write.parquet(changes)
-    table = SnapshotTable(spark, scratch_path(spark, "store"))
-    table.write(fx.ticket_store(spark, sf))
+    month = F.expr("date '1992-01-01' + make_interval(0, CAST(ticket_id % 80 AS INT)) AS month")
+    delta = fx.ticket_delta(spark, sf).select("*", month)
+    delta.repartitionByRange(3, "month").write.parquet(changes)
+    table = MonthTable(spark, scratch_path(spark, "store"), fixed=True)
+    table.write(fx.ticket_store(spark, sf).select("*", month))
     stream = spark.readStream.schema(delta.schema).option("maxFilesPerTrigger", 1).parquet(changes)
     feeds.stream_upsert(stream, table, "ticket_id", scratch_path(spark, "checkpoint"))
-    return table.read()
+    return table.read().drop("month")
 
 
 @query("st4_stream_dedup", "SELECT chat_id, created_ts_utc FROM first_chats")

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from caseload import dims
-from caseload.operators.joins import dedup
 from caseload.sources.files import file_date
-from caseload.sources.snapshots import SnapshotTable
+from caseload.sources.months import MonthTable
 
 
-def stream_files(spark: SparkSession, path: str, columns: list[str], max_files: int = 100) -> DataFrame:
+def stream_files(spark: SparkSession, path: str, columns: list[str], max_files: int = 100,
+                 multi_line: bool = True) -> DataFrame:
     """ST1: every new CSV file once, as text, with its path and the date in its name.
 
-    The checkpoint remembers the files seen; changed content arrives under a new path.
+    The checkpoint remembers the files seen; changed content arrives under a new path (``Inbox`` reads rewritten
+    files and other headers). ``multi_line=False`` splits large files that have no line breaks in cells.
     """
     shape = ", ".join(f"`{c}` string" for c in columns)
     feed = (
-        spark.readStream.schema(shape).option("header", "true").option("multiLine", "true")
+        spark.readStream.schema(shape).option("header", "true").option("multiLine", multi_line)
         .option("escape", '"').option("maxFilesPerTrigger", max_files)
         .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path))
     text = lambda c: F.when(~F.col(f"`{c}`").isin(dims.NULL_TOKENS), F.col(f"`{c}`")).alias(c)
@@ -34,12 +34,12 @@ def run_available(stream: DataFrame, target: str, checkpoint: str) -> None:
      .outputMode("append").trigger(availableNow=True).start().awaitTermination())
 
 
-def stream_upsert(stream: DataFrame, table: SnapshotTable, key: str, checkpoint: str,
+def stream_upsert(stream: DataFrame, table: MonthTable, key: str, checkpoint: str,
                   seq: str | None = None, replace: bool = False) -> None:
     """ST3: merge every micro-batch into the keyed table and stop when the input is drained.
 
-    The table records the batch id with its commit, so a batch replayed after a failure has no
-    second effect.
+    A micro-batch rewrites the months that it touches. The table knows the last batch of the feed, so a batch
+    replayed after a failure has no second effect.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -49,30 +49,27 @@ def stream_upsert(stream: DataFrame, table: SnapshotTable, key: str, checkpoint:
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def stream_dedup(stream: DataFrame, target: str, checkpoint: str, key: str = "chat_id",
-                 ts: str = "created_ts_utc") -> None:
-    """ST4: add the first arrival of every key to a Parquet table, however late, and stop when the input is drained.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    A micro-batch adds the keys that no earlier batch had; of copies inside a batch the earliest by ``ts``
-    stays, then the smallest row. Its rows lie in a folder of the batch's number, which a replay overwrites,
-    so a batch has no second effect. Rows without a key count as one key. Only the key column of the earlier
-    batches is read, and it is reduced to the keys of the batch before it is shuffled. A target belongs to
-    one checkpoint; ``read_deduped`` reads it.
-    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        one = dedup(batch, key, [ts, *(c for c in batch.columns if c not in (key, ts))])
-        if number > 0:
-            shape = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
-            earlier = batch.sparkSession.read.schema(shape).parquet(target).where(F.col("batch") < number)
-            arrived = batch.select(F.col(key).alias("_arrived"))
-            known = earlier.select(F.col(key).alias("_known")).join(
-                arrived, F.col("_known").eqNullSafe(F.col("_arrived")), "left_semi")
-            one = one.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
-        one.write.mode("overwrite").parquet(f"{target}/batch={number}")
+def stream_dedup(stream: DataFrame, target: str, checkpoint: str, key: str = "chat_id") -> None:
+    """ST4: add the first arrival of every key to a Parquet table, however late, and stop when the input is drained.
 
-    (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
+    The keys seen lie in the stream's keyed state, on the executors' disks and in the checkpoint, so the work of
+    a micro-batch follows its own rows and not the life of the feed. Rows without a key count as one key; of several
+    copies in one micro-batch one stays. The rows of a micro-batch lie in a folder of its number, which a replay
+    overwrites, so it has no second effect. ``read_deduped`` reads the target, which belongs to one checkpoint.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        (stream.dropDuplicates([key]).writeStream
+         .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}"))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
 
 def read_deduped(spark: SparkSession, target: str) -> DataFrame:

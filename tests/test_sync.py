@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseload.operators import logs, sync
 from caseload.session import scratch_path
 from caseload.sources import files
-from caseload.sources.snapshots import SnapshotTable
+from caseload.sources.months import FOLDER, MonthTable
 from caseload.streaming import feeds
 
 D = dt.datetime
@@ -57,63 +57,114 @@ def test_state(rows, spark):
     assert sync.load_state(state, "chats", as_of) == as_of - dt.timedelta(days=365)
 
 
-def test_snapshot_shows_only_committed_data(spark, base):
-    table = SnapshotTable(spark, scratch_path(spark, "t"))
-    assert table.read() is None
-    assert table.write(base) == 2
-    # Data without a commit row, as a lost driver leaves it, stays invisible.
-    base.unionByName(base).write.parquet(f"{table.base}/data/snapshot=99999999999999999")
-    assert table.read().count() == 2
+MSHAPE = "id int, a string, month string"
+content = lambda df: sorted(tuple(r) for r in df.select("id", "a", "month").collect())
 
 
-def test_replayed_batch_has_no_second_effect(rows, spark, base):
-    table = SnapshotTable(spark, scratch_path(spark, "t"))
-    table.write(base)
-    assert table.merge(rows([(1, "first", "r")], SHAPE), "id", batch=("feed", 0)) == 2
-    assert table.merge(rows([(1, "again", "r")], SHAPE), "id", batch=("feed", 0)) == 0
-    assert table.merge(rows([(2, "other", "r")], SHAPE), "id", batch=("another", 0)) == 2
-    assert rowset(table.read()) == [(1, "first", "r"), (2, "other", "r")]
+@pytest.fixture
+def table(spark):
+    return MonthTable(spark, scratch_path(spark, "t"))
+
+
+def months(t):
+    """The data files of every month."""
+    out = {}
+    for f in t._open().inputFiles():
+        out.setdefault(f.split(f"{FOLDER}=")[1].split("/")[0], set()).add(f)
+    return out
+
+
+def test_months_start_empty_and_are_replaced_as_a_whole(rows, table):
+    assert table.read() is None and not table.has_batch(("feed", 0))
+    table.write(rows([(1, "x", "a"), (2, "y", "b")], MSHAPE))
+    table.write(rows([(3, "z", "b"), (4, "w", "c")], MSHAPE))
+    assert content(table.read()) == [(3, "z", "b"), (4, "w", "c")]
+    table.write(rows([], MSHAPE))
+    assert table.read() is None or table.read().count() == 0
 
 
-def test_partitioned_merge_rewrites_only_touched_partitions(rows, spark):
-    shape = "id int, a string, month string"
-    table = SnapshotTable(spark, scratch_path(spark, "t"), partition="month")
-    start = rows([(i, "old", f"m{i % 4}") for i in range(12)], shape)
+@pytest.mark.parametrize("fixed", [False, True])
+def test_replayed_batch_has_no_second_effect(rows, spark, fixed):
+    table = MonthTable(spark, scratch_path(spark, "t"), fixed=fixed)
+    table.write(rows([(1, "x", "a"), (2, "y", "b")], MSHAPE))
+    table.merge(rows([(1, "first", "a")], MSHAPE), "id", batch=("feed", 0))
+    table.merge(rows([(1, "again", "a")], MSHAPE), "id", batch=("feed", 0))
+    table.merge(rows([(2, "other", "b")], MSHAPE), "id", batch=("another", 0))
+    assert content(table.read()) == [(1, "first", "a"), (2, "other", "b")]
+    table.merge(rows([], MSHAPE), "id", batch=("feed", 1))
+    assert table.has_batch(("feed", 1)) and not table.has_batch(("feed", 2))
+
+
+def test_merge_rewrites_only_touched_months(rows, table):
+    start = rows([(i, "old", f"m{i % 4}") for i in range(12)], MSHAPE)
     table.write(start)
-    before = table.paths()
+    before = months(table)
     # One changed key, one new key, one key that moves to another month.
-    delta = rows([(0, "new", None), (100, "new", "m1"), (5, "moved", "m9")], shape)
-    table.merge(delta, "id")
-    after = table.paths()
-    assert {p for p in before if before[p] == after[p]} == {"m2", "m3"}
-    expected = sync.upsert_merge(start, delta, "id")
-    get = lambda df: sorted(tuple(r) for r in df.select("id", "a", "month").collect())
-    assert get(table.read()) == get(expected)
-    # The same change again leaves the content as it is.
+    delta = rows([(0, "new", None), (100, "new", "m1"), (5, "moved", "m9")], MSHAPE)
     table.merge(delta, "id")
-    assert get(table.read()) == get(expected)
-    with pytest.raises(ValueError):
-        table.merge(rows([(1, 1)], "id int, unknown int"), "id")
+    after = months(table)
+    same = {bytes.fromhex(m[1:]).decode() for m in before if before[m] == after.get(m)}
+    assert same == {"m2", "m3"}
+    expected = content(sync.upsert_merge(start, delta, "id"))
+    assert content(table.read()) == expected
+    table.merge(delta, "id")  # the same change again
+    assert content(table.read()) == expected
 
 
-def test_partitioned_retention_drops_whole_months(rows, spark):
-    shape = "id int, ts timestamp_ntz, month string"
-    table = SnapshotTable(spark, scratch_path(spark, "t"), partition="month")
-    table.write(rows([(1, D(2024, 1, 5), "a"), (2, D(2025, 1, 5), "b"), (3, D(2025, 1, 20), "b"), (4, None, "c")], shape))
-    keep = table.paths()["c"]
+def test_a_change_that_stopped_half_way_is_finished(rows, table, monkeypatch):
+    start, delta = rows([(1, "x", "a"), (2, "y", "b")], MSHAPE), rows([(1, None, "b"), (3, "z", "c")], MSHAPE)
+    table.write(start)
+
+    def lost(*args):
+        raise RuntimeError("the driver is lost")
+
+    monkeypatch.setattr(table, "_apply", lost)
+    with pytest.raises(RuntimeError):
+        table.merge(delta, "id", batch=("feed", 0))
+    monkeypatch.undo()
+    monkeypatch.setattr(table, "_delete", lost)  # the next one stops after the months were replaced
+    with pytest.raises(RuntimeError):
+        table.read()
+    monkeypatch.undo()
+    assert content(table.read()) == content(sync.upsert_merge(start, delta, "id")) == [(1, "x", "b"), (2, "y", "b"), (3, "z", "c")]
+    assert table.has_batch(("feed", 0))
+    start.write.parquet(f"{table.path}/redo/rows")  # without its mark, a change was never made
+    assert content(table.read()) == [(1, "x", "b"), (2, "y", "b"), (3, "z", "c")]
+    table.merge(rows([(9, "w", "c")], MSHAPE), "id")
+    assert len(content(table.read())) == 4
+
+
+def test_fixed_months_read_only_the_months_of_a_change(rows, spark):
+    table = MonthTable(spark, scratch_path(spark, "t"), fixed=True)
+    table.write(rows([(i, "old", f"m{i % 4}") for i in range(12)], MSHAPE))
+    before = months(table)
+    table.replace(rows([(0, "new", "m0"), (100, "new", "m0")], MSHAPE), "id")
+    after = months(table)
+    assert {m for m in before if before[m] != after[m]} == {"m" + b"m0".hex().upper()}
+    assert len(content(table.read())) == 13
+
+
+def test_retention_drops_whole_months(rows, table):
+    table.write(rows([(1, D(2024, 1, 5), "a"), (2, D(2025, 1, 5), "b"), (3, D(2025, 1, 20), "b"), (4, None, "c")],
+                     "id int, ts timestamp_ntz, month string"))
+    before = months(table)
     table.retain("ts", 20, D(2025, 1, 31))
+    after = months(table)
     assert sorted(r["id"] for r in table.read().collect()) == [3, 4]
-    assert set(table.paths()) == {"b", "c"} and table.paths()["c"] == keep
-    table.write(rows([(9, None, "z")], shape))
-    assert set(table.paths()) == {"z"}
+    rewritten = {m for m in after if after[m] != before[m]}
+    assert len(after) == 2 and rewritten == {"m" + b"b".hex().upper()}
+    table.retain("ts", 20, D(2024, 1, 31))  # nothing is old
+    assert months(table) == after
 
 
-def test_replace_into_stored_table(rows, spark, base):
-    table = SnapshotTable(spark, scratch_path(spark, "t"))
-    delta = rows([(1, "late", None, 2), (1, "early", "r", 1), (4, "w", "q", 1)], SHAPE + ", seq int")
+def test_replace_into_stored_table(rows, table):
+    shape = MSHAPE + ", seq int"
+    delta = rows([(1, "late", None, 2), (1, "early", "r", 1), (4, "w", "q", 1)], shape)
+    table.write(rows([(1, "x", "a"), (2, "y", "b")], MSHAPE))
     table.replace(delta.where("id = 4"), "id", "seq")
     table.replace(delta, "id", "seq")
-    assert rowset(table.read()) == [(1, "late", None), (4, "w", "q")] and len(table.paths()) == 1
+    got = {r["id"]: (r["a"], r["month"]) for r in table.read().collect()}
+    assert got == {1: ("late", None), 2: ("y", "b"), 4: ("w", "q")}
 
 
 def test_stream_result_is_batch_result(rows, spark, base):
@@ -121,7 +172,7 @@ def test_stream_result_is_batch_result(rows, spark, base):
     path = scratch_path(spark, "in")
     for i in (1, 2, 3):
         delta.where(F.col("id") == i).coalesce(1).write.mode("append").parquet(path)
-    table = SnapshotTable(spark, scratch_path(spark, "t"))
+    table = MonthTable(spark, scratch_path(spark, "t"), month="a")
     table.write(base)
     stream = spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 1).parquet(path)
     feeds.stream_upsert(stream, table, "id", scratch_path(spark, "c"))
@@ -199,13 +250,39 @@ def test_late_originals_are_kept_and_copies_dropped(spark, rows):
     assert feeds.read_deduped(spark, target).count() == 5
 
 
-def test_partition_values_of_any_text_survive_merges(rows, spark):
+def test_month_values_of_any_text_survive_merges(rows, spark):
+    table = MonthTable(spark, scratch_path(spark, "t"), month="label")
     shape = "id int, a string, label string"
-    table = SnapshotTable(spark, scratch_path(spark, "t"), partition="label")
-    start = [(1, "x", "a/b"), (2, "y", None), (3, "z", None), (4, "w", "007")]
+    start = [(1, "x", "a/b"), (2, "y", None), (3, "z", None), (4, "w", "007"), (5, "v", "")]
     table.write(rows(start, shape))
-    table.merge(rows([], shape), "id", batch=("feed", 0))
     get = lambda: sorted(map(tuple, table.read().select("id", "a", "label").collect()))
-    assert get() == start and table.has_batch(("feed", 0))
-    table.merge(rows([(5, "new", None), (1, "x2", None)], shape), "id")
-    assert get() == [(1, "x2", "a/b"), *start[1:], (5, "new", None)]
+    assert get() == start
+    table.merge(rows([(6, "new", None), (1, "x2", None)], shape), "id")
+    assert get() == [(1, "x2", "a/b"), *start[1:], (6, "new", None)]
+
+
+def test_missing_keys_and_maps(spark):
+    shape = "id int, v string, m map<string,int>"
+    base = spark.createDataFrame([(None, "x", {"a": 1}), (1, "y", None)], shape)
+    delta = spark.createDataFrame([(None, "x2", None), (2, "z", {"b": 2}), (2, "z", {"c": 3}), (2, None, None)], shape)
+    get = lambda df: sorted(((r["id"], r["v"], str(r["m"])) for r in df.collect()), key=str)
+    once = sync.upsert_merge(base, delta, "id")
+    want = [(1, "y", "None"), (2, "z", "{'c': 3}"), (None, "x2", "{'a': 1}")]
+    assert get(once) == want and get(sync.upsert_merge(once, delta, "id")) == want
+    replaced = sync.upsert_replace(base, delta.where("v is not null"), "id")
+    assert get(replaced) == [(1, "y", "None"), (2, "z", "{'c': 3}"), (None, "x2", "None")]
+    assert get(sync.upsert_replace(replaced, delta.where("v is not null"), "id")) == get(replaced)
+
+
+def test_dedup_state_survives_a_restart_and_reads_no_earlier_rows(spark, rows):
+    import shutil
+
+    shape = "chat_id int, v string"
+    source, target, check = (scratch_path(spark, n) for n in ("in", "out", "check"))
+    rows([(1, "a"), (2, "a")], shape).coalesce(1).write.parquet(source)
+    run = lambda: feeds.stream_dedup(spark.readStream.schema(shape).parquet(source), target, check)
+    run()
+    shutil.rmtree(f"{target}/batch=0")  # later micro-batches don't need the earlier ones
+    rows([(2, "copy"), (3, "a"), (1, "copy")], shape).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert sorted(map(tuple, feeds.read_deduped(spark, target).collect())) == [(3, "a")]
