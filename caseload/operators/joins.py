@@ -101,3 +101,55 @@ def reconcile(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
         F.count_if((F.col("m") > 0) & (F.col("n") == 0)).alias("right_only_keys"),
         F.coalesce(F.sum("n") == F.sum("m"), F.lit(True)).alias("counts_match"),
     )
+
+
+BUCKETS = 4_096
+
+
+def _compared(df: DataFrame, key: str, columns: list[str], buckets: int) -> DataFrame:
+    """Key, bucket, the row's hash and its values; maps and variants count as their JSON text."""
+    plain = lambda c: df.schema[c].dataType.typeName() not in ("map", "variant")
+    values_ = [(F.col(f"`{c}`") if plain(c) else F.to_json(f"`{c}`")).alias(c) for c in columns]
+    rows = df.select(F.col(key).alias("key"), F.struct(*values_).alias("row"))
+    marked = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(buckets)))
+    # Nulls leave a hash as it was, so which values are missing is hashed too.
+    missing = F.concat(*[F.isnull(f"row.`{c}`").cast("int").cast("string") for c in columns]) if columns else F.lit("")
+    return marked.withColumn("hash", F.xxhash64(F.col("key").isNull(), "key", missing, "row"))
+
+
+def reconcile_contents(a: DataFrame, b: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """J11 by values: one row per key whose rows differ, with the kind of difference and the fields.
+
+    Both sides are first reduced to a count and a checksum per bucket of keys, combined before the shuffle; only
+    buckets that differ are compared row by row, so equal tables cost one scan each and a shuffle of checksums.
+    Kinds are ``left only``, ``right only``, ``changed`` (with the names of the fields, and both rows as JSON) and
+    ``repeated``: a key that has several rows on a side, and not the same ones on the other. A missing key is a
+    key like any other. Columns that one side lacks are not compared.
+    """
+    columns = [c for c in a.columns if c in b.columns and c != key]
+    kinds = {c: (a.schema[c].dataType, b.schema[c].dataType) for c in [key, *columns]}
+    text = [c for c, (x, y) in kinds.items() if x != y]
+    a, b = (df.withColumns({c: F.col(f"`{c}`").cast("string") for c in text}) if text else df for df in (a, b))
+    left, right = (_compared(df, key, columns, buckets) for df in (a, b))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    wide = F.col("hash").cast("decimal(38,0)")
+    sums = (
+        left.select("bucket", wide.alias("x"), one.alias("n"), none.alias("m"))
+        .unionByName(right.select("bucket", (-wide).alias("x"), none.alias("n"), one.alias("m")))
+        .groupBy("bucket").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("m").alias("m")))
+    # At most ``buckets`` rows.
+    differing = F.broadcast(sums.where("x <> 0 or n <> m").select("bucket"))
+    side = lambda df, name: df.join(differing, "bucket", "left_semi").groupBy("key").agg(
+        F.count("*").alias(f"{name}_n"), F.sum(wide).alias(f"{name}_x"), F.max_by("row", "hash").alias(name))
+    both = side(left, "l").alias("l").join(
+        side(right, "r").alias("r"), F.col("l.key").eqNullSafe(F.col("r.key")), "full")
+    fields = F.array_compact(F.array(*[
+        F.when(~F.col(f"l.l.`{c}`").eqNullSafe(F.col(f"r.r.`{c}`")), F.lit(c)) for c in columns]).cast("array<string>"))
+    kind = (
+        F.when(F.col("r_n").isNull(), "left only").when(F.col("l_n").isNull(), "right only")
+        .when((F.col("l_n") > 1) | (F.col("r_n") > 1), "repeated").otherwise("changed"))
+    same = F.coalesce((F.col("l_n") == F.col("r_n")) & (F.col("l_x") == F.col("r_x")), F.lit(False))
+    return both.where(~same).select(
+        F.when(F.col("l_n").isNotNull(), F.col("l.key")).otherwise(F.col("r.key")).alias(key), kind.alias("kind"),
+        F.when(kind == "changed", fields).alias("fields"),
+        F.to_json("l.l").alias("left_row"), F.to_json("r.r").alias("right_row"))

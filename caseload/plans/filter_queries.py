@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from caseload.operators import filters
+from caseload.operators import filters, search
 from caseload.plans import fixtures as fx
 from caseload.plans.catalog import query
 from caseload.plans.oracle_views import MON, TUE
+from caseload.session import scratch_path
 
 _KEEP = ["ticket_id", "create_ts_utc"]
 _ROWS = "SELECT ticket_id, create_ts_utc FROM tickets WHERE "
@@ -173,3 +175,30 @@ def _(spark, sf):
     rows = fx.messages(spark, sf).select(
         F.struct("conv_id", "turn").alias("key"), "conv_id", "turn", "author_type", "text")
     return filters.search(rows, "The", 40, key="key").drop("key")
+
+
+@lru_cache(maxsize=4)
+def _index(spark, sf):
+    """Postings of the tickets by month, built once a session; one month is built again."""
+    rows = _tickets(spark, sf).select("ticket_id", "subject", "ticket_owner", "pipeline", F.trunc(F.to_date("create_ts_utc"), "month").alias("month"))
+    index = search.SearchIndex(spark, scratch_path(spark, "postings"), month="month")
+    index.build(rows)
+    index.build(rows.where("month = date '1996-03-01'"))
+    return index
+
+
+def _found(spark, sf, text, limit):
+    rows = _tickets(spark, sf).select("ticket_id", "subject", "ticket_owner", "pipeline")
+    return _index(spark, sf).search(rows, text, limit)
+
+
+def _scan(text: str, limit: int) -> str:
+    tests = " OR ".join(f"contains(lower({c}), '{text.lower()}')" for c in ("subject", "ticket_owner", "pipeline"))
+    return f"SELECT ticket_id, subject, ticket_owner, pipeline FROM tickets WHERE {tests} ORDER BY ticket_id LIMIT {limit}"
+
+
+for _text, _limit in {"URGENT P": 25, "Girly": 1_000_000, "v": 60, "y ": 40, "no such text": 10}.items():
+
+    @query(f"f14_search_index_{_text.strip().replace(' ', '_').lower()}", _scan(_text, _limit))
+    def _(spark, sf, text=_text, limit=_limit):
+        return _found(spark, sf, text, limit)

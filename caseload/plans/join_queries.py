@@ -83,3 +83,31 @@ SELECT (SELECT count(*) FROM store) AS left_rows, (SELECT count(*) FROM delta) A
   (SELECT count(*) FROM store) = (SELECT count(*) FROM delta) AS counts_match""")
 def _(spark, sf):
     return joins.reconcile(fx.ticket_store(spark, sf), fx.ticket_delta(spark, sf), "ticket_id")
+
+
+_COPY = """
+SELECT CASE WHEN ticket_id % 100 = 7 THEN ticket_id + 1000000000 ELSE ticket_id END AS ticket_id,
+  CASE WHEN ticket_id % 100 = 3 THEN upper(subject) || '!' ELSE subject END AS subject,
+  CASE WHEN ticket_id % 100 IN (3, 9) THEN NULL ELSE priority END AS priority,
+  CASE WHEN ticket_id % 100 = 9 THEN last_modified_ts_utc + INTERVAL '1' HOUR ELSE last_modified_ts_utc END AS last_modified_ts_utc
+FROM store WHERE ticket_id % 100 <> 5"""
+
+
+@query("j11_reconcile_contents", f"""
+WITH copied AS ({_COPY})
+SELECT coalesce(s.ticket_id, c.ticket_id) AS ticket_id,
+  CASE WHEN c.ticket_id IS NULL THEN 'left only' WHEN s.ticket_id IS NULL THEN 'right only' ELSE 'changed' END AS kind,
+  CASE WHEN c.ticket_id IS NOT NULL AND s.ticket_id IS NOT NULL THEN concat_ws(',',
+    CASE WHEN s.subject IS DISTINCT FROM c.subject THEN 'subject' END, CASE WHEN s.priority IS DISTINCT FROM c.priority THEN 'priority' END,
+    CASE WHEN s.last_modified_ts_utc IS DISTINCT FROM c.last_modified_ts_utc THEN 'last_modified_ts_utc' END) END AS fields,
+  c.subject AS right_subject
+FROM store s FULL JOIN copied c ON c.ticket_id = s.ticket_id
+WHERE c.ticket_id IS NULL OR s.ticket_id IS NULL OR s.subject IS DISTINCT FROM c.subject
+  OR s.priority IS DISTINCT FROM c.priority OR s.last_modified_ts_utc IS DISTINCT FROM c.last_modified_ts_utc""")
+def _(spark, sf):
+    """A copy of the store that lacks rows, has others, and differs in fields."""
+    store = fx.ticket_store(spark, sf)
+    copied = spark.sql(_COPY.replace("FROM store", "FROM {store}"), store=store)
+    out = joins.reconcile_contents(store, copied, "ticket_id")
+    return out.select("ticket_id", "kind", F.array_join("fields", ",").alias("fields"),
+                      F.get_json_object("right_row", "$.subject").alias("right_subject"))
