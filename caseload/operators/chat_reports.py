@@ -113,21 +113,37 @@ def credited(df: DataFrame, agents: dims.AgentRegistry = dims.AGENTS) -> DataFra
     return df.withColumn("agent", F.explode(both)).where(F.col("agent").isin(list(agents.humans)))
 
 
+def _roles(df: DataFrame, agents: dims.AgentRegistry, *more) -> DataFrame:
+    """Every chat once for each of its roles, a (kind, agent, display name): each credited human, and ``more``.
+
+    Reports on several groupings of the same chats read the table once this way; counts are combined before the shuffle.
+    """
+    names = F.filter(F.array_distinct(F.array("primary_agent", "secondary_agent")), lambda a: a.isin(list(agents.humans)))
+    role = lambda kind, agent, shown: F.struct(
+        F.lit(kind).alias("kind"), agent.alias("agent"), shown.alias("display_agent"))
+    humans = F.transform(names, lambda a: role("human", a, values.agent_display(a, agents)))
+    return df.withColumn("role", F.explode(F.concat(humans, *[F.array_compact(F.array(m)) for m in more])))
+
+
+def _role(kind: str, agent, shown):
+    return F.struct(F.lit(kind).alias("kind"), agent.alias("agent"), shown.alias("display_agent"))
+
+
 def human_metrics(df: DataFrame, agents: dims.AgentRegistry = dims.AGENTS) -> DataFrame:
     """One row per credited human, next to the figures of all human chats."""
-    per_agent = credited(df, agents).groupBy("agent").agg(
+    none = F.lit(None).cast("string")
+    human = _is("human")
+    stats = _roles(df, agents, _role("all", none, none)).groupBy("role").agg(
         _n().alias("chats"), F.avg("duration_minutes").alias("mean_duration"),
         _n(F.col("has_rating")).alias("rated_chats"), F.avg("rating_value").alias("mean_rating"),
-        _n(F.col("bot_transfer")).alias("transfers_received"))
-    human = _is("human")
-    total = df.agg(F.struct(
-        _n(human).alias("n"), values.percent(_n(human), _n()).alias("share"),
-        F.avg(F.when(human, F.col("duration_minutes"))).alias("minutes")).alias("t")).scalar()
-    return per_agent.withColumn("t", total).select(
-        "agent", values.agent_display(F.col("agent"), agents).alias("display_agent"), "chats",
-        "mean_duration", "rated_chats", "mean_rating", "transfers_received",
-        F.col("t.n").alias("human_chats"), F.col("t.share").alias("human_share_pct"),
-        F.col("t.minutes").alias("human_mean_duration"))
+        _n(F.col("bot_transfer")).alias("transfers_received"),
+        F.struct(_n(human).alias("n"), values.percent(_n(human), _n()).alias("share"),
+                 F.avg(F.when(human, F.col("duration_minutes"))).alias("minutes")).alias("t"))
+    # One row per human and one for all chats.
+    total = F.max(F.when(F.col("role.kind") == "all", F.col("t"))).over(Window.partitionBy())
+    return stats.withColumn("t", total).where(F.col("role.kind") == "human").select(
+        "role.agent", "role.display_agent", "chats", "mean_duration", "rated_chats", "mean_rating", "transfers_received",
+        F.col("t.n").alias("human_chats"), F.col("t.share").alias("human_share_pct"), F.col("t.minutes").alias("human_mean_duration"))
 
 
 def agent_type_performance(df: DataFrame) -> DataFrame:
@@ -226,16 +242,13 @@ def weekly_satisfaction(df: DataFrame, weeks: int = 12) -> DataFrame:
 
 def agent_chat_stats(df: DataFrame, agents: dims.AgentRegistry = dims.AGENTS) -> DataFrame:
     """Chats, mean duration and satisfaction per bot display name and per credited human."""
-    shape = [
-        _n().alias("chats"), F.avg("duration_minutes").alias("mean_duration"),
-        values.percent(_n(_good()), _n(F.col("has_rating"))).alias("satisfaction_pct")]
     # A display name is listed once any of its chats is a bot chat; all its chats count.
-    bots = df.groupBy(F.col("display_agent").alias("agent")).agg(*shape, F.max(_is("bot")).alias("b"))
-    humans = credited(df, agents).groupBy("agent").agg(*shape)
-    return (
-        bots.where("b").drop("b").withColumn("kind", F.lit("bot"))
-        .unionByName(humans.withColumn("kind", F.lit("human")))
-        .withColumn("display_agent", values.agent_display(F.col("agent"), agents)))
+    shown = F.col("display_agent")
+    stats = _roles(df, agents, _role("bot", shown, values.agent_display(shown, agents))).groupBy("role").agg(
+        _n().alias("chats"), F.avg("duration_minutes").alias("mean_duration"),
+        values.percent(_n(_good()), _n(F.col("has_rating"))).alias("satisfaction_pct"), F.max(_is("bot")).alias("b"))
+    return stats.where((F.col("role.kind") == "human") | F.col("b")).select(
+        "role.agent", "chats", "mean_duration", "satisfaction_pct", "role.kind", "role.display_agent")
 
 
 def bot_comparison(df: DataFrame) -> DataFrame:
@@ -279,11 +292,11 @@ def chat_overview(df: DataFrame, agents: dims.AgentRegistry = dims.AGENTS) -> Da
 
 def agent_performance_table(df: DataFrame, agents: dims.AgentRegistry = dims.AGENTS) -> DataFrame:
     """C17: bots and humans in one table; satisfaction is mean rating times 20, 0 when unrated."""
-    cols = ["agent", "display_agent", "chats", "mean_duration", "mean_rating"]
-    bots = bot_metrics(df).withColumnRenamed("bot", "agent").select(*cols).withColumn("type", F.lit("Bot"))
-    humans = human_metrics(df, agents).select(*cols).withColumn("type", F.lit("Human"))
-    table = bots.unionByName(humans).withColumn(
-        "satisfaction_pct", F.coalesce(F.col("mean_rating") * 20, F.lit(0.0))).drop("mean_rating")
+    bot = F.when(_is("bot") & F.col("primary_agent").isNotNull(), _role("bot", F.col("primary_agent"), F.col("display_agent")))
+    stats = _roles(df, agents, bot).groupBy("role").agg(
+        _n().alias("chats"), F.avg("duration_minutes").alias("mean_duration"),
+        F.coalesce(F.avg("rating_value") * 20, F.lit(0.0)).alias("satisfaction_pct"))
+    table = stats.select("role.agent", "role.display_agent", "chats", "mean_duration", F.initcap("role.kind").alias("type"), "satisfaction_pct")
     return table.orderBy(F.desc("chats"), "agent")
 
 

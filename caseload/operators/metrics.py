@@ -24,18 +24,23 @@ def ticket_volume_metrics(df: DataFrame) -> DataFrame:
 
 def response_metrics(df: DataFrame) -> DataFrame:
     """M2: figures of positive hours; weekend and weekday means of all hours present."""
-    parts = df.select("is_weekend", F.when(F.col(HOURS) > 0, F.col(HOURS)).alias("v"))
-    stats = summarize(parts, [], "v")
-    mean_of = lambda flag: df.agg(
-        F.avg(F.when(F.col("is_weekend").eqNullSafe(flag), F.col(HOURS)))).scalar()
+    # Both parts start from the same counts, which one scan makes.
+    counted = df.groupBy("is_weekend", F.col(HOURS).alias("h")).agg(F.count("*").alias("w"))
+    stats = summarize(counted.select(F.when(F.col("h") > 0, F.col("h")).alias("v"), "w"), [], "v", weight="w")
+    there = lambda flag: F.col("h").isNotNull() & F.col("is_weekend").eqNullSafe(flag)
+    mean = lambda flag: (F.sum(F.when(there(flag), F.col("h") * F.col("w")))
+                         / F.sum(F.when(there(flag), F.col("w"))))
+    means = counted.agg(F.struct(mean(True).alias("weekend"), mean(False).alias("weekday")).alias("m")).scalar()
+    stats = stats.withColumn("m", means)
+    mean_of = lambda part: F.col(f"m.{part}")
     some = F.col("n") > 0
     return stats.select(
         values.rounded(F.col("mean"), 2).alias("avg_response_time_hours"),
         values.rounded(F.col("median"), 2).alias("median_response_time_hours"),
         values.rounded(F.col("min"), 3).alias("min_response_time_hours"),
         values.rounded(F.col("max"), 2).alias("max_response_time_hours"),
-        F.when(some, values.rounded(mean_of(True), 2)).alias("weekend_avg_response_hours"),
-        F.when(some, values.rounded(mean_of(False), 2)).alias("weekday_avg_response_hours"))
+        F.when(some, values.rounded(mean_of("weekend"), 2)).alias("weekend_avg_response_hours"),
+        F.when(some, values.rounded(mean_of("weekday"), 2)).alias("weekday_avg_response_hours"))
 
 
 def agent_metrics(df: DataFrame, agents: list[str] = dims.REPORT_AGENTS) -> DataFrame:

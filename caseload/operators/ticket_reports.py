@@ -71,11 +71,14 @@ def ticket_cards(df: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
     """A5: cards of the last ``days`` calendar days; rates divide by ``days``."""
     window = filters.support_team(
         filters.between(df, "create_ts_utc", as_of - dt.timedelta(days=days), as_of))
-    weekday = ~F.col("is_weekend") & _not_live_chat()
-    typical = summarize(window.select(F.when(weekday, F.col(HOURS)).alias("v")), [], "v")
-    total, weekend = F.count("*"), F.count_if(F.col("is_weekend"))
+    # Counts and median start from the same counts, which one scan makes.
+    counted = window.groupBy("is_weekend", _not_live_chat().alias("counts"), HOURS).agg(F.count("*").alias("w"))
+    weekday = ~F.col("is_weekend") & F.col("counts")
+    typical = summarize(counted.select(F.when(weekday, F.col(HOURS)).alias("v"), "w"), [], "v", weight="w")
+    total = F.coalesce(F.sum("w"), F.lit(0))
+    weekend = F.coalesce(F.sum(F.when(F.col("is_weekend"), F.col("w"))), F.lit(0))
     rate = lambda c: c / F.lit(float(days))
-    return window.agg(
+    return counted.agg(
         total.alias("total_tickets"),
         (total - weekend).alias("weekday_tickets"),
         weekend.alias("weekend_tickets"),
@@ -85,12 +88,13 @@ def ticket_cards(df: DataFrame, as_of: dt.datetime, days: int) -> DataFrame:
     ).withColumn("median_response_weekday", typical.select("median").scalar())
 
 
-def pipeline_breakdown(df: DataFrame, owner: str = "case_owner") -> DataFrame:
+def pipeline_breakdown(df: DataFrame, owner: str = "case_owner", weight: str | None = None) -> DataFrame:
     """Per owner: tickets, tickets outside live chat, pipeline -> count, and the top pipeline.
 
-    The map has one entry per pipeline, and pipelines are counted before the map is built.
+    The map has one entry per pipeline, and pipelines are counted before the map is built. ``weight`` says how many
+    tickets a row stands for.
     """
-    counts = df.groupBy(owner, "pipeline").agg(F.count("*").alias("n"))
+    counts = df.groupBy(owner, "pipeline").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     entry = F.when(F.col("pipeline").isNotNull(), F.struct("pipeline", "n"))
     # Greatest count first, then the first name.
     ranked = F.array_sort(
@@ -114,18 +118,18 @@ def pipeline_breakdown(df: DataFrame, owner: str = "case_owner") -> DataFrame:
 
 def agent_table(df: DataFrame) -> DataFrame:
     """Weekday tickets per agent with response figures that leave out live chat."""
-    weekday = filters.view(df, "weekday").where(F.col("case_owner").isNotNull())
-    span = filters.view(df, "weekday").agg(
-        (times.days_between(F.min("create_ts_local"), F.max("create_ts_local")) + 1).alias("d"),
-    ).scalar()
+    weekday = filters.view(df, "weekday")
+    span = times.days_between(F.min("create_ts_local"), F.max("create_ts_local")) + 1
+    whole = weekday.agg(F.struct(F.count("*").alias("n"), span.alias("days")).alias("t")).scalar()
+    # The figures and the breakdown start from the same counts.
+    counted = weekday.where(F.col("case_owner").isNotNull()).groupBy("case_owner", "pipeline", HOURS).agg(F.count("*").alias("w"))
     stats = summarize(
-        weekday.select("case_owner", F.when(_not_live_chat(), F.col(HOURS)).alias("v")),
-        ["case_owner"], "v")
-    total = filters.view(df, "weekday").agg(F.count("*")).scalar()
-    return stats.join(pipeline_breakdown(weekday), "case_owner").select(
+        counted.select("case_owner", F.when(_not_live_chat(), F.col(HOURS)).alias("v"), "w"), ["case_owner"], "v", weight="w")
+    joined = stats.join(pipeline_breakdown(counted, weight="w"), "case_owner").withColumn("t", whole)
+    return joined.select(
         F.col("case_owner").alias("agent"), "tickets",
-        values.rounded(F.col("tickets") / total * 100, 1).alias("share_pct"),
-        values.rounded(F.col("tickets") / span, 1).alias("daily_average"),
+        values.rounded(F.col("tickets") / F.col("t.n") * 100, 1).alias("share_pct"),
+        values.rounded(F.col("tickets") / F.col("t.days"), 1).alias("daily_average"),
         values.rounded(F.col("mean"), 2).alias("mean_response"),
         values.rounded(F.col("median"), 2).alias("median_response"),
         values.rounded(F.col("std"), 2).alias("std_response"),

@@ -85,3 +85,19 @@ def test_month_bounds_do_not_cut_rows(stored):
     by_month = filters.between(stored, "create_ts_utc", start, end).count()
     plain = filters.between(stored.drop("create_month"), "create_ts_utc", start, end).count()
     assert by_month == plain > 0
+
+
+ONE_SCAN = ["a5_ticket_cards", "c5_human_metrics", "c13_agent_chat_stats", "c17_agent_performance_table", "g1_agent_stats", "m2_response_metrics"]
+
+
+@pytest.mark.parametrize("name", ONE_SCAN)
+def test_report_reads_the_table_once(spark, name):
+    from caseload.plans import catalog
+
+    catalog.load()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(catalog.QUERIES[name](spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(scan_lines(plan)) == 1
