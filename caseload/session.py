@@ -45,9 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="caseload-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="caseload-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
