@@ -27,41 +27,55 @@ BLANKS = r"[\x20\x09-\x0D]+"
 VALUE_STEP = 40_503
 
 
-def _gamma(hash64: Column) -> Column:
-    """A Gamma(2, 1) variate: minus the logarithm of the product of two uniform ones."""
-    high = F.shiftrightunsigned(hash64, 32).cast("double") + 0.5
-    low = hash64.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5
-    return -F.ln(high * low * 2.0 ** -64)
+def _draws(term: Column, number: Column) -> tuple[Column, Column, Column]:
+    """r, ln c and b of a term in the sample ``number``, from two hashes.
 
-
-def _sample(term: Column, log_weight: Column, number: Column) -> Column:
-    """The packed sample number ``number`` of a term."""
+    A Gamma(2, 1) variate is minus the logarithm of the product of two uniform ones, here two parts of a hash.
+    """
     one = F.xxhash64(term, number)
     two = F.xxhash64(one)
-    r = _gamma(one)
-    b = F.shiftrightunsigned(F.xxhash64(two), 11).cast("double") * 2.0 ** -53
+    part = lambda h, at, bits: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5
+    r = -F.ln(part(one, 32, 32) * part(one, 0, 32) * 2.0 ** -64)
+    c = -F.ln(part(two, 0, 21) * part(two, 21, 21) * 2.0 ** -42)
+    return r, F.ln(c), part(two, 42, 22) * 2.0 ** -22
+
+
+def _sample(term: Column, log_weight: Column, r: Column, log_c: Column, b: Column) -> Column:
+    """The packed sample of a term with a weight; null for a null weight."""
     t = F.floor(log_weight / r + b)
-    log_a = F.ln(_gamma(two)) - r * (t.cast("double") + 1.0 - b)
+    log_a = log_c - r * (t.cast("double") + 1.0 - b)
     value = term.bitwiseXOR(t * VALUE_STEP).bitwiseAND(F.lit((1 << VALUE_BITS) - 1))
     return F.shiftleft(F.floor((log_a + 96.0) * 2.0 ** 33), VALUE_BITS).bitwiseOR(value)
 
 
-def signatures(rows: DataFrame, key: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``*key, fingerprint`` of the texts of ``rows(*key, text)``; ``key`` is unique.
+def signatures(rows: DataFrame, key: list[str], samples: int = SAMPLES, texts: dict[str, str] | None = None) -> DataFrame:
+    """``*key`` and a fingerprint for every text of ``rows``; ``key`` is unique.
 
-    A text without words has no row. Rows that are partitioned by a part of ``key`` are not shuffled.
+    ``texts`` maps text columns to the names of their fingerprints. The texts of a row share their draws, which
+    don't depend on a weight: a term that several of them hold is drawn once. A text without words has a null, a
+    row without words none. Rows that are partitioned by a part of ``key`` are not shuffled.
     """
-    words = rows.select(*key, F.explode(F.split(lower_az(F.col("text")), BLANKS)).alias("word")).where("word <> ''")
-    terms = words.select(*key, F.xxhash64("word").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("times"))
+    texts = texts or {"text": "fingerprint"}
+    names, kinds = list(texts.values()), range(len(texts))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(t).alias("text")) for k, t in enumerate(texts)]))
+    words = rows.select(*key, each.alias("x")).select(
+        *key, "x.kind", F.explode(F.split(lower_az(F.col("x.text")), BLANKS)).alias("word")).where("word <> ''")
+    weight = lambda k: F.ln(F.nullif(F.sum(F.when(F.col("kind") == k, 1).otherwise(0)), F.lit(0)).cast("double"))
+    terms = words.select(*key, "kind", F.xxhash64("word").alias("term")).groupBy(*key, "term").agg(
+        *[weight(k).alias(f"w{k}") for k in kinds])
     groups = F.array(*[F.lit(g).cast("long") for g in range(samples // GROUP)])
-    drawn = terms.select(*key, "term", F.ln(F.col("times").cast("double")).alias("weight"), F.explode(groups).alias("g"))
+    each_group = terms.select(*key, "term", *[f"w{k}" for k in kinds], F.explode(groups).alias("g"))
+    drawn = each_group.select("*", *[
+        c.alias(f"{n}{j}") for j in range(GROUP) for n, c in zip("rcb", _draws(F.col("term"), F.col("g") * GROUP + j))])
     least = drawn.groupBy(*key, "g").agg(*[
-        F.min(_sample(F.col("term"), F.col("weight"), F.col("g") * GROUP + j)).alias(f"s{j}") for j in range(GROUP)])
-    digits = F.concat(*[
-        F.lpad(F.lower(F.hex(F.col(f"s{j}").bitwiseAND(F.lit((1 << VALUE_BITS) - 1)))), DIGITS, "0") for j in range(GROUP)])
-    listed = least.select(*key, F.struct("g", digits.alias("d")).alias("part")).groupBy(*key).agg(
+        F.min(_sample(F.col("term"), F.col(f"w{k}"), *[F.col(f"{n}{j}") for n in "rcb"])).alias(f"s{k}_{j}")
+        for k in kinds for j in range(GROUP)])
+    digits = lambda k: F.concat(*[F.lpad(F.lower(F.hex(
+        F.col(f"s{k}_{j}").bitwiseAND(F.lit((1 << VALUE_BITS) - 1)))), DIGITS, "0") for j in range(GROUP)])
+    listed = least.select(*key, F.struct("g", *[digits(k).alias(f"d{k}") for k in kinds]).alias("part")).groupBy(*key).agg(
         F.sort_array(F.collect_list("part")).alias("parts"))
-    return listed.select(*key, F.array_join(F.col("parts.d"), "").alias("fingerprint"))
+    return listed.select(*key, *[
+        F.when(F.col("parts")[0][f"d{k}"].isNotNull(), F.array_join(F.col(f"parts.d{k}"), "")).alias(n) for k, n in enumerate(names)])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -130,12 +144,7 @@ def report(docs: DataFrame) -> DataFrame:
     """
     ring, _ = stored(_ring(docs), "ring")
     pairs = _edited(docs, ring)
-    both = pairs.select(*KEY, F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
-    signed = signatures(both.select(*KEY, "x.kind", "x.text"), [*KEY, "kind"])
-    signed = signed.groupBy(*KEY).agg(
-        F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    signed = signatures(pairs, KEY, texts={"text": "fingerprint", "edited": "edited_fingerprint"})
     hashed = pairs.select(*KEY, F.sha2("edited", 256).alias("edited_sha256"))
     none = F.lit(EMPTY * SAMPLES)
     known = (

@@ -95,6 +95,43 @@ def test_single_pairs_are_read_closely(spark):
     assert np.sqrt(np.mean(error ** 2)) < 0.07 and np.mean(error > 0.15) < 0.03 and error.max() < 0.3
 
 
+def test_signatures_by_brute_force(spark, docs):
+    """Every sample of some texts and their second texts, written out without Spark."""
+    import math
+
+    import xxhash
+
+    def h(x, seed=42):
+        data = x if isinstance(x, bytes) else (x & (2**64 - 1)).to_bytes(8, "little")
+        return xxhash.xxh64_intdigest(data, seed)
+
+    def signature(text):
+        counts = Counter(text.translate({c: c + 32 for c in range(65, 91)}).encode().split())
+        terms = [(h(w), n) for w, n in counts.items()]
+        out = ""
+        for i in range(fingerprint.SAMPLES):
+            best = None
+            for term, n in terms:
+                one = h(i, h(term))
+                two = h(one)
+                r = -math.log(((one >> 32) + 0.5) * ((one & 0xFFFFFFFF) + 0.5) * 2.0 ** -64)
+                c = -math.log(((two & 0x1FFFFF) + 0.5) * ((two >> 21 & 0x1FFFFF) + 0.5) * 2.0 ** -42)
+                b = ((two >> 42) + 0.5) * 2.0 ** -22
+                t = math.floor(math.log(n) / r + b)
+                a = math.log(c) - r * (t + 1.0 - b)
+                value = (term ^ t * fingerprint.VALUE_STEP) & ((1 << fingerprint.VALUE_BITS) - 1)
+                best = min(best or (a, value), (a, value))
+            out += f"{best[1]:06x}"
+        return out
+
+    rows = docs.where("doc_id < 60 and octet_length(text) < 1500").selectExpr("doc_id", "text", "concat(left(text, 200), ' Other other words') AS second")
+    got = fingerprint.signatures(rows, ["doc_id"], texts={"text": "x", "second": "y"}).collect()
+    texts = {r["doc_id"]: r for r in rows.collect()}
+    assert len(got) == len(texts) > 10
+    for r in got:
+        assert r["x"] == signature(texts[r["doc_id"]]["text"]) and r["y"] == signature(texts[r["doc_id"]]["second"])
+
+
 def test_samples_without_python(docs):
     plan = fingerprint.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not [w for w in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop") if w in plan]
