@@ -15,6 +15,7 @@ from caseload.plans.catalog import query, same_rows
 from caseload.plans.oracle_views import TUE
 from caseload.session import scratch_path
 from caseload.sources import files, payloads, tables
+from caseload.sources.csv_scan import CsvScan
 
 _STAMP = "date_format({0}, 'yyyy-MM-dd HH:mm:ss')"
 
@@ -97,16 +98,31 @@ def _(spark, sf):
     return files.classify_files(listing)
 
 
-@query("s4_latest_table", """
-SELECT count(*) AS rows, max(ticket_id) AS last_id, count(DISTINCT subject) AS subjects FROM delta""")
+@query("s3_discover", """
+SELECT ticket_id, subject, CASE WHEN subject LIKE '%F' THEN 'tickets' ELSE 'uploads' END AS folder FROM raw_tickets
+WHERE subject NOT LIKE '%P'""")
+def _(spark, sf):
+    """Exports in three folders; what discovery calls tickets is read whole. A chats folder takes only reports by name."""
+    base = scratch_path(spark, "data")
+    rows = fx.raw_tickets(spark, sf).select("ticket_id", "subject")
+    for status, folder in {"F": "tickets", "O": "uploads", "P": "chats"}.items():
+        files.write_csv(rows.where(F.col("subject").endswith(status)), f"{base}/{folder}")
+    found = [r["path"] for r in files.discover(spark, base).where("kind = 'tickets'").collect()]
+    read = CsvScan(spark, found)
+    return read.rows.select(
+        F.col("ticket_id").cast("bigint").alias("ticket_id"), "subject",
+        F.element_at(F.split(CsvScan.FILE, "/"), -2).alias("folder"))
+
+
+@query("s4_latest_table", "SELECT ticket_id, subject, priority, last_modified_ts_utc FROM delta")
 def _(spark, sf):
     """Two exports of the ticket table; the later one is the table."""
     base = scratch_path(spark, "inbox")
     files.write_csv(fx.ticket_store(spark, sf), f"{base}/a-first.csv")
     files.write_csv(fx.ticket_delta(spark, sf), f"{base}/b-second.csv")
-    return files.latest_table(spark, base).agg(
-        F.count("*").alias("rows"), F.max(F.col("ticket_id").cast("bigint")).alias("last_id"),
-        F.count_distinct(F.nullif("subject", F.lit(""))).alias("subjects"))
+    return files.latest_table(spark, base).select(
+        F.col("ticket_id").cast("bigint").alias("ticket_id"), F.nullif("subject", F.lit("")).alias("subject"),
+        F.nullif("priority", F.lit("")).alias("priority"), F.col("last_modified_ts_utc").cast("timestamp_ntz").alias("last_modified_ts_utc"))
 
 
 @query("s5_read_ragged", """
@@ -190,14 +206,18 @@ def _(spark, sf):
 
 
 @query("s12_write_csv", """
-SELECT count(*) AS rows, CAST(sum(ticket_id) AS BIGINT) AS id_sum, count(case_owner) AS owners,
-  count(DISTINCT create_ts_local) AS times, count(*) FILTER (WHERE is_weekend) AS weekend FROM tickets""")
+SELECT ticket_id, subject, priority, case_owner, pipeline, create_ts_utc, create_ts_local, first_response_ts_utc, last_modified_ts_utc,
+  first_response_hours, is_weekend, nullif(reply_hms, '') AS reply_hms FROM tickets""", "first_response_hours")
 def _(spark, sf):
+    """Written as CSV and read back whole."""
     path = scratch_path(spark, "processed")
     files.write_csv(fx.tickets(spark, sf), path)
-    return spark.read.csv(path, header=True, escape='"').selectExpr(
-        "count(*) AS rows", "sum(CAST(ticket_id AS BIGINT)) AS id_sum", "count(nullif(case_owner, '')) AS owners",
-        "count(DISTINCT create_ts_local) AS times", "count_if(CAST(is_weekend AS BOOLEAN)) AS weekend")
+    raw = files.read_tickets_csv(spark, path)
+    text, stamps = ["subject", "priority", "case_owner", "pipeline", "reply_hms"], [
+        "create_ts_utc", "create_ts_local", "first_response_ts_utc", "last_modified_ts_utc"]
+    return raw.select(
+        F.col("ticket_id").cast("bigint").alias("ticket_id"), *text, *[F.col(c).cast("timestamp_ntz").alias(c) for c in stamps],
+        F.col("first_response_hours").cast("double").alias("first_response_hours"), F.col("is_weekend").cast("boolean").alias("is_weekend"))
 
 
 @query("s13_export_strings", """
