@@ -98,12 +98,11 @@ def weekend_simple(df: DataFrame) -> DataFrame:
 
 def schedule_frame(spark: SparkSession, schedule: dict, fallback: dict) -> DataFrame:
     """The shift plan as one row per (agent, weekday); agent NULL holds the fallback plan."""
-    days = list(fallback) if fallback else []
     order = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
     minutes = lambda text: int(text[:2]) * 60 + int(text[3:5])
     rows = []
     for agent, week in [*schedule.items(), (None, fallback)]:
-        for day in (week or days):
+        for day in (week or {}):
             plan = week[day]
             full = plan == "full"
             shifts = [] if full else [(minutes(a), minutes(b)) for a, b in plan or []]
@@ -112,28 +111,27 @@ def schedule_frame(spark: SparkSession, schedule: dict, fallback: dict) -> DataF
     return spark.createDataFrame(rows, shape)
 
 
-MAX_SCHEDULE_AGENTS = 10_000
-
-
 def off_shift(
-    df: DataFrame, schedule: dict | None = None, fallback: dict | None = None,
+    df: DataFrame, schedule: dict | DataFrame | None = None, fallback: dict | None = None,
     buffer_minutes: int = dims.SHIFT_BUFFER_MINUTES,
 ) -> DataFrame:
     """``off_shift`` is true in the weekend window or outside every shift of the owner's day.
 
     A shift counts from ``buffer_minutes`` before its start; a stop before the start wraps over
-    midnight; agents without a plan use the fallback plan; a day without an entry is off.
+    midnight; agents without a plan use the fallback plan; a day without an entry is off. A schedule may be
+    a table as ``schedule_frame`` makes it, of any size and without an agent NULL: its weeks, one row per agent, are
+    joined by agent, and Spark sizes the join.
     """
+    spark = df.sparkSession
     schedule = dims.SHIFT_SCHEDULE if schedule is None else schedule
     fallback = dims.FALLBACK_SHIFTS if fallback is None else fallback
-    plan = schedule_frame(df.sparkSession, schedule, fallback)
-    if len(schedule) <= MAX_SCHEDULE_AGENTS:
-        plan = F.broadcast(plan)
-    known = F.trim(F.col("case_owner"))
-    keyed = df.withColumn("_agent", F.when(known.isin(list(schedule)), known)).withColumn(
-        "_dow", F.weekday("create_ts_local"))
-    joined = keyed.join(
-        plan, (F.col("_agent").eqNullSafe(F.col("agent"))) & (F.col("_dow") == F.col("dow")), "left")
+    plan = schedule if isinstance(schedule, DataFrame) else schedule_frame(spark, schedule, {}).where("agent IS NOT NULL")
+    week = F.map_from_entries(F.collect_list(F.struct("dow", F.struct("full", "shifts"))))
+    weeks = plan.groupBy(F.col("agent").alias("_agent")).agg(week.alias("_week"))
+    others = schedule_frame(spark, {}, fallback).agg(week).scalar()  # seven days
+    joined = df.join(weeks, F.trim("case_owner") == F.col("_agent"), "left")
+    joined = joined.withColumn("_day", F.try_element_at(
+        F.when(F.col("_agent").isNotNull(), F.col("_week")).otherwise(others), F.weekday("create_ts_local")))
     local = F.col("create_ts_local")
     now = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
 
@@ -143,10 +141,10 @@ def off_shift(
         wraps = shift["stop"] < shift["start"]
         return F.when(wraps, (now >= start) | (now < stop)).otherwise((now >= start) & (now < stop))
 
-    on = F.coalesce(F.col("full") | F.exists("shifts", covers), F.lit(False))
+    on = F.coalesce(F.col("_day.full") | F.exists("_day.shifts", covers), F.lit(False))
     flag = (F.when(local.isNull(), F.lit(False))
             .when(times.desk_weekend(local), F.lit(True)).otherwise(~on))
-    return joined.withColumn("off_shift", flag).drop("_agent", "_dow", "agent", "dow", "full", "shifts")
+    return joined.withColumn("off_shift", flag).drop("_agent", "_week", "_day")
 
 
 def first_response(df: DataFrame, strict_space: bool = False) -> DataFrame:

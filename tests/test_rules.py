@@ -305,3 +305,22 @@ def test_all_response_columns_are_analysed(spark):
 
     df = spark.createDataFrame([("01:00:00",) * 5], ", ".join(f"response_time_{i} string" for i in range(5)))
     assert ticket_reports.hms_response_analysis(df).count() == 5
+
+
+def test_off_shift_with_a_schedule_table(rows, spark):
+    """The same flags from a table; an agent without an entry for the day is off, others use the fallback."""
+    import datetime as dt
+
+    from caseload.operators import tickets as ticket_ops
+
+    schedule = {"Nova": {"monday": [("22:00", "06:00")], "tuesday": "full"}, "Odd": {"friday": [("09:00", "10:00")]}}
+    start = dt.datetime(2025, 3, 3)
+    df = rows([(d * 100 + h, who, start + dt.timedelta(days=d, hours=h)) for d in range(5) for h in range(0, 24, 3) for who in ("Nova ", "Odd", "Else", None)],
+              "i int, case_owner string, create_ts_local timestamp_ntz")
+    table = ticket_ops.schedule_frame(spark, schedule, {}).where("agent is not null").repartition(3)
+    get = lambda s: sorted((r["i"], str(r["case_owner"]), r["off_shift"]) for r in ticket_ops.off_shift(df, s).collect())
+    got = get(table)
+    assert got == get(schedule)
+    flags = {(i, who): f for i, who, f in got}
+    assert not flags[100, "Nova "] and not flags[121, "Nova "] and flags[200, "Nova "] and flags[21, "Nova "]
+    assert flags[409, "Odd"] is False and flags[9, "Odd"] is True and flags[9, "Else"] is False and flags[9, "None"] is False
