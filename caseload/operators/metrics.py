@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,22 +92,25 @@ def chat_metrics(df: DataFrame, agent: str = "display_agent") -> DataFrame:
     weekend = times.calendar_weekend(F.col("created_ts_local"))
     bots, humans = hits(dims.METRIC_BOT_NAMES), hits(dims.REPORT_AGENTS)
 
-    def leader(col: str):
-        counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("k")).agg(F.count("*").alias("n"))
-        first = F.min(F.struct((-F.col("n")).alias("neg"), F.col("k")))
-        return counts.agg(first.alias("m")).scalar()
-
-    one = df.agg(
-        F.count("*").alias("total_records"), F.lit(0).cast("bigint").alias("total_tickets"),
-        F.count("*").alias("total_chats"),
-        F.count_if(~weekend).alias("weekday_records"), F.count_if(weekend).alias("weekend_records"),
-        bots.alias("total_bot_chats"), humans.alias("total_human_chats"),
-        values.rounded(F.avg("rating_value"), 1).alias("bot_satisfaction_rate"),
-        values.rounded(F.avg("duration_minutes"), 1).alias("avg_chat_duration_minutes"))
-    country, hour = leader("country"), leader("hour")
+    # One row per country and hour, from which everything else follows.
+    cells = df.groupBy("country", "hour").agg(
+        F.count("*").alias("n"), F.count_if(weekend).alias("off"), bots.alias("bots"), humans.alias("humans"),
+        F.sum("rating_value").alias("ratings"), F.count("rating_value").alias("rated"),
+        F.sum("duration_minutes").alias("minutes"), F.count("duration_minutes").alias("timed"))
+    of = lambda col: F.when(F.col(col).isNotNull(), F.struct(
+        (-F.sum("n").over(Window.partitionBy(col))).alias("neg"), F.col(col).alias("k")))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    one = cells.withColumns({"by_country": of("country"), "by_hour": of("hour")}).agg(
+        none(F.sum("n")).alias("total_records"), F.lit(0).cast("bigint").alias("total_tickets"),
+        none(F.sum("n")).alias("total_chats"),
+        none(F.sum("n") - F.sum("off")).alias("weekday_records"), none(F.sum("off")).alias("weekend_records"),
+        none(F.sum("bots")).alias("total_bot_chats"), none(F.sum("humans")).alias("total_human_chats"),
+        values.rounded(F.sum("ratings") / F.nullif(F.sum("rated"), F.lit(0)), 1).alias("bot_satisfaction_rate"),
+        values.rounded(F.sum("minutes") / F.nullif(F.sum("timed"), F.lit(0)), 1).alias("avg_chat_duration_minutes"),
+        F.min("by_country").alias("_c"), F.min("by_hour").alias("_h"))
     total = F.col("total_records")
     share = lambda c: values.rounded(values.percent(F.col(c), total), 1)
-    return one.withColumns({"_c": country, "_h": hour}).select(
+    return one.select(
         "*",
         F.when(total > 0, share("total_human_chats")).alias("bot_transfer_rate"),
         F.when(F.col("total_bot_chats") > 0, share("total_bot_chats")).alias("bot_resolution_rate"),
