@@ -85,15 +85,20 @@ def _grid(df: DataFrame, agents: list[str], k: int) -> DataFrame:
 
 
 def pipeline_distribution(df: DataFrame, agents: list[str] = dims.REPORT_AGENTS, k: int = 6) -> DataFrame:
-    """Tickets and share of the agent's tickets in each top pipeline."""
-    df = filters.drop_spam(df)
-    counts = df.where(F.col("case_owner").isin(agents)).groupBy("case_owner", "pipeline").agg(
-        F.count("*").alias("n"))
-    joined = _grid(df, agents, k).join(counts, ["case_owner", "pipeline"], "left")
-    tickets = F.coalesce("n", F.lit(0))
-    return joined.select(
-        F.col("case_owner").alias("agent"), "pipeline", tickets.alias("tickets"),
-        values.percent(tickets, F.col("agent_tickets")).alias("share_pct"))
+    """Tickets and share of the agent's tickets in each top pipeline.
+
+    One row per pipeline with a column per agent is all that one scan has to make; the agents' totals are sums over
+    these rows.
+    """
+    part = [F.count_if(F.col("case_owner").eqNullSafe(a)).alias(f"n{i}") for i, a in enumerate(agents)]
+    rows = filters.drop_spam(df).groupBy("pipeline").agg(F.count("*").alias("pipeline_tickets"), *part)
+    whole = Window.partitionBy()
+    rows = rows.withColumns({f"t{i}": F.sum(f"n{i}").over(whole) for i in range(len(agents))})
+    top = rows.where(F.col("pipeline").isNotNull()).orderBy(F.desc("pipeline_tickets"), "pipeline").limit(k)
+    cells = F.array(*[F.struct(F.lit(a).alias("agent"), F.col(f"n{i}").alias("tickets"), F.col(f"t{i}").alias("of"))
+                      for i, a in enumerate(agents)])
+    return top.select("pipeline", F.explode(cells).alias("c")).where("c.of > 0").select(
+        "c.agent", "pipeline", "c.tickets", values.percent(F.col("c.tickets"), F.col("c.of")).alias("share_pct"))
 
 
 def pipeline_performance(df: DataFrame, agents: list[str] = dims.REPORT_AGENTS, k: int = 6) -> DataFrame:

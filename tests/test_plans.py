@@ -87,7 +87,8 @@ def test_month_bounds_do_not_cut_rows(stored):
     assert by_month == plain > 0
 
 
-ONE_SCAN = ["a5_ticket_cards", "c5_human_metrics", "c13_agent_chat_stats", "c17_agent_performance_table", "g1_agent_stats", "m2_response_metrics", "m6_chat_metrics"]
+ONE_SCAN = ["a5_ticket_cards", "c5_human_metrics", "c13_agent_chat_stats", "c17_agent_performance_table", "g1_agent_stats", "g5_pipeline_distribution", "m2_response_metrics",
+            "m6_chat_metrics"]
 
 
 @pytest.mark.parametrize("name", ONE_SCAN)
