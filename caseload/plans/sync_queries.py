@@ -217,7 +217,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The change feed is merged into the stored table micro-batch by micro-batch."""
     changes = scratch_path(spark, "changes")
-    month = F.expr("date '1992-01-01' + make_interval(0, CAST(ticket_id % 80 AS INT)) AS month")
+    month = F.expr("date '1992-01-01' + make_interval(0, CAST(ticket_id % 24 AS INT)) AS month")
     delta = fx.ticket_delta(spark, sf).select("*", month)
     delta.repartitionByRange(3, "month").write.parquet(changes)
     table = MonthTable(spark, scratch_path(spark, "store"), fixed=True)
