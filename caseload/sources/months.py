@@ -48,10 +48,14 @@ class MonthTable:
     def _delete(self, name: str) -> None:
         self._fs().delete(self._where(name), True)
 
-    def _open(self) -> DataFrame | None:
-        """All months with the folder column; finishes a change that was left behind."""
+    def _finish(self) -> None:
+        """Finish a change that was left behind."""
         if self._exists("redo/touched/_SUCCESS"):
             self._apply()
+
+    def _open(self) -> DataFrame | None:
+        """All months with the folder column."""
+        self._finish()
         if not self._exists("rows"):
             return None
         try:
@@ -110,8 +114,9 @@ class MonthTable:
 
     def has_batch(self, batch: Batch | None) -> bool:
         """Whether a micro-batch of a feed, whose numbers rise, is already part of the table."""
-        if not batch or self._open() is None and not self._exists("done"):
+        if not batch:
             return False
+        self._finish()
         name = f"done/{batch[0].encode().hex()}"
         if not self._exists(f"{name}/_SUCCESS"):
             return False
