@@ -64,7 +64,9 @@ FULL JOIN (SELECT nullif(ticket_id, first_id) AS k, CASE WHEN ticket_id % 2 = 0
   ON s.k IS NOT DISTINCT FROM d.k""")
 def _(spark, sf):
     """A missing key and a map column; the change is merged twice."""
-    rows = fx.raw_tickets(spark, sf).selectExpr("*", "min(ticket_id) OVER () AS first_id")
+    tickets = fx.raw_tickets(spark, sf)
+    # A scalar subquery, as a window over the whole table would bring it, and the joins after it, to one task.
+    rows = tickets.withColumn("first_id", tickets.select(F.min("ticket_id")).scalar())
     base = rows.selectExpr("nullif(ticket_id, first_id) AS k", "map('a', subject) AS m", "1L AS n")
     delta = rows.where("ticket_id % 5 < 3 OR ticket_id = first_id").selectExpr(
         "nullif(ticket_id, first_id) AS k", "if(ticket_id % 2 = 0, map('b', subject), NULL) AS m", "if(ticket_id % 3 > 0, 2L, NULL) AS n")

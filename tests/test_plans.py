@@ -66,6 +66,13 @@ def test_upsert_does_not_shuffle_the_base_for_a_small_delta(spark, stored):
     assert "SortMergeJoin" not in final and "BroadcastHashJoin" in final
 
 
+def test_upsert_of_odd_keys_brings_no_table_to_one_task(spark):
+    from caseload.plans import catalog
+
+    catalog.load()
+    assert "Window" not in plan_of(catalog.QUERIES["u1_upsert_odd_keys"](spark, SF_DIR))
+
+
 def test_counts_combine_before_the_shuffle(stored):
     plan = plan_of(stored.groupBy("case_owner").agg(F.count("*")))
     assert "partial_count" in plan
