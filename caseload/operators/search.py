@@ -2,12 +2,16 @@
 
 Every text column of a row gives the trigrams of its lower-cased text, padded at the end, so that a query of one or
 two characters is the beginning of a trigram wherever it stands. Postings lie in one folder per month, sorted by
-trigram; a month is built once and again only when it has changed. A search reads the postings of its trigrams by
-their row-group bounds, keeps the keys that have all of them, and tests only those rows.
+trigram; a month is built once and again only when it has changed. What is shuffled are the rows, dealt out so that
+every task makes and sorts the postings of about ``LETTERS`` letters and writes them as one file of a month. A search
+reads the postings of its trigrams by their page bounds, keeps the keys that have all of them, and tests only those rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +19,8 @@ from pyspark.sql import types as T
 from caseload.operators import filters
 
 PAD = "\x00\x00"
+LETTERS = 1 << 21  # of the rows whose postings one task makes
+MARKS = 60  # trigrams counted in one long
 FOLDER = "month_folder"
 
 
@@ -29,10 +35,10 @@ def grams_of(query: str) -> list[str]:
 def postings(df: DataFrame, key: str) -> DataFrame:
     """``gram, key``, once for every row that has the trigram in any text column."""
     texts = F.filter(F.array(*[F.lower(F.col(f"`{c}`")) for c in text_columns(df)]).cast("array<string>"), lambda t: t.isNotNull())
-    letters = F.transform(texts, lambda t: F.regexp_extract_all(F.concat(t, F.lit(PAD)), F.lit("(?s)."), F.lit(0)))
+    letters = F.transform(texts, lambda t: F.split(F.concat(t, F.lit(PAD)), ""))  # code points
     grams = F.expr(
-        "array_distinct(flatten(transform(filter(letters, l -> size(l) > 2), l -> "
-        "transform(sequence(0, size(l) - 3), i -> concat(l[i], l[i + 1], l[i + 2])))))")
+        "array_distinct(flatten(transform(letters, l -> "
+        "transform(slice(l, 1, size(l) - 2), (c, i) -> concat(c, l[i + 1], l[i + 2])))))")
     return df.select(F.col(key).alias("key"), letters.alias("letters")).select(F.explode(grams).alias("gram"), "key")
 
 
@@ -49,11 +55,15 @@ class SearchIndex:
         """
         value = F.col(self.month).cast("string") if self.month else F.lit("all")
         folder = F.concat(F.lit("m"), F.coalesce(F.hex(value), F.lit("-")))
-        keyed = df.withColumn("_folder", folder)
-        named = keyed.select(F.struct(F.col(self.key), "_folder").alias("_row"), *text_columns(df))
+        texts = text_columns(df)
+        letters = df.select(F.sum(sum((F.coalesce(F.length(f"`{c}`"), F.lit(0)) for c in texts), F.lit(0).cast("long")))).first()[0]
+        parts = -(-(letters or 0) // LETTERS) or 1
+        # Rows of one key, or without any, are told apart by their texts.
+        dealt = df.withColumn("_folder", folder).repartitionByRange(
+            parts, "_folder", self.key, F.xxhash64(*[F.col(f"`{c}`") for c in texts]) if texts else F.lit(0))
+        named = dealt.select(F.struct(F.col(self.key), "_folder").alias("_row"), *texts)
         rows = postings(named, "_row").select("gram", F.col(f"key.{self.key}").alias("key"), F.col("key._folder").alias(FOLDER))
-        # The places of a month's rows among the files follow the trigram, so every file has a narrow range of them.
-        (rows.repartitionByRange(FOLDER, "gram", "key").sortWithinPartitions(FOLDER, "gram").write.mode("overwrite")
+        (rows.sortWithinPartitions(FOLDER, "gram").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).parquet(self.path))
 
     def candidates(self, query: str) -> DataFrame:
@@ -63,8 +73,12 @@ class SearchIndex:
         if len(needle) < 3:
             return rows.where(F.col("gram").startswith(needle)).select("key").distinct()
         grams = grams_of(needle)
-        found = rows.where(F.col("gram").isin(grams)).groupBy("key").agg(F.count_distinct("gram").alias("n"))
-        return found.where(F.col("n") == len(grams)).select("key")
+        # One bit per trigram, so that rows of a key combine before the shuffle.
+        groups = [grams[i:i + MARKS] for i in range(0, len(grams), MARKS)]
+        marks = [F.bit_or(F.coalesce(*[F.when(F.col("gram") == g, F.lit(1 << j).cast("long")) for j, g in enumerate(group)], F.lit(0).cast("long")))
+                 .alias(f"g{i}") for i, group in enumerate(groups)]
+        found = rows.where(F.col("gram").isin(grams)).groupBy("key").agg(*marks)
+        return found.where(reduce(and_, [F.col(f"g{i}") == (1 << len(group)) - 1 for i, group in enumerate(groups)])).select("key")
 
     def search(self, df: DataFrame, query: str, limit: int = 10) -> DataFrame:
         """The rows that ``filters.search`` gives; ``df`` is the table that the index was built from."""

@@ -44,6 +44,29 @@ def test_a_month_is_built_again_by_itself(spark):
     assert "PushedFilters: [In(gram" in plan
 
 
+def test_rows_are_dealt_out_before_their_postings(spark, monkeypatch):
+    """Every task of a build makes the postings of a bounded number of letters; no key or month is one task's."""
+    from caseload.operators import search
+
+    monkeypatch.setattr(search, "LETTERS", 1000)
+    df = spark.range(400).selectExpr(
+        "cast(if(id % 4 > 0, null, 1) as int) AS ticket_id", "concat('text ', id) AS subject", "'same' AS note", "'m' AS month")
+    index = SearchIndex(spark, scratch_path(spark, "i"), month="month")
+    index.build(df)
+    files = spark.read.parquet(index.path).inputFiles()
+    counts = [spark.read.parquet(f).count() for f in files]
+    assert len(files) >= 4 and sum(counts) == search.postings(df, "ticket_id").count() and max(counts) < 3 * sum(counts) / len(files)
+
+
+def test_texts_longer_than_a_row_of_marks(spark):
+    long = "".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(200))
+    df = spark.createDataFrame([(1, long), (1, long[:150]), (2, long[250:]), (None, long[:390])], "ticket_id int, subject string")
+    index = SearchIndex(spark, scratch_path(spark, "i"))
+    index.build(df)
+    for q in (long, long[:150], long[100:300], long[1:64], long[260:]):
+        assert sorted(map(str, index.search(df, q, 9).collect())) == sorted(map(str, filters.search(df, q, 9).collect()))
+
+
 def test_contents_are_reconciled(spark):
     shape = "id int, a string, m map<string,int>, x int"
     left = [(1, "s", {"k": 1}, 1), (2, "s", None, None), (3, None, None, 3), (4, "t", None, 4), (None, "n", None, 0),
