@@ -135,3 +135,35 @@ def test_signatures_by_brute_force(spark, docs):
 def test_samples_without_python(docs):
     plan = fingerprint.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not [w for w in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop") if w in plan]
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_terms_left_out_change_no_sample(spark):
+    """Fingerprints that are sure are those of all terms, at any bound, also for texts without words."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)] + ["Ä", "ÄB", "x\x00y"]
+    text = lambda: rng.choice([" ", "\t", "\n \x0b", "\r\x0c"]).join(rng.choices(words, k=rng.choice([0, 1, 2, 40, 400])))
+    rows = spark.createDataFrame([(i, text(), None if i % 11 == 0 else text()) for i in range(120)], "i int, text string, second string")
+    names = {"text": "a", "second": "b"}
+    full = {r["i"]: (r["a"], r["b"]) for r in fingerprint.signatures(rows, ["i"], texts=names).collect()}
+    unsure = {}
+    for bound in (3.0, 12.0):
+        got = {r["i"]: r for r in fingerprint.signatures(rows, ["i"], texts=names, bound=bound).collect()}
+        assert got.keys() == full.keys()
+        assert all((r["a"], r["b"]) == full[i] for i, r in got.items() if r["sure"])
+        unsure[bound] = sum(not r["sure"] for r in got.values())
+    assert 0 < unsure[3.0] and unsure[12.0] <= 3 and unsure[12.0] < unsure[3.0]
+
+
+def test_unsure_texts_are_drawn_in_full(edge, monkeypatch):
+    wanted = _rows(fingerprint.report(edge))
+    ring, _ = fingerprint.stored(fingerprint._ring(edge), "ring")
+    columns = ["no_id", "id", "mark", "fingerprint", "edited_fingerprint", "edited_sha256"]
+    most = _rows(fingerprint._signed(edge, ring).select(*columns))
+    assert _rows(fingerprint._signed(edge, ring, bound=0.5).select(*columns)) == most
+    original = fingerprint._signed
+    monkeypatch.setattr(fingerprint, "_signed", lambda docs, ring: original(docs, ring, bound=2.0))
+    assert _rows(fingerprint.report(edge)) == wanted
