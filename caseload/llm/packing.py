@@ -13,6 +13,7 @@ one sequence in ten thousand, and neither a long document nor a group of copies
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -30,16 +31,20 @@ WEIGHTS = (1.0, 1e-4, 1e-4)
 VOCABULARY = "word_bpe_49k.json"
 END = 0  # the id after every document
 CELL = 32_768
+TOGETHER = 1 << 14  # bytes of texts whose words are looked up at once
 HELD = 20_000  # pieces that a task holds before it hands them on
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+def _lowered(text: bytes) -> bytes:
+    """Special strings count as they are written; all else is lower-cased by the vocabulary."""
+    return text if b"<|" in text else text.translate(LOWERED)
+
+
 def _cut(text: bytes, known: tokens.Segments, size: int):
     """The ids of a text and its end, ``size`` at a time."""
     held = b""
-    if b"<|" not in text:  # special strings count as they are written; all else is lower-cased by the vocabulary
-        text = text.translate(LOWERED)
-    for words in word_runs(text):
+    for words in word_runs(_lowered(text)):
         held += b"".join(known.of(words))
         full = len(held) // (4 * size)
         for i in range(full):
@@ -48,6 +53,34 @@ def _cut(text: bytes, known: tokens.Segments, size: int):
     yield held + END.to_bytes(4, "little")
 
 
+def _cut_together(found: list[bytes], known: tokens.Segments, size: int):
+    """``_cut`` of each of several short texts, whose words are looked up at once."""
+    words, ends = [], []
+    for text in found:
+        words += _lowered(text).split()
+        ends.append(len(words))
+    ids, at = known.of(words), 0
+    for end in ends:
+        data = b"".join(ids[at:end]) + END.to_bytes(4, "little")
+        at = end
+        yield [data[i:i + 4 * size] for i in range(0, len(data), 4 * size)]
+
+
+def _cut_all(found: Iterable[bytes], known: tokens.Segments, size: int):
+    """``_cut`` of every text, in order."""
+    short, held = [], 0
+    for text in found:
+        if held + len(text) > TOGETHER:
+            yield from _cut_together(short, known, size)
+            short, held = [], 0
+        if len(text) > TOGETHER:
+            yield _cut(text, known, size)
+        else:
+            short.append(text)
+            held += len(text)
+    yield from _cut_together(short, known, size)
+
+
 def pieces(docs: DataFrame, size: int = TOKENS, path: str | None = None, ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids`` of every row of ``docs(doc_id, text)``.
 
@@ -67,8 +100,9 @@ def pieces(docs: DataFrame, size: int = TOKENS, path: str | None = None, ids: bo
             return made
 
         for batch in batches:
-            for doc, text in zip(column(batch, "doc_id").to_pylist(), texts(batch)):
-                for i, part in enumerate(_cut(text or b"", known, size)):
+            found = _cut_all((text or b"" for text in texts(batch)), known, size)
+            for doc, parts in zip(column(batch, "doc_id").to_pylist(), found):
+                for i, part in enumerate(parts):
                     rows.append((doc, i, i * size, len(part) // 4, zlib.crc32(part), part if ids else None))
                     if len(rows) >= HELD:
                         yield out()

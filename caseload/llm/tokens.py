@@ -35,9 +35,9 @@ class Segments:
 
     def of(self, segments: list) -> list:
         out = list(map(self.known.get, segments))
-        if None not in out:
-            return out
         holes = [i for i, seen in enumerate(out) if seen is None]
+        if not holes:
+            return out
         new = list({segments[i] for i in holes})
         made = dict(zip(new, self.encode(new, self.known)))
         for i in holes:
@@ -61,7 +61,7 @@ def parts(ids: np.ndarray, begins: np.ndarray, count: int) -> list[bytes] | None
 
 
 # Letters that every step of the vocabulary keeps one by one, then marks that are a token group of their own.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+PLAIN = re.compile(rb"((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([.,;:!?]*+)")
 
 
 @lru_cache(maxsize=4)

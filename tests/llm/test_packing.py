@@ -117,3 +117,16 @@ def test_extra_columns(edge, clashing):
     more = clashing.withColumns({n: F.lit(1) for n in ("row", "piece", "length", "cell", "sequence_id", "offset", "ids")})
     key = lambda df: Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packing.report(df).collect())
     assert key(more) == key(edge)
+
+
+def test_short_texts_are_looked_up_together(monkeypatch):
+    """The pieces of every text are those that it has by itself, with one look-up for many short texts."""
+    from caseload.llm import tokens
+
+    known = tokens.words(tokens.vocabulary_path(packing.VOCABULARY))
+    found = [b"", b"Some words, of ONE text", b" \t", b"<|endoftext|> Apart <|", b"one " * 2047, b"one " * 2048, b"long " * 9000, b"last"]
+    alone = [list(packing._cut(t, known, 2048)) for t in found]
+    calls, of = [], known.of
+    monkeypatch.setattr(known, "of", lambda words: calls.append(len(words)) or of(words), raising=False)
+    assert [list(p) for p in packing._cut_all(found, known, 2048)] == alone
+    assert len(calls) < len(found) - 1 and [len(p) for p in alone] == [1, 1, 1, 1, 1, 2, 5, 1]
